@@ -47,8 +47,10 @@ def bin_index(v: Column, edges: list[float]) -> Column:
     lo, hi = edges[0], edges[-1]
     guess = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
     table = F.array(*[F.lit(e) for e in edges])
+    # least() passes over a missing value, so that is tested for first.
     return (
-        F.when(v < table[guess], guess - 1)
+        F.when(v.isNull(), F.lit(None).cast("int"))
+        .when(v < table[guess], guess - 1)
         .when((guess < bins - 1) & (v >= table[guess + 1]), guess + 1)
         .otherwise(guess)
     )
