@@ -356,7 +356,7 @@ _JOIN = """SELECT n.n_name, c.c_mktsegment, count(*) AS orders, {total} AS total
 
 @query(
     "sql_join",
-    _JOIN.format(total=sig_sql("sum(o.o_totalprice)"), orders="orders", customer="customer", nation="nation", lineitem="lineitem"),
+    _JOIN.format(total=fix_sql("sum(o.o_totalprice)", 2), orders="orders", customer="customer", nation="nation", lineitem="lineitem"),
 )
 def _(spark, sf):
     out = execute_sql(
@@ -366,7 +366,7 @@ def _(spark, sf):
         nation=table(spark, sf, "nation"),
         lineitem=table(spark, sf, "lineitem"),
     )
-    return out.withColumn("total", sig("total"))
+    return out.withColumn("total", fix("total", 2))
 
 
 _WINDOW = """SELECT user_id, event_id, value,

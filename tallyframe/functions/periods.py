@@ -14,6 +14,9 @@ PERIOD_STEPS = {
     "YE": "interval 1 year",
 }
 
+# Older spellings of the same periods.
+PERIOD_ALIASES = {"M": "ME", "Q": "QE", "Y": "YE", "A": "YE"}
+
 
 def period_end(day: Column, freq: str) -> Column:
     """Last day of the period holding ``day``; weeks end on Sunday."""

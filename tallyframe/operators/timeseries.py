@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import col, family
 from tallyframe.functions.columns import as_double
 from tallyframe.functions.parsing import to_moment
-from tallyframe.functions.periods import PERIOD_STEPS, period_end, period_spine
+from tallyframe.functions.periods import PERIOD_ALIASES, PERIOD_STEPS, period_end, period_spine
 
 _AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
@@ -22,6 +22,7 @@ def resample(
     count 0 and no mean, minimum or maximum. Unknown functions mean the mean.
     Rows missing the date or the value are left out; text dates are parsed.
     """
+    freq = PERIOD_ALIASES.get(freq, freq)
     if freq not in PERIOD_STEPS:
         raise ValueError(f"unknown period {freq!r}; use one of {sorted(PERIOD_STEPS)}")
     when = col(date_column)

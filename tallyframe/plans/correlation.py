@@ -74,7 +74,8 @@ def upper_triangle(
 
 
 def _clamped(r: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    """Into [-1, 1]; greatest() and least() alone would turn a missing r into a bound."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _pearson_fused(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -84,9 +85,11 @@ def _pearson_fused(df: DataFrame, names: Sequence[str]) -> DataFrame:
         varies = F.min(values[i]) < F.max(values[i])
         out.append(F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.when(varies, F.lit(1.0)).alias("r")))
     for i, j in combinations(range(len(names)), 2):
-        out.append(
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.nanvl(F.corr(values[i], values[j]), F.lit(None)).alias("r"))
-        )
+        # Not corr(): under ANSI rules it fails on a column without spread.
+        x = F.when(values[j].isNotNull(), values[i])
+        y = F.when(values[i].isNotNull(), values[j])
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        out.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), _clamped(r).alias("r")))
     return df.agg(F.array(*out).alias("_all")).select(F.inline("_all"))
 
 
@@ -211,7 +214,9 @@ def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int |
         half = _spearman(placed)
     else:
         half = _kendall(placed, ranks, side_a, side_b, rows, one_task)
-    return diagonal.unionByName(half)
+    # Pairs that no row has complete get no cells; they belong into the matrix all the same.
+    every_pair = df.sparkSession.createDataFrame(pairs, "i int, j int")
+    return diagonal.unionByName(every_pair.join(F.broadcast(half), ["i", "j"], "left"))
 
 
 def _spearman(placed: DataFrame) -> DataFrame:

@@ -15,22 +15,27 @@ from .charts import chart_bundle
 from .cleaning import Step, clean_with, default_steps
 from .profile import full_profile
 from .report import before_after, report_tables
+from .storage import checkpointed
 
 
-def batch_tables(
-    df: DataFrame,
-    steps: Sequence[Step] | None = None,
+def typed_and_cleaned(
+    df: DataFrame, steps: Sequence[Step] | None = None, exact: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    typed = coerce_numeric(df)
+    return typed, clean_with(typed, default_steps(typed, exact=exact) if steps is None else steps)
+
+
+def result_tables(
+    original: DataFrame,
+    cleaned: DataFrame,
     free_text: Sequence[str] = (),
     charts: bool = True,
     exact: bool = True,
 ) -> dict[str, DataFrame]:
-    """All result tables of one run, by name."""
-    typed = coerce_numeric(df)
-    cleaned = clean_with(typed, default_steps(typed, exact=exact) if steps is None else steps)
-    out = {"cleaned": cleaned}
-    out |= {f"profile_{k}": t for k, t in full_profile(cleaned, free_text, exact).items()}
-    out |= {f"report_{k}": t for k, t in report_tables({"original": typed, "processed": cleaned}, exact).items()}
-    out["report_before_after"] = before_after(typed, cleaned)
+    """Profile, report and chart tables of one run, by name."""
+    out = {f"profile_{k}": t for k, t in full_profile(cleaned, free_text, exact).items()}
+    out |= {f"report_{k}": t for k, t in report_tables({"original": original, "processed": cleaned}, exact).items()}
+    out["report_before_after"] = before_after(original, cleaned)
     if charts:
         out["charts"] = chart_bundle(cleaned)
     return out
@@ -45,11 +50,20 @@ def run_batch(
     format: str = "parquet",
     exact: bool = True,
 ) -> dict[str, str]:
-    """Write every table below ``output`` and return the paths."""
-    paths = {}
-    for name, table in batch_tables(df, steps, free_text, charts, exact).items():
-        paths[name] = f"{output.rstrip('/')}/{name}"
-        write_table(table, paths[name], format)
+    """Write every table below ``output`` and return the paths.
+
+    The cleaned table is written first; all that follows reads the written
+    one, so the cleaning runs once and a lost executor never repeats it.
+    """
+    spark = df.sparkSession
+    base = output.rstrip("/")
+    original, cleaned = typed_and_cleaned(df, steps, exact)
+    paths = {"cleaned": write_table(cleaned, f"{base}/cleaned", format)}
+    stored = (
+        spark.read.parquet(paths["cleaned"]) if format == "parquet" else checkpointed(cleaned)
+    )
+    for name, table in result_tables(original, stored, free_text, charts, exact).items():
+        paths[name] = write_table(table, f"{base}/{name}", format)
     return paths
 
 

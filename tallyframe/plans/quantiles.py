@@ -182,7 +182,7 @@ def large_group_quantiles(
     )
     part = F.col("pos") - low
     return picked.select(
-        *[col(k) for k in keys], "pi", (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("q")
+        *[col(k) for k in keys], "pi", (F.col("_a") * (1 - part) + F.col("_b") * part).alias("q")
     )
 
 
