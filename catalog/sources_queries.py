@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.aggregate import union_by_name
 from tallyframe.plans import jobs
-from tallyframe.plans.storage import scratch_path
+from tallyframe.plans.storage import checkpointed, scratch_path
 from tallyframe.sources import catalogue, csv, sinks, workbooks
 from tallyframe.streaming import apply_fitted, micro_batched_files
 from tallyframe.operators.outliers import fit_outliers
@@ -87,7 +87,8 @@ def _(spark, sf):
 
 def _books(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    return workbooks.encode_workbooks(rows, "Orders", rows_per_book=5_000)
+    # Written once, spread by workbook, as a folder of files would be.
+    return checkpointed(workbooks.encode_workbooks(rows, "Orders", rows_per_book=5_000).repartition("path"))
 
 
 @query("workbook_sheets")

@@ -116,8 +116,6 @@ def unpivot(df: DataFrame, values: dict[str, Column], keys: Sequence[str] = ())
     The rows are made inside the scan task; whatever aggregates them next
     combines map-side, so the long form itself is never shuffled.
     """
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in values.items()])
-    out = df.select([*[col(k) for k in keys], F.explode(cells).alias("_cell")])
-    return out.select(
-        [*[col(k) for k in keys], F.col("_cell.column").alias("column"), F.col("_cell.value").alias("value")]
-    ).where(F.col("value").isNotNull())
+    wide = df.select(*[col(k) for k in keys], *[v.alias(n) for n, v in values.items()])
+    long = wide.unpivot([col(k) for k in keys], [col(n) for n in values], "column", "value")
+    return long.where(F.col("value").isNotNull())

@@ -15,21 +15,25 @@ KOREAN_STOP_WORDS = (
     "한다", "이고", "입니다", "습니다", "었습니다", "았습니다",
 )
 
-# A word character is any letter, number or underscore of any
-# script. Java's bare \w knows ASCII only and would wipe Hangul.
-NON_WORD = r"[^\p{L}\p{N}_\s]"
-DIGIT_RUN = r"\p{Nd}+"
+# A word is a run of letters, underscores and numbers other than
+# decimal digits, of any script. Java's bare \\w knows ASCII only and would wipe
+# Hangul. Punctuation, white space and digits all end a word.
+WORD_CHARACTER = r"[\p{L}\p{Nl}\p{No}_]"
+
+
+def words(text: Column, min_length: int = 2) -> Column:
+    """Array of all words of a text, in one walk over it."""
+    return F.regexp_extract_all(text, F.lit(f"{WORD_CHARACTER}{{{min_length},}}"), F.lit(0))
+
+
+def is_stop_word(word: Column, stop_words: Sequence[str] = KOREAN_STOP_WORDS) -> Column:
+    return word.isin(list(dict.fromkeys(stop_words))) if stop_words else F.lit(False)
 
 
 def tokens(text: Column, stop_words: Sequence[str] = KOREAN_STOP_WORDS, min_length: int = 2) -> Column:
-    """Array of words: punctuation and digit runs become blanks, short and stop words go."""
-    bare = F.regexp_replace(F.regexp_replace(text, NON_WORD, " "), DIGIT_RUN, " ")
-    words = F.split(bare, r"\s+")
-    stop = list(dict.fromkeys(stop_words))
-    return F.filter(
-        words,
-        lambda w: (F.length(w) >= min_length) & ~w.isin(stop) if stop else F.length(w) >= min_length,
-    )
+    """Array of words without stop words."""
+    found = words(text, min_length)
+    return F.filter(found, lambda w: ~is_stop_word(w, stop_words)) if stop_words else found
 
 
 def shorten(text: Column, length: int) -> Column:

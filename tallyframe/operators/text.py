@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import col, known
 from tallyframe.functions.columns import unpivot
-from tallyframe.functions.words import KOREAN_STOP_WORDS, shorten, tokens
+from tallyframe.functions.words import KOREAN_STOP_WORDS, is_stop_word, shorten, tokens, words
 
 
 def _text(df: DataFrame, column: str) -> Column:
@@ -32,10 +32,12 @@ def word_frequency(
     df: DataFrame, column: str, top_n: int = 30, stop_words: Sequence[str] = KOREAN_STOP_WORDS
 ) -> DataFrame:
     """``word, count``, most frequent first, equal counts by word."""
-    words = df.select(F.explode(tokens(_text(df, column), stop_words)).alias("word"))
+    found = df.select(F.explode(words(_text(df, column))).alias("word"))
+    # Stop words go after the count, when each is one row.
     return (
-        words.groupBy("word")
+        found.groupBy("word")
         .agg(F.count(F.lit(1)).alias("count"))
+        .where(~is_stop_word(F.col("word"), stop_words))
         .orderBy(F.desc("count"), F.asc("word"))
         .limit(top_n)
     )
@@ -81,11 +83,12 @@ def ranked_words(
     df: DataFrame, columns: Sequence[str], top_n: int = 30, stop_words: Sequence[str] = KOREAN_STOP_WORDS
 ) -> DataFrame:
     """``column, rank, word, count`` for several text columns in one job."""
-    words = _answers(df, known(df, columns)).select("column", F.explode(tokens(F.col("value"), stop_words)).alias("word"))
+    found = _answers(df, known(df, columns)).select("column", F.explode(words(F.col("value"))).alias("word"))
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("word"))
     return (
-        words.groupBy("column", "word")
+        found.groupBy("column", "word")
         .agg(F.count(F.lit(1)).alias("count"))
+        .where(~is_stop_word(F.col("word"), stop_words))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
         .select("column", "rank", "word", "count")
@@ -96,10 +99,10 @@ def text_analysis(
     df: DataFrame, columns: Sequence[str], top_n: int = 30, stop_words: Sequence[str] = KOREAN_STOP_WORDS
 ) -> dict[str, DataFrame]:
     """Summary, words, keywords and samples of all declared text columns, each one table."""
-    words = ranked_words(df, columns, top_n, stop_words)
+    ranked = ranked_words(df, columns, top_n, stop_words)
     return {
         "summary": text_summary(df, columns),
-        "word_freq": words,
-        "keywords": words.where(F.col("rank") <= 10).select("column", "rank", "word"),
+        "word_freq": ranked,
+        "keywords": ranked.where(F.col("rank") <= 10).select("column", "rank", "word"),
         "samples": longest_texts(df, columns),
     }

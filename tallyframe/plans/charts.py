@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import limits
 from tallyframe.functions import col, family, is_missing, known, numeric_columns, text_columns
-from tallyframe.functions.columns import as_double, columns_of, present
+from tallyframe.functions.columns import as_double, columns_of, present, unpivot
 from tallyframe.operators.aggregate import top_n_with_others, value_counts
 from tallyframe.operators.missing import missing_profile
 
@@ -67,12 +67,8 @@ def histograms(df: DataFrame, bins: dict[str, int]) -> DataFrame:
     )
     if not edges:
         return spine.withColumn("count", F.lit(0).cast("bigint"))
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), bin_index(as_double(df, c), e).alias("bin")) for c, e in edges.items()]
-    )
-    counted = (
-        df.select(F.inline(cells)).where(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
-    )
+    binned = unpivot(df, {c: bin_index(as_double(df, c), e) for c, e in edges.items()})
+    counted = binned.groupBy("column", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # Both sides have one row per bin.
     return spine.join(F.broadcast(counted), ["column", "bin"], "left").select(
         "column", "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("count")

@@ -12,19 +12,23 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import limits
 from tallyframe.functions import numeric_columns
-from tallyframe.functions.columns import as_double, columns_of, known
+from tallyframe.functions.columns import as_double, columns_of, known, unpivot
 
 from .ranks import count_values, join_by_value, rank_values
+from .statistics import base_facts
 from .storage import checkpointed
 
 METHODS = ("pearson", "spearman", "kendall")
 
+# What every method returns: positions of the two columns and their r.
+PAIRS = "i int, j int, r double"
+
 # Kendall counts order pairs digit by digit: 16 values per digit.
 DIGIT_BITS = 4
 
@@ -79,39 +83,78 @@ def _clamped(r: Column) -> Column:
 
 
 def _pearson_fused(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    values = [as_double(df, n) for n in names]
-    out = []
-    for i in range(len(names)):
-        varies = F.min(values[i]) < F.max(values[i])
-        out.append(F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.when(varies, F.lit(1.0)).alias("r")))
-    for i, j in combinations(range(len(names)), 2):
-        # Not corr(): under ANSI rules it fails on a column without spread.
-        x = F.when(values[j].isNotNull(), values[i])
-        y = F.when(values[i].isNotNull(), values[j])
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        out.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), _clamped(r).alias("r")))
-    return df.agg(F.array(*out).alias("_all")).select(F.inline("_all"))
+    """Centred sums and products, all in one aggregate of plain sums.
+
+    A first pass finds the means and which columns have gaps. Sums of a
+    column are shared by its pairs where neither has gaps.
+    """
+    facts = base_facts(df, names)
+    whole = [facts[n].count == facts[n].row_count for n in names]
+    rows = max((f.row_count for f in facts.values()), default=0)
+    pairs = list(combinations(range(len(names)), 2))
+    aggs: dict[str, str] = {}
+    keys: dict[tuple[int, int], list[str]] = {}
+    for i, j in pairs:
+        if whole[i] and whole[j]:
+            aggs |= {f"s{k}": f"sum(d{k})" for k in (i, j)} | {f"ss{k}": f"sum(d{k} * d{k})" for k in (i, j)}
+            keys[i, j] = [f"s{i}", f"s{j}", f"ss{i}", f"ss{j}"]
+        else:
+            both = f"case when d{i} is not null and d{j} is not null then {{}} end"
+            parts = {"n": "1", "x": f"d{i}", "y": f"d{j}", "xx": f"d{i} * d{i}", "yy": f"d{j} * d{j}"}
+            aggs |= {f"{k}{i}_{j}": f"sum({both.format(e)})" for k, e in parts.items()}
+            keys[i, j] = [f"{k}{i}_{j}" for k in parts if k != "n"]
+        aggs[f"p{i}_{j}"] = f"sum(d{i} * d{j})"
+    got = {}
+    if aggs:
+        centred = df.select(
+            [(as_double(df, n) - F.lit(facts[n].mean).cast("double")).alias(f"d{i}") for i, n in enumerate(names)]
+        )
+        got = centred.selectExpr(*[f"{e} as {k}" for k, e in aggs.items()]).first().asDict()
+    out = [(i, i, 1.0 if facts[n].varies else None) for i, n in enumerate(names)]
+    for i, j in pairs:
+        n = rows if whole[i] and whole[j] else got[f"n{i}_{j}"]
+        out.append((i, j, _r_from_sums(n, *[got[k] for k in keys[i, j]], got[f"p{i}_{j}"])))
+    return df.sparkSession.createDataFrame(out, PAIRS)
+
+
+def _r_from_sums(n, x, y, xx, yy, xy) -> float | None:
+    """r from sums of centred values; missing without spread beyond rounding."""
+    if not n or n < 2 or xy is None:
+        return None
+    vx, vy = xx - x * x / n, yy - y * y / n
+    if not (vx > xx * 1e-14 and vy > yy * 1e-14):
+        return None
+    return max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(vx) / math.sqrt(vy)))
 
 
 def _pearson_wide(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Masked Gram sums per task for wide tables, centred beforehand for stability."""
     k = len(names)
+    facts = base_facts(df, names)
+    centers = np.array([facts[n].mean if facts[n].mean is not None else 0.0 for n in names])
     rows = df.select([as_double(df, n).alias(f"c{i}") for i, n in enumerate(names)])
-    centers = np.array([m if m is not None else 0.0 for m in rows.agg(*[F.avg(c) for c in rows.columns]).first()])
 
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, k, k))
-        for frame in frames:
-            x = frame.to_numpy(dtype=float) - centers
-            there = (~np.isnan(x)).astype(float)
-            x = np.where(there > 0, x, 0.0)
-            total[0] += there.T @ there
-            total[1] += x.T @ there
-            total[2] += (x * x).T @ there
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centers
+            gaps = np.isnan(x)
+            if gaps.any():
+                there = (~gaps).astype(float)
+                x[gaps] = 0.0
+                total[0] += there.T @ there
+                total[1] += x.T @ there
+                total[2] += (x * x).T @ there
+            else:
+                # Without gaps these sums are alike for every partner.
+                total[0] += len(x)
+                total[1] += x.sum(axis=0)[:, None]
+                total[2] += (x * x).sum(axis=0)[:, None]
             total[3] += x.T @ x
-        yield pd.DataFrame({"i": np.arange(k, dtype="int32"), **{n: list(total[m]) for m, n in enumerate("nspq")}})
+        arrays = [pa.array(np.arange(k, dtype="int32")), *[pa.array(list(m)) for m in total]]
+        yield pa.RecordBatch.from_arrays(arrays, ["i", "n", "s", "p", "q"])
 
-    partial = rows.mapInPandas(sums, "i int, n array<double>, s array<double>, p array<double>, q array<double>")
+    partial = rows.mapInArrow(sums, "i int, n array<double>, s array<double>, p array<double>, q array<double>")
     cells = partial.select("i", F.posexplode(F.arrays_zip("n", "s", "p", "q")).alias("j", "m")).select(
         "i", "j", "m.n", "m.s", "m.p", "m.q"
     )
@@ -119,13 +162,13 @@ def _pearson_wide(df: DataFrame, names: Sequence[str]) -> DataFrame:
     # Sums for j over the rows where i is present sit at the mirrored cell.
     mirror = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("sj"), F.col("p").alias("pj"))
     n = F.col("n")
-    cov = F.col("q") - F.col("s") * F.col("sj") / n
-    spread = F.sqrt((F.col("p") - F.col("s") * F.col("s") / n) * (F.col("pj") - F.col("sj") * F.col("sj") / n))
-    r = F.when((n > 1) & (spread > 0), cov / spread)
+    vx, vy = F.col("p") - F.col("s") * F.col("s") / n, F.col("pj") - F.col("sj") * F.col("sj") / n
+    spread = (n > 1) & (vx > F.col("p") * 1e-14) & (vy > F.col("pj") * 1e-14)
+    r = F.when(spread, _clamped((F.col("q") - F.col("s") * F.col("sj") / n) / F.sqrt(vx) / F.sqrt(vy)))
     return (
         cells.join(mirror, ["i", "j"])
         .where(F.col("i") <= F.col("j"))
-        .select("i", "j", F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(_clamped(r)).alias("r"))
+        .select("i", "j", F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(r).alias("r"))
     )
 
 
@@ -139,6 +182,7 @@ def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int |
     values = [as_double(df, n) for n in names]
     pairs = list(combinations(range(len(names)), 2))
     size = len(names)
+    every_pair = df.sparkSession.createDataFrame(pairs or [(0, 0)], "i int, j int")
 
     # Which columns have the same rows present? Without gaps one ranking per column serves all pairs.
     facts = df.agg(
@@ -152,7 +196,8 @@ def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int |
     complete = all(facts[f"n{i}"] == rows for i in range(size))
     # The sketch may be off; a fifth on top keeps the bound safe, and no
     # column has more distinct values than rows.
-    distinct = max([min(rows, int(facts[f"d{i}"] * 1.2) + 1) for i in range(size)] or [0])
+    kinds = [min(rows, int(facts[f"d{i}"] * 1.2) + 1) for i in range(size)]
+    distinct = max(kinds)
 
     diagonal = df.sparkSession.createDataFrame(
         [(i, i, 1.0 if facts[f"n{i}"] and facts[f"lo{i}"] < facts[f"hi{i}"] else None) for i in range(size)],
@@ -160,33 +205,25 @@ def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int |
     )
     if not pairs or rows == 0:
         return diagonal
+    if complete and method == "spearman":
+        return _spearman_complete(df, values, rows, kinds, one_task)
 
+    wide = df.select([v.alias(f"v{i}") for i, v in enumerate(values)])
+    listed = ", ".join(f"(v{i}, v{j}) AS `{i}_{j}`" for i, j in pairs)
     cells = (
-        df.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.when(
-                            values[i].isNotNull() & values[j].isNotNull(),
-                            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), values[i].alias("a"), values[j].alias("b")),
-                        )
-                        for i, j in pairs
-                    ]
-                )
-            ).alias("p")
-        )
-        .where("p is not null")
-        .select("p.i", "p.j", "p.a", "p.b")
-        .groupBy("i", "j", "a", "b")
+        df.sparkSession.sql(f"SELECT * FROM {{wide}} UNPIVOT ((a, b) FOR pair IN ({listed}))", wide=wide)
+        .where("a IS NOT NULL AND b IS NOT NULL")
+        .groupBy("pair", "a", "b")
         .agg(F.count(F.lit(1)).alias("w"))
+        .select(
+            F.split("pair", "_")[0].cast("int").alias("i"), F.split("pair", "_")[1].cast("int").alias("j"), "a", "b", "w"
+        )
     )
 
     # Ranking key: the column alone, or the column within a pair where gaps differ.
     if complete:
-        tagged = df.select(
-            F.explode(F.array(*[F.struct(F.lit(i).alias("side"), v.alias("value")) for i, v in enumerate(values)])).alias("v")
-        ).select("v.side", "v.value")
-        counts = count_values(tagged, ["side"])
+        tagged = unpivot(df, {str(i): v for i, v in enumerate(values)})
+        counts = count_values(tagged, ["column"]).select(F.col("column").cast("int").alias("side"), "value", "w")
         side_a, side_b = F.col("i"), F.col("j")
         keys_total = size
     else:
@@ -215,10 +252,33 @@ def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int |
     else:
         half = _kendall(placed, ranks, side_a, side_b, rows, one_task)
     # Pairs that no row has complete get no cells; they belong into the matrix all the same.
-    every_pair = df.sparkSession.createDataFrame(pairs, "i int, j int")
     return diagonal.unionByName(every_pair.join(F.broadcast(half), ["i", "j"], "left"))
 
 
+def _spearman_complete(
+    df: DataFrame, values: Sequence[Column], rows: int, kinds: Sequence[int], one_task: int
+) -> DataFrame:
+    """Without gaps a column has the same ranks in every pair: they are attached to the rows once per column."""
+    wide = df.select([v.alias(f"v{i}") for i, v in enumerate(values)])
+    placed = wide
+    for i, distinct in enumerate(kinds):
+        counts = count_values(df.select(values[i].alias("value")), [])
+        ranks = rank_values(counts, [], distinct, one_task=one_task)
+        if distinct > one_task:
+            ranks = checkpointed(ranks)
+        # Centred on the known mean rank (n + 1) / 2.
+        ranks = ranks.withColumn("centred", F.col("before") + (F.col("w") + 1) / 2 - (rows + 1) / 2)
+        placed = join_by_value(placed, ranks, [(f"v{i}", "value")], {f"d{i}": "centred"}, rows, distinct).drop(f"v{i}")
+    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+    sums = placed.selectExpr(*[f"sum(d{i} * d{j}) as p{i}_{j}" for i, j in pairs]).first().asDict()
+    out = []
+    for i, j in pairs:
+        xx, yy, xy = sums[f"p{i}_{i}"], sums[f"p{j}_{j}"], sums[f"p{i}_{j}"]
+        r = xy / math.sqrt(xx) / math.sqrt(yy) if xx > 0 and yy > 0 else None
+        out.append((i, j, r if r is None or i != j else 1.0))
+    return df.sparkSession.createDataFrame(out, PAIRS)
+
+
 def _spearman(placed: DataFrame) -> DataFrame:
     """Pearson over average ranks. Ranks are centred on their known mean (n + 1) / 2."""
     # n first (a sum over cells), then the centred products; one row per pair, so n may be broadcast.

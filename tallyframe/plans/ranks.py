@@ -72,6 +72,11 @@ def rank_values(
     )
 
 
+# A value is hot from a thousandth of all rows on: at most a thousand per ranking.
+HOT_SHARE = 1_000
+HOT_SPREAD = 256
+
+
 def join_by_value(
     rows: DataFrame,
     ranks: DataFrame,
@@ -82,18 +87,33 @@ def join_by_value(
 ) -> DataFrame:
     """Attach columns of a rank table (unique per key) to rows, whatever the skew.
 
-    A small rank table is broadcast. Otherwise values that hold more than a
-    thousandth of all rows (so fewer than a thousand per key set) are
-    broadcast, and only the rest are joined through a shuffle.
+    A small rank table is broadcast. Otherwise only hot values are, and the
+    rest meet through a shuffle; there the rows of hot values, which need
+    nothing more, carry no key but a running number, and so spread evenly.
     """
-    right = ranks.select(*[F.col(r).alias(f"_r_{l}") for l, r in on], *[F.col(s).alias(d) for d, s in take.items()], F.col("w").alias("_w_rank"))
-    condition = reduce(lambda x, y: x & y, [F.col(l) == F.col(f"_r_{l}") for l, _ in on])
-    extra = [f"_r_{l}" for l, _ in on] + ["_w_rank"]
+    right = ranks.select(
+        *[F.col(r).alias(f"_r{n}") for n, (_, r) in enumerate(on)], "w", *[F.col(s).alias(d) for d, s in take.items() if d != "w"]
+    )
+    names = [d for d in take if d != "w"]
+    keys = range(len(on))
     if ranks_total <= limits.BROADCAST_ROWS:
-        return rows.join(F.broadcast(right), condition).drop(*extra)
-    heavy_from = max(1, rows_total // 1000)
-    heavy = right.where(F.col("_w_rank") > heavy_from)
-    light = right.where(F.col("_w_rank") <= heavy_from)
-    hot = rows.join(F.broadcast(heavy), condition).drop(*extra)
-    cold = rows.join(F.broadcast(heavy.select(*[f"_r_{l}" for l, _ in on])), condition, "left_anti")
-    return hot.unionByName(cold.join(light, condition).drop(*extra))
+        small = F.broadcast(right.drop("w"))
+        same = reduce(lambda x, y: x & y, [F.col(left) == F.col(f"_r{n}") for n, (left, _) in enumerate(on)])
+        return rows.join(small, same).drop(*[f"_r{n}" for n in keys])
+    hot_from = max(1, rows_total // HOT_SHARE)
+    hot = right.where(F.col("w") > hot_from).select(
+        *[F.col(f"_r{n}").alias(f"_h{n}") for n in keys], *[F.col(d).alias(f"_h_{d}") for d in names]
+    )
+    cold = right.where(F.col("w") <= hot_from).drop("w")
+    is_hot = reduce(lambda x, y: x & y, [F.col(left) == F.col(f"_h{n}") for n, (left, _) in enumerate(on)])
+    marked = rows.join(F.broadcast(hot), is_hot, "left")
+    settled = F.col("_h0").isNotNull()
+    marked = marked.withColumns(
+        {f"_k{n}": F.when(~settled, F.col(left)) for n, (left, _) in enumerate(on)}
+        | {"_salt": F.when(settled, F.monotonically_increasing_id() % HOT_SPREAD).otherwise(F.lit(0).cast("bigint"))}
+    )
+    cold = cold.withColumn("_cold_salt", F.lit(0).cast("bigint"))
+    same = reduce(lambda x, y: x & y, [F.col(f"_k{n}") == F.col(f"_r{n}") for n in keys])
+    met = marked.join(cold, same & (F.col("_salt") == F.col("_cold_salt")), "left")
+    kept = [F.col(c) for c in rows.columns]
+    return met.select(*kept, *[F.coalesce(F.col(f"_h_{d}"), F.col(d)).alias(d) for d in names])

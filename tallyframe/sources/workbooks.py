@@ -174,22 +174,54 @@ def _chosen(sheets: Sequence[tuple], sheet: str | int) -> int:
     return next((i for i, (name, _) in enumerate(sheets) if name == sheet), 0)
 
 
+def sheet_heads(books: DataFrame, sheet: str | int = 0) -> DataFrame:
+    """``source_path, cells`` with the header row only; nothing after it is decoded."""
+
+    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                book = _Book(content)
+                first = next(book.rows(book.sheets[_chosen(book.sheets, sheet)][1]), None) if book.sheets else None
+                if first is not None:
+                    found.append((path, first))
+            yield pd.DataFrame(found, columns=["source_path", "cells"])
+
+    return books.select("path", "content").mapInPandas(heads, "source_path string, cells array<string>")
+
+
 def sheet_table(books: DataFrame, sheet: str | int = 0, columns: Sequence[str] | None = None) -> DataFrame:
     """One text column per header, matched by header name across workbooks, plus ``source_path``.
 
     Without ``columns`` the headers are collected first: one short row per
     workbook, folded to the distinct names.
     """
-    rows = sheet_rows(books, sheet)
-    heads = rows.where("row_no = 0").select("source_path", F.col("cells").alias("_head"))
     if columns is None:
-        found = heads.select(F.posexplode("_head").alias("place", "name")).where("name is not null")
+        found = sheet_heads(books, sheet).select(F.posexplode("cells").alias("place", "name")).where("name is not null")
         order = found.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()
         columns = [r["name"] for r in order]
-    # One header row per workbook: every row of a workbook meets exactly one.
-    body = rows.where("row_no > 0").join(heads, "source_path")
-    cells = [F.get("cells", F.array_position("_head", c).cast("int") - 1).alias(c) for c in columns]
-    return body.select("source_path", *cells)
+    names = list(columns)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ["source_path", *names]])
+
+    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                book = _Book(content)
+                if not book.sheets:
+                    continue
+                lines = book.rows(book.sheets[_chosen(book.sheets, sheet)][1])
+                head = next(lines, [])
+                places = [head.index(n) if n in head else -1 for n in names]
+                batch: list[tuple] = []
+                for cells in lines:
+                    batch.append((path, *[cells[p] if 0 <= p < len(cells) else None for p in places]))
+                    if len(batch) == _BATCH:
+                        yield pd.DataFrame(batch, columns=schema.names)
+                        batch = []
+                if batch:
+                    yield pd.DataFrame(batch, columns=schema.names)
+
+    return books.select("path", "content").mapInPandas(tables, schema)
 
 
 def encode_workbooks(df: DataFrame, sheet: str = "Sheet1", rows_per_book: int = 100_000) -> DataFrame:
