@@ -7,13 +7,12 @@ the diagonal. Pairs use the rows where both values are present.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import limits
@@ -311,58 +310,67 @@ def _kendall(
     walks are cut into stretches with offsets, so no task holds a whole group.
     """
     base = 1 << DIGIT_BITS
-    digits = max(1, math.ceil(math.log(max(rows, 2)) / math.log(base)))
+    levels = max(1, math.ceil(math.log(max(rows, 2)) / math.log(base)))
     stretch = max(one_task // 10, int(math.sqrt(rows)), 1)
+    upper = range(1, base)
+    group = "i, j, level, prefix"
 
-    leveled = placed.select(
-        "i", "j", "w", "before_a", "before_b", F.explode(F.array(*[F.lit(d) for d in range(digits)])).alias("level")
+    def listed(template: str, digits: Iterable[int] = range(base)) -> str:
+        return ", ".join(template.format(d=d) for d in digits)
+
+    # One stretch needs no offsets.
+    offsets, ahead = "", "e{d}"
+    source = "walked"
+    if rows > stretch:
+        ahead = "(e{d} + o{d})"
+        source = f"walked JOIN offsets USING ({group}, part)"
+        offsets = f""",
+        sums AS (SELECT {group}, part, {listed("sum(d{d}) AS s{d}", upper)} FROM folded GROUP BY {group}, part),
+        offsets AS (
+            SELECT {group}, part, {listed("coalesce(sum(s{d}) OVER stretches, 0) AS o{d}", upper)} FROM sums
+            WINDOW stretches AS (PARTITION BY {group} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+    terms = " + ".join(
+        f"cast(d{d} AS double) * ({' + '.join(ahead.format(d=g) for g in range(d + 1, base))})" for d in range(base - 1)
     )
-    # Dynamic shifts through SQL: the function form takes literal distances only.
-    digit = F.expr(f"cast(shiftright(before_b, level * {DIGIT_BITS}) & {base - 1} as int)")
-    prefix = F.expr(f"case when (level + 1) * {DIGIT_BITS} >= 63 then 0 else shiftright(before_b, (level + 1) * {DIGIT_BITS}) end")
-    group = ["i", "j", "level", "prefix"]
-    folded = (
-        leveled.withColumn("digit", digit)
-        .withColumn("prefix", prefix)
-        .groupBy(*group, "before_a")
-        .agg(*[F.sum(F.when(F.col("digit") == d, F.col("w")).otherwise(0)).alias(f"d{d}") for d in range(base)])
-        .withColumn("part", F.floor(F.col("before_a") / F.lit(stretch)))
+    discordant = placed.sparkSession.sql(
+        f"""
+        WITH leveled AS (
+            SELECT i, j, w, before_a, level,
+                   cast(shiftright(before_b, level * {DIGIT_BITS}) & {base - 1} AS int) AS digit,
+                   CASE WHEN (level + 1) * {DIGIT_BITS} >= 63 THEN 0
+                        ELSE shiftright(before_b, (level + 1) * {DIGIT_BITS}) END AS prefix
+            FROM {{placed}} LATERAL VIEW explode(sequence(0, {levels - 1})) AS level),
+        folded AS (
+            SELECT {group}, before_a, floor(before_a / {stretch}) AS part,
+                   {listed("sum(CASE WHEN digit = {d} THEN w ELSE 0 END) AS d{d}")}
+            FROM leveled GROUP BY {group}, before_a),
+        walked AS (
+            SELECT {group}, part, {listed("d{d}")}, {listed("coalesce(sum(d{d}) OVER walk, 0) AS e{d}", upper)}
+            FROM folded
+            WINDOW walk AS (PARTITION BY {group}, part ORDER BY before_a
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)){offsets}
+        SELECT i, j, sum({terms}) AS disc FROM {source} GROUP BY i, j
+        """,
+        placed=placed,
     )
-    walk = Window.partitionBy(*group, "part").orderBy("before_a").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = {d: F.coalesce(F.sum(f"d{d}").over(walk), F.lit(0)) for d in range(1, base)}
-    local = folded.select(*group, "part", *[f"d{d}" for d in range(base)], *[c.alias(f"e{d}") for d, c in earlier.items()])
-    if rows > stretch:
-        sums = folded.groupBy(*group, "part").agg(*[F.sum(f"d{d}").alias(f"s{d}") for d in range(1, base)])
-        parts = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sums.select(*group, "part", *[F.coalesce(F.sum(f"s{d}").over(parts), F.lit(0)).alias(f"o{d}") for d in range(1, base)])
-        local = local.join(offsets, [*group, "part"])
-        ahead = {d: F.col(f"e{d}") + F.col(f"o{d}") for d in range(1, base)}
-    else:
-        ahead = {d: F.col(f"e{d}") for d in range(1, base)}
-    terms = [
-        F.col(f"d{d}").cast("double") * reduce(lambda x, y: x + y, [ahead[g] for g in range(d + 1, base)])
-        for d in range(base - 1)
-    ]
-    discordant = local.groupBy("i", "j").agg(F.sum(reduce(lambda x, y: x + y, terms)).alias("disc"))
 
     def tied(w: str) -> Column:
         return F.col(w).cast("double") * (F.col(w) - 1) / 2
 
+    # One row per pair, or per side of a pair, from here on.
     cells = placed.groupBy("i", "j").agg(F.sum("w").cast("double").alias("n"), F.sum(tied("w")).alias("tab"))
     ties = ranks.groupBy("side").agg(F.sum(tied("w")).alias("t"))
     ties_a = ties.select(F.col("side").alias("_sa"), F.col("t").alias("ta"))
     ties_b = ties.select(F.col("side").alias("_sb"), F.col("t").alias("tb"))
     facts = (
-        cells.withColumn("_sa", side_a)
-        .withColumn("_sb", side_b)
+        cells.select("*", side_a.alias("_sa"), side_b.alias("_sb"))
         .join(F.broadcast(ties_a), "_sa")
         .join(F.broadcast(ties_b), "_sb")
         .join(F.broadcast(discordant), ["i", "j"])
     )
-    total = F.col("n") * (F.col("n") - 1) / 2
-    top = total - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.col("disc")
-    below = F.sqrt(total - F.col("ta")) * F.sqrt(total - F.col("tb"))
-    return facts.select("i", "j", F.when(below > 0, _clamped(top / below)).alias("r"))
+    r = """CASE WHEN total > ta AND total > tb THEN greatest(-1.0D, least(1.0D,
+             (total - ta - tb + tab - 2 * disc) / (sqrt(total - ta) * sqrt(total - tb)))) END AS r"""
+    return facts.selectExpr("*", "n * (n - 1) / 2 AS total").selectExpr("i", "j", r)
 
 
 def strong_pairs(matrix: DataFrame, names: Sequence[str], threshold: float = 0.7, max_pairs: int | None = None) -> DataFrame:
