@@ -237,8 +237,8 @@ def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int |
         keys_total = 2 * len(pairs)
     ranks_total = distinct * keys_total
     ranks = rank_values(counts, ["side"], distinct, one_task=one_task)
-    if ranks_total > limits.BROADCAST_ROWS:
-        ranks, cells = checkpointed(ranks), checkpointed(cells)
+    # Both are used several times below, and each stands for a pass over the table.
+    ranks = checkpointed(ranks)
 
     keyed = cells.withColumn("_sa", side_a).withColumn("_sb", side_b)
     take_a = {"before_a": "before", "wa": "w"}
@@ -246,6 +246,7 @@ def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int |
     placed = join_by_value(keyed, ranks, [("_sa", "side"), ("a", "value")], take_a, rows, ranks_total)
     placed = join_by_value(placed, ranks, [("_sb", "side"), ("b", "value")], take_b, rows, ranks_total)
 
+    placed = checkpointed(placed)
     if method == "spearman":
         half = _spearman(placed)
     else:

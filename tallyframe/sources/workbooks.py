@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator, Sequence
 from datetime import date, datetime, timedelta
@@ -15,6 +16,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,10 @@ SHEET_SCHEMA = "source_path string, sheet_index int, sheet string"
 _BATCH = 10_000
 
 
+# The reader travels with the tasks, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class _Book:
     def __init__(self, content: bytes) -> None:
         self.zip = zipfile.ZipFile(io.BytesIO(content))
