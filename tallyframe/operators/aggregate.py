@@ -197,24 +197,15 @@ def value_counts(df: DataFrame, column: str, top_n: int | None = None) -> DataFr
 
 def top_n_with_others(df: DataFrame, column: str, top_n: int = 5, others: bool = True) -> DataFrame:
     """``value, count, percent``: the most frequent values and, in one row, all the rest."""
-    counts = (
-        df.where(~is_missing(df, column))
-        .groupBy(col(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    top = counts.orderBy(F.desc("count"), F.asc("value")).limit(top_n)
-    total = counts.agg(F.sum("count").alias("_total"))
-    if others:
-        rest = total.crossJoin(top.agg(F.sum("count").alias("_top"))).select(
-            F.lit("Others").alias("value"), (F.col("_total") - F.col("_top")).alias("count")
-        )
-        shown = top.unionByName(rest.where("count > 0"))
-    else:
-        total = top.agg(F.sum("count").alias("_total"))
-        shown = top
-    return shown.crossJoin(F.broadcast(total)).select(
-        "value", "count", F.round(F.col("count") / F.col("_total") * 100, 1).alias("percent")
-    )
+    present_rows = df.where(~is_missing(df, column)).select(col(column).cast("string").alias("value"))
+    # No more than top_n rows and one total reach the driver.
+    shown = [(r["value"], r["count"]) for r in value_counts(present_rows, "value", top_n).collect()]
+    total = present_rows.count() if others else sum(n for _, n in shown)
+    rest = total - sum(n for _, n in shown)
+    if rest:
+        shown.append(("Others", rest))
+    table = df.sparkSession.createDataFrame(shown, "value string, count bigint")
+    return table.withColumn("percent", F.round(F.col("count") / F.lit(total) * 100, 1))
 
 
 def automatic_group_column(df: DataFrame, low: int = 2, high: int = 10) -> str | None:

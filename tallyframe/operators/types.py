@@ -178,10 +178,7 @@ def narrow_integers(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def categorical_candidates(df: DataFrame, max_ratio: float = 0.5, exact: bool = True) -> DataFrame:
     """Text columns with fewer distinct values than half the rows: ``column, unique_count, is_categorical``."""
-    names = text_columns(df)
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        distinct_counts(df, names, exact)
-        .crossJoin(F.broadcast(rows))
-        .select("column", "unique_count", (F.col("unique_count") < F.col("_rows") * max_ratio).alias("is_categorical"))
+    rows = df.count()
+    return distinct_counts(df, text_columns(df), exact).select(
+        "column", "unique_count", (F.col("unique_count") < F.lit(rows * max_ratio)).alias("is_categorical")
     )

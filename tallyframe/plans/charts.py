@@ -207,8 +207,8 @@ def box_stats(df: DataFrame, column: str, by: str | None = None, reach: float =
         q = table_quantiles(rows, [column], probs, exact=exact)[column]
         if q[0.5] is None:
             raise ValueError(f"no value in {column}")
-        boxes = few_rows(df, [(q[0.25], q[0.5], q[0.75])], "q1 double, median double, q3 double")
-        placed = rows.select(v.alias("_v")).crossJoin(boxes)  # one row on the right
+        marks = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+        placed = rows.select(v.alias("_v"), *[F.lit(q[p]).alias(n) for n, p in marks.items()])
         keys: list[str] = []
     else:
         rows = rows.where(~is_missing(df, by))
@@ -231,18 +231,19 @@ def box_stats(df: DataFrame, column: str, by: str | None = None, reach: float =
 
 def box_outliers(df: DataFrame, column: str, by: str | None = None, reach: float = 1.5, exact: bool = True) -> DataFrame:
     """The points drawn beyond the whiskers, all of them."""
-    boxes = box_stats(df, column, by, reach, exact)
+    v = as_double(df, column)
+    rows = df.where(~is_missing(df, column)).select(*([col(by)] if by else []), v.alias("value"))
     span = (F.col("q3") - F.col("q1")) * reach
-    fences = boxes.select(
-        *([col(by).alias("_by")] if by else []), (F.col("q1") - span).alias("_lo"), (F.col("q3") + span).alias("_hi")
-    )
+    lo, hi = F.col("q1") - span, F.col("q3") + span
+    boxes = box_stats(df, column, by, reach, exact)
+    if by is None:
+        fence = boxes.select(lo.alias("lo"), hi.alias("hi")).first()
+        return rows.where((F.col("value") < fence["lo"]) | (F.col("value") > fence["hi"]))
+    fences = boxes.select(col(by).alias("_by"), lo.alias("_lo"), hi.alias("_hi"))
     copy = local_copy(fences, limits.BROADCAST_ROWS)
     fences = fences if copy is None else F.broadcast(copy)
-    v = as_double(df, column)
-    rows = df.where(~is_missing(df, column)).select(*([col(by)] if by else []), v.alias("value"))
-    joined = rows.join(fences, col(by) == F.col("_by")) if by else rows.crossJoin(fences)
     beyond = (F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))
-    return joined.where(beyond).select(*([col(by)] if by else []), "value")
+    return rows.join(fences, col(by) == F.col("_by")).where(beyond).select(col(by), "value")
 
 
 def top_variance(df: DataFrame, top_n: int = 5) -> DataFrame:
