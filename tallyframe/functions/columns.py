@@ -8,11 +8,14 @@ missing.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe import limits
+
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType)
 DATETIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -114,8 +117,13 @@ def unpivot(df: DataFrame, values: dict[str, Column], keys: Sequence[str] = ())
     """Long form ``(keys..., column, value)`` without missing values.
 
     The rows are made inside the scan task; whatever aggregates them next
-    combines map-side, so the long form itself is never shuffled.
+    combines map-side, so the long form itself is never shuffled. Wide tables
+    go in blocks of columns, each reading only its own and each small enough
+    for generated code.
     """
-    wide = df.select(*[col(k) for k in keys], *[v.alias(n) for n, v in values.items()])
-    long = wide.unpivot([col(k) for k in keys], [col(n) for n in values], "column", "value")
-    return long.where(F.col("value").isNotNull())
+    names, parts = list(values), []
+    for i in range(0, len(names), limits.UNPIVOT_COLUMNS):
+        block = names[i : i + limits.UNPIVOT_COLUMNS]
+        wide = df.select(*[col(k) for k in keys], *[values[n].alias(n) for n in block])
+        parts.append(wide.unpivot([col(k) for k in keys], [col(n) for n in block], "column", "value"))
+    return reduce(DataFrame.union, parts).where(F.col("value").isNotNull())

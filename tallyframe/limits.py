@@ -13,6 +13,9 @@ BROADCAST_ROWS = 100_000
 # Columns per fused aggregate: keeps the generated code inside one method.
 FUSED_COLUMNS = 24
 
+# Columns turned into rows by one step.
+UNPIVOT_COLUMNS = 12
+
 # Columns up to which every pair of a correlation is its own aggregate.
 PAIRWISE_CORR_COLUMNS = 30
 
