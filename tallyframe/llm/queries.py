@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(
         _table(spark, sf_dir, "documents"),
@@ -25,7 +29,50 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+# The SQL takes the query's own parameters: limits, the prior by moments, windows of eight words.
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS host,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+win AS (
+  SELECT id, s, count(*) OVER (PARTITION BY id, g) AS n
+  FROM (SELECT id, s, array_to_string(w[s + 1 : s + 8], ' ') AS g
+        FROM (SELECT id, w, unnest(range(0, len(w) - 7)) AS s FROM d WHERE len(w) >= 8))),
+rep AS (
+  SELECT id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT id, unnest(range(s, s + 8)) AS p FROM win WHERE n > 1) GROUP BY id),
+ln AS (
+  SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+m AS (
+  SELECT d.id, doc_id, host, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (id) LEFT JOIN ln USING (id)),
+r AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         CAST(100 * n_symbols > 10 * word_chars AS BIGINT) + CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT)
+         + CAST(word_chars > 25 * n_words AS BIGINT) AS soft_failures,
+         CAST(100 * n_symbols > 4 * word_chars AS BIGINT) + CAST(100 * n_dup_lines > 20 * n_lines AS BIGINT)
+         + CAST(word_chars > 15 * n_words AS BIGINT) AS strict_failures
+  FROM m),
+h AS (
+  SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed OR soft_failures > 0 AS INT)) AS DOUBLE) AS f FROM r GROUP BY host),
+fit AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 AS var FROM h),
+prior AS (SELECT mean, var, greatest(1.0, mean * (1 - mean) / nullif(var, 0) - 1) AS s FROM fit),
+v AS (
+  SELECT host, CASE WHEN var > 1e-12 THEN (f + mean * s) / (n + s) ELSE mean END > 0.5 AS host_rejected FROM h, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND CASE WHEN host_rejected THEN strict_failures ELSE soft_failures END = 0 AS kept,
+       soft_failures, strict_failures, host_rejected
+FROM r JOIN v USING (host)
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY_SQL.strip()}
