@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, quality
+from . import bpe, html, langid, licenses, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(_table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(
         _table(spark, sf_dir, "documents"),
@@ -40,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_html_extraction": op6_html_extraction,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
