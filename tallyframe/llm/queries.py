@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, licenses, quality
+from . import bpe, html, langid, licenses, minhash, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +40,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_report(_table(spark, sf_dir, "documents"), minhash.Likeness(shingle=3, percent=85))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_minhash_neardup": op10_minhash_neardup,
 }
 
 # The SQL takes the query's own parameters: limits, the prior by moments, windows of eight words.
