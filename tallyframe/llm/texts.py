@@ -199,25 +199,31 @@ def keyed(documents: DataFrame) -> DataFrame:
     Rows that repeat an id with the same text share a key; what is found out
     by key is the same for all of them.
     """
-    return documents.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    return documents.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def packed(documents: DataFrame) -> DataFrame:
     """``keyed`` with compressed texts in ``packed``, for joins that have to move them."""
-    ship(documents.sparkSession)
-    return keyed(documents).mapInArrow(_pack, "row_key long, doc_id long, packed binary")
+    return pack_texts(keyed(documents))
+
+
+def pack_texts(df: DataFrame) -> DataFrame:
+    """``df`` with ``text`` replaced by ``packed`` (binary), the compressed text."""
+    ship(df.sparkSession)
+    types = ", ".join("packed binary" if f.name == "text" else f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(_pack, types)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
     for batch in batches:
+        at = batch.schema.get_field_index("text")
+        names = ["packed" if i == at else n for i, n in enumerate(batch.schema.names)]
         for first in range(0, batch.num_rows, 2048):
             part = batch.slice(first, 2048)
-            texts = part.column(2).cast(pa.binary())
-            out = [pack(t.as_buffer()) if t.is_valid else None for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(out, pa.binary())], names=["row_key", "doc_id", "packed"]
-            )
+            texts = part.column(at).cast(pa.binary())
+            out = pa.array([pack(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(part.columns)], names=names)
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
