@@ -6,10 +6,12 @@ is to be found out about equal windows is found out among the blocks of one
 minimizer. A block is a run of consecutive windows whose minimizer stands at
 the same place, so that no two windows of a block are equal; there are about ``(window - gram) / 2`` times fewer blocks than windows.
 
-A few minimizers may be very frequent (a phrase that millions of texts share in
-different surroundings). Their windows become blocks of their own, keyed by the
-window itself, so that no key gathers more than its repetitions; and of equal
-blocks in one chunk of texts only the first is passed on.
+Some runs may be very frequent: a phrase that millions of texts share in
+different surroundings. Those are counted beforehand and come last in the order
+by which minimizers are chosen, so that they are one only of windows that hold
+nothing else, which repeat as a whole. Of equal blocks in one chunk of texts
+only the first is passed on, so that no key gathers more than its distinct
+blocks, once per chunk.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import _stored
-from .texts import Rolling, inner_windows, mix, signed, sliding_min
+from .texts import Rolling, inner_windows, signed, sliding_min
 
 
 @dataclass
@@ -35,40 +37,44 @@ class Blocks:
     row: np.ndarray
     start: np.ndarray  # first window's first unit, counted in the chunk
     n: np.ndarray  # windows
-    window_hashes: np.ndarray  # of all windows, block after block
+    windows: np.ndarray  # starts of all windows, block after block
     first_window: np.ndarray  # one more than blocks
 
 
-def minimizer_blocks(
-    rolling: Rolling, first: np.ndarray, window: int, gram: int, hot: np.ndarray | None = None, with_windows: bool = True
-) -> Blocks | None:
+def _demoted(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Hashes with the frequent ones behind all others, each still told apart from the others."""
+    ranked = grams >> np.uint64(1)
+    if len(hot):
+        low = np.uint64((1 << 20) - 1)
+        maybe = np.zeros(1 << 20, dtype=bool)
+        maybe[hot & low] = True
+        at = np.flatnonzero(maybe[ranked & low])
+        place = np.minimum(np.searchsorted(hot, ranked[at]), len(hot) - 1)
+        ranked[at[hot[place] == ranked[at]]] |= np.uint64(1 << 63)
+    return ranked
+
+
+def minimizer_blocks(rolling: Rolling, first: np.ndarray, window: int, gram: int, hot: np.ndarray | None = None) -> Blocks | None:
     """Blocks of all windows that lie within one row. ``first``: each row's first unit. ``hot``: sorted frequent minimizers."""
     starts = inner_windows(first, window)
     if not len(starts):
         return None
-    grams = rolling.grams(gram)
+    grams = _demoted(rolling.grams(gram), hot if hot is not None else np.zeros(0, dtype=np.uint64))
     least = sliding_min(grams, window - gram + 1)[starts]
-    alone = np.zeros(len(starts), dtype=bool)
-    if hot is not None and len(hot):
-        at = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
-        alone = hot[at] == least
-    hashes = rolling.grams(window)[starts] if with_windows or alone.any() else least
-    new = alone.copy()
-    new[0] = True
-    new[1:] |= (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
     # Where a window begins with its minimizer, the next one has another, or the same value at another place.
     new[1:] |= grams[starts[:-1]] == least[:-1]
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(starts)))
-    key = np.where(alone[begin], mix(hashes[begin], 5), least[begin])
     start = starts[begin]
     return Blocks(
-        key,
+        least[begin],
         rolling.ranges(start, start + n + (window - 1), seed=9),
         np.searchsorted(first, start, side="right") - 1,
         start,
         n,
-        hashes,
+        starts,
         np.append(begin, len(starts)),
     )
 
@@ -100,7 +106,7 @@ def hot_report(blocks: Blocks | None, of: np.ndarray | None) -> pa.RecordBatch:
         keys, counts = np.unique(blocks.key[distinct], return_counts=True)
         total = int(counts.sum())
         often = counts >= max(_HOT_FLOOR, HOT_SHARE * total)
-        keys, counts = keys[often], counts[often]
+        keys, counts = keys[often] & np.uint64((1 << 63) - 1), counts[often]
     return pa.RecordBatch.from_arrays(
         [pa.array([*signed(keys).tolist(), None], pa.int64()), pa.array([*counts.tolist(), total], pa.int64())], names=["key", "n"]
     )

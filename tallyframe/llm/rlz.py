@@ -35,7 +35,7 @@ def _frequent(documents: DataFrame, window: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             found = words(chunk, SPACED)
-            blocks = minimizer_blocks(Rolling(found.codes), found.first, window, _gram(window), with_windows=False)
+            blocks = minimizer_blocks(Rolling(found.codes), found.first, window, _gram(window))
             of = repeats_in_chunk(blocks, row_order(chunk.rows))[0] if blocks is not None else None
             yield hot_report(blocks, of)
 
@@ -57,14 +57,15 @@ def reference_blocks(documents: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             found = words(chunk, SPACED)
-            blocks = minimizer_blocks(Rolling(found.codes), found.first, window, _gram(window), hot.value)
+            rolling = Rolling(found.codes)
+            blocks = minimizer_blocks(rolling, found.first, window, _gram(window), hot.value)
             if blocks is None:
                 continue
             rank = row_order(chunk.rows)
             of, _ = repeats_in_chunk(blocks, rank)
             place = blocks.start - found.first[blocks.row]
             later = (rank[blocks.row] != rank[blocks.row[of]]) | (place != place[of])
-            hashes = np.ascontiguousarray(blocks.window_hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES])
+            hashes = np.ascontiguousarray(rolling.grams(window)[blocks.windows].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES])
             edges = (blocks.first_window * _BYTES).astype(np.int32)
             windows = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(edges), pa.py_buffer(hashes)])
             ids = chunk.rows.column(chunk.rows.schema.get_field_index("doc_id"))
