@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import _stored
@@ -136,6 +136,37 @@ def row_order(batch: pa.RecordBatch) -> np.ndarray:
     return rank
 
 
+PLACE = ("unnamed", "doc_id", "twin", "start")
+
+
+def place() -> Column:
+    """Where a block or window stands, in the order of documents (null ids last) and of units."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "twin", "start")
+
+
+def compared(blocks: DataFrame, content: str = "content") -> DataFrame:
+    """``blocks`` with ``several`` (the key has different contents), and the first and last place of the same content.
+
+    One sort by key, content and place serves all three; a partition that does not fit in memory spills.
+    """
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    by_key = Window.partitionBy("key").orderBy(content, *PLACE).rowsBetween(*whole)
+    equal = Window.partitionBy("key", content).orderBy(*PLACE).rowsBetween(*whole)
+    return (
+        blocks.withColumn("unnamed", F.col("doc_id").isNull())
+        .withColumn("several", F.first(content).over(by_key) != F.last(content).over(by_key))
+        .withColumn("top", F.first(place()).over(equal))
+        .withColumn("end", F.last(place()).over(equal))
+    )
+
+
+def window_pieces(size: int) -> Column:
+    """``windows`` cut into the hash of each window."""
+    return F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("windows"), i * size + 1, F.lit(size))
+    )
+
+
 def with_twin(documents: DataFrame) -> DataFrame:
     """``doc_id, twin, text``: ``twin`` tells rows of one id with different texts apart."""
     return documents.select(

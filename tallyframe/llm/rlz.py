@@ -11,15 +11,14 @@ next factor may start before the end of the last one. Factors have at least
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import hot_keys, hot_report, minimizer_blocks, repeats_in_chunk, row_order, slices, with_twin
+from .blocks import compared, hot_keys, hot_report, minimizer_blocks, place, repeats_in_chunk, row_order, slices, window_pieces, with_twin
 from .shipping import ship
 from .texts import SPACED, Rolling, chunks, mix, pack_texts, signed, unpacked, words
 
@@ -63,8 +62,8 @@ def reference_blocks(documents: DataFrame, window: int) -> DataFrame:
                 continue
             rank = row_order(chunk.rows)
             of, _ = repeats_in_chunk(blocks, rank)
-            place = blocks.start - found.first[blocks.row]
-            later = (rank[blocks.row] != rank[blocks.row[of]]) | (place != place[of])
+            at = blocks.start - found.first[blocks.row]
+            later = (rank[blocks.row] != rank[blocks.row[of]]) | (at != at[of])
             hashes = np.ascontiguousarray(rolling.grams(window)[blocks.windows].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES])
             edges = (blocks.first_window * _BYTES).astype(np.int32)
             windows = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(edges), pa.py_buffer(hashes)])
@@ -75,11 +74,11 @@ def reference_blocks(documents: DataFrame, window: int) -> DataFrame:
                 pa.array(signed(np.where(later, spread, blocks.key))),
                 ids.take(pa.array(blocks.row)),
                 twins.take(pa.array(blocks.row)),
-                pa.array(place.astype(np.int32)),
+                pa.array(at.astype(np.int32)),
                 pa.array(blocks.n.astype(np.int32)),
                 windows,
                 ids.take(pa.array(blocks.row[of])),
-                pa.array(place[of].astype(np.int32)),
+                pa.array(at[of].astype(np.int32)),
             ]
             names = ["key", "doc_id", "twin", "start", "n", "windows", "ref_id", "ref_start"]
             whole = pa.RecordBatch.from_arrays(arrays, names=names)
@@ -97,10 +96,6 @@ def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(part.start, part.stop - part.start)
 
 
-def _order():
-    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("twin"), F.col("start"))
-
-
 def earlier_places(blocks: DataFrame) -> DataFrame:
     """``doc_id, twin, start, n, ref_id, ref_start``: runs of ``n`` windows that stand at an earlier place too.
 
@@ -109,31 +104,20 @@ def earlier_places(blocks: DataFrame) -> DataFrame:
     by one only if its minimizer has other blocks as well.
     """
     known = blocks.filter("windows is null").select("doc_id", "twin", "start", "n", "ref_id", "ref_start")
-    by_key = blocks.filter("windows is not null").drop("ref_id", "ref_start").repartition("key")
-    order = ["unnamed", "doc_id", "twin", "start"]
-    keyed = by_key.withColumn("content", F.xxhash64("windows")).withColumn("unnamed", F.col("doc_id").isNull())
-    whole_key = Window.partitionBy("key").orderBy("content", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    equal = Window.partitionBy("key", "content").orderBy(*order)
-    ranked = (
-        keyed.withColumn("several", F.first("content").over(whole_key) != F.last("content").over(whole_key))
-        .withColumn("top", F.first(_order()).over(equal))
-        .withColumn("repeated", F.col("top") != _order())
-    )
-    piece = F.when(
-        ~F.col("repeated"),
-        F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("windows"), i * _BYTES + 1, F.lit(_BYTES))),
-    )
-    parts = ranked.filter("repeated or several").withColumn("pieces", piece)
+    posted = blocks.filter("windows is not null").drop("ref_id", "ref_start").repartition("key")
+    ranked = compared(posted.withColumn("content", F.xxhash64("windows"))).withColumn("repeated", F.col("top") != place())
+    parts = ranked.filter("repeated or several").withColumn("pieces", F.when(~F.col("repeated"), window_pieces(_BYTES)))
     whole = parts.filter("repeated").select(
         "doc_id", "twin", "start", "n", F.col("top.doc_id").alias("ref_id"), F.col("top.start").alias("ref_start")
     )
-    singles = parts.filter("not repeated").select(
-        "key", "unnamed", "doc_id", "twin", F.col("start").alias("block"), F.posexplode("pieces").alias("at", "piece")
-    ).withColumn("start", F.col("block") + F.col("at"))
-    same = Window.partitionBy("key", "piece").orderBy(*order)
+    singles = (
+        parts.filter("not repeated")
+        .select("key", "doc_id", "twin", F.col("start").alias("block"), F.posexplode("pieces").alias("at", "piece"))
+        .withColumn("start", F.col("block") + F.col("at"))
+    )
     single = (
-        singles.withColumn("top", F.first(_order()).over(same))
-        .filter(F.col("top") != _order())
+        compared(singles, "piece")
+        .filter(F.col("top") != place())
         .select("doc_id", "twin", "start", F.lit(1).alias("n"), F.col("top.doc_id").alias("ref_id"), F.col("top.start").alias("ref_start"))
     )
     return known.unionByName(whole).unionByName(single)
