@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, licenses, minhash, quality, rlz, suffixes
+from . import bpe, decontaminate, html, langid, licenses, lines, minhash, quality, rlz, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +63,8 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op7_substring_dedup": op7_substring_dedup,
@@ -105,4 +115,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r JOIN v USING (host)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY_SQL.strip()}
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, list_extract(parts, i) AS line, trim(list_extract(parts, i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+w AS (SELECT doc_id, i, bare, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE bare <> ''),
+k AS (
+  SELECT doc_id, n, bare || chr(10) || lead(bare) OVER d || chr(10) || lead(bare, 2) OVER d AS key
+  FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+r AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY key ORDER BY doc_id, n) AS nth FROM k WHERE key IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(n, n + 3)) AS n FROM r WHERE nth > 1),
+m AS (
+  SELECT l.doc_id, l.i, l.line, l.bare <> '' AS word, w.n, g.n IS NOT NULL AS gone
+  FROM l LEFT JOIN w ON l.doc_id = w.doc_id AND l.i = w.i LEFT JOIN g ON g.doc_id = w.doc_id AND g.n = w.n),
+a AS (
+  SELECT *,
+    last_value(CASE WHEN word THEN gone END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    first_value(CASE WHEN word THEN gone END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+  FROM m),
+t AS (
+  SELECT doc_id, count(*) FILTER (WHERE word) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE CASE WHEN word THEN NOT gone ELSE NOT (coalesce(before, false) AND coalesce(after, false)) END), '') AS text
+  FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN t.text END AS text
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY_SQL.strip(), "op4_line_dedup": LINES_SQL.strip()}

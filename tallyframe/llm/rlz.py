@@ -11,7 +11,7 @@ next factor may start before the end of the last one. Factors have at least
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .blocks import compared, hot_keys, hot_report, minimizer_blocks, place, repeats_in_chunk, row_order, slices, window_pieces, with_twin
 from .shipping import ship
-from .texts import SPACED, Rolling, chunks, mix, pack_texts, signed, unpacked, words
+from .texts import SPACED, Chunk, Rolling, chunks, mix, pack_texts, signed, unpacked, words
 
 GRAM_SHARE = 0.4
 _BYTES = 6  # of a window's hash, besides the 64 bits of its minimizer
@@ -30,11 +30,20 @@ def _gram(window: int) -> int:
     return max(1, int(window * GRAM_SHARE))
 
 
-def _frequent(documents: DataFrame, window: int) -> np.ndarray:
+Units = Callable[[Chunk], tuple[np.ndarray, np.ndarray]]
+
+
+def spaced_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the chunk's words, and where each row's words begin."""
+    found = words(chunk, SPACED)
+    return found.codes, found.first
+
+
+def _frequent(documents: DataFrame, window: int, units: Units, gram: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            found = words(chunk, SPACED)
-            blocks = minimizer_blocks(Rolling(found.codes), found.first, window, _gram(window))
+            codes, first = units(chunk)
+            blocks = minimizer_blocks(Rolling(codes), first, window, gram)
             of = repeats_in_chunk(blocks, row_order(chunk.rows))[0] if blocks is not None else None
             yield hot_report(blocks, of)
 
@@ -44,25 +53,26 @@ def _frequent(documents: DataFrame, window: int) -> np.ndarray:
 BLOCK = "key long, doc_id long, twin int, start int, n int, windows binary, ref_id long, ref_start int"
 
 
-def reference_blocks(documents: DataFrame, window: int) -> DataFrame:
-    """Every block of every whole text, with the hashes of its windows.
+def reference_blocks(documents: DataFrame, window: int, units: Units = spaced_words, gram: int | None = None) -> DataFrame:
+    """Every block of every whole text, with the hashes of its windows of ``window`` units.
 
     A block that equals an earlier one of the same chunk has no hashes but its
     earlier place, and a key of its own that spreads.
     """
     ship(documents.sparkSession)
-    hot = documents.sparkSession.sparkContext.broadcast(_frequent(documents, window))
+    gram = gram or _gram(window)
+    hot = documents.sparkSession.sparkContext.broadcast(_frequent(documents, window, units, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            found = words(chunk, SPACED)
-            rolling = Rolling(found.codes)
-            blocks = minimizer_blocks(rolling, found.first, window, _gram(window), hot.value)
+            codes, first_unit = units(chunk)
+            rolling = Rolling(codes)
+            blocks = minimizer_blocks(rolling, first_unit, window, gram, hot.value)
             if blocks is None:
                 continue
             rank = row_order(chunk.rows)
             of, _ = repeats_in_chunk(blocks, rank)
-            at = blocks.start - found.first[blocks.row]
+            at = blocks.start - first_unit[blocks.row]
             later = (rank[blocks.row] != rank[blocks.row[of]]) | (at != at[of])
             hashes = np.ascontiguousarray(rolling.grams(window)[blocks.windows].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES])
             edges = (blocks.first_window * _BYTES).astype(np.int32)
