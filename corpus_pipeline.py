@@ -1,18 +1,63 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
+kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyframe.llm import bpe, decontaminate, lines, minhash, quality
 from tallyframe.plans.storage import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules at the limits of their host."""
+    return quality.kept_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without runs of three lines or more that stand earlier; documents that lose every line go."""
+    return lines.kept_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 over shingles of five words."""
+    return minhash.kept_documents(docs, minhash.Likeness(shingle=5, percent=80))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no item of the benchmark."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and digests of them and of what they decode to: ``doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256``."""
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded.drop("text").withColumn("packed", F.col("ids")), RANKS, ids="packed")
+    return decoded.select(
+        "doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
 
-#: Merging by ranks, Jaccard components and winnowed runs are beyond SQL; the tests compare with brute force.
+#: Merging by ranks and components of similar sets are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

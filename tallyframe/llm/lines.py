@@ -123,7 +123,7 @@ def line_report(documents: DataFrame, run: int = MIN_RUN) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame, run: int = MIN_RUN) -> DataFrame:
-    """The documents with their own columns and the text that is left; those that lost every line go."""
+    """The documents with their own columns and the text that is left (``n_chars`` follows it); those that lost every line go."""
     narrow = documents.select("doc_id", "text")
     result = (
         deduplicated(narrow, run)
@@ -134,5 +134,8 @@ def kept_documents(documents: DataFrame, run: int = MIN_RUN) -> DataFrame:
     joined = documents.join(
         result.filter("n_removed > 0"), (twin == F.col("row_twin")) & F.col("doc_id").cast("long").eqNullSafe(F.col("row_id")), "left"
     )
-    columns = [F.coalesce("left", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns]
+    changed = {"text": F.coalesce("left", "text")}
+    if "n_chars" in documents.columns:
+        changed["n_chars"] = F.when(F.col("left").isNull(), F.col("n_chars")).otherwise(F.length("left"))
+    columns = [changed[c].cast(documents.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in documents.columns]
     return joined.filter("all is null or not all").select(columns)

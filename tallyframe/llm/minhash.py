@@ -271,3 +271,13 @@ def near_duplicates(documents: DataFrame, like: Likeness = Likeness()) -> DataFr
 def near_duplicate_report(documents: DataFrame, like: Likeness) -> DataFrame:
     """Per document its set size, its component's smallest id, and whether it is that document."""
     return near_duplicates(documents, like).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def kept_documents(documents: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """One document of each group of near duplicates, with its own columns; of repeated rows (same id and text) one."""
+    result = _stored(near_duplicates(documents.select("doc_id", "text"), like).select("row_key", "kept"), "near-duplicates")
+    kept = result.filter("kept").groupBy("row_key").agg(F.count(F.lit(1)).alias("n"))
+    rows = documents.join(kept.select("row_key"), F.xxhash64("doc_id", "text") == F.col("row_key"), "left_semi")
+    if kept.filter("n > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["doc_id", "text"])
