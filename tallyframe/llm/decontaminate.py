@@ -196,5 +196,5 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, overlap: Ov
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, overlap: Overlap = DEFAULT_OVERLAP) -> DataFrame:
     """The documents that overlap no benchmark item, with their own columns."""
-    found = overlaps(documents.select("doc_id", "text"), benchmark, overlap).select("row_key").distinct()
-    return documents.join(found, F.xxhash64("doc_id", "text") == F.col("row_key"), "left_anti")
+    found = overlaps(documents.select("doc_id", "text"), benchmark, overlap).select(F.col("row_key").alias("__row_key")).distinct()
+    return documents.join(found, F.xxhash64("doc_id", "text") == F.col("__row_key"), "left_anti")

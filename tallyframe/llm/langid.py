@@ -30,7 +30,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Bounds:
     """How large the training sample and the model may get.
 
-    rows_per_language: labelled rows to learn from, about, chosen by a hash of the text.
+    rows_per_language: labelled rows to learn from, about, chosen by a hash of id and text.
     words_per_language, grams_per_language: entries kept, the most frequent ones.
     cells: entries times languages of each table; with many languages it lowers the two above.
     """
@@ -61,17 +61,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
-    """``lang, text`` of about that many rows of each language: all, or a share of them by a hash of the text.
+    """``lang, text`` of about that many rows of each language: all, or a share of them by a hash of id and text.
 
     The share follows from the languages' row counts, one row each on the driver.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    key = [c for c in ("doc_id", "text") if c in labelled.columns]
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", *key)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     large = {lang: rows_per_language / n for lang, n in counts.items() if n > rows_per_language}
     if not large:
         return rows
     shares = F.create_map(*[x for lang, share in sorted(large.items()) for x in (F.lit(lang), F.lit(int(share * (1 << 30))))])
-    place = F.shiftrightunsigned(F.xxhash64("text"), 34)
+    place = F.shiftrightunsigned(F.xxhash64(*key), 34)
     return rows.filter(place < F.coalesce(shares[F.col("lang")], F.lit(1 << 30)))
 
 

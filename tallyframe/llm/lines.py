@@ -124,18 +124,17 @@ def line_report(documents: DataFrame, run: int = MIN_RUN) -> DataFrame:
 
 def kept_documents(documents: DataFrame, run: int = MIN_RUN) -> DataFrame:
     """The documents with their own columns and the text that is left (``n_chars`` follows it); those that lost every line go."""
-    narrow = documents.select("doc_id", "text")
-    result = (
-        deduplicated(narrow, run)
+    all_gone = F.col("n_removed") == F.col("n_lines")
+    changed_rows = (
+        deduplicated(documents.select("doc_id", "text"), run)
+        .filter("n_removed > 0")
         .dropDuplicates(["row_id", "twin"])
-        .select("row_id", F.col("twin").alias("row_twin"), F.col("text").alias("left"), (F.col("n_removed") == F.col("n_lines")).alias("all"), "n_removed")
+        .select(F.col("row_id").alias("__id"), F.col("twin").alias("__twin"), F.col("text").alias("__left"), all_gone.alias("__gone"))
     )
     twin = F.shiftright(F.xxhash64("text"), 32).cast("int")
-    joined = documents.join(
-        result.filter("n_removed > 0"), (twin == F.col("row_twin")) & F.col("doc_id").cast("long").eqNullSafe(F.col("row_id")), "left"
-    )
-    changed = {"text": F.coalesce("left", "text")}
+    joined = documents.join(changed_rows, (twin == F.col("__twin")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    changed = {"text": F.coalesce("__left", "text")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("left").isNull(), F.col("n_chars")).otherwise(F.length("left"))
+        changed["n_chars"] = F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("__left"))
     columns = [changed[c].cast(documents.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in documents.columns]
-    return joined.filter("all is null or not all").select(columns)
+    return joined.filter("__gone is null or not __gone").select(columns)

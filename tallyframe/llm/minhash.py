@@ -8,10 +8,13 @@ prefix is merged, and the long lists at the end of the order are skipped: they
 are only probed when the collisions of a candidate are counted. Candidates with
 enough collisions are confirmed on their full sets.
 
-Lists are merged as stars first: all members against one. Members that are
-already known to be connected need no further comparison, so a large group of
-near copies costs its size and not its square. What is then still undecided in
-a list is compared pair by pair, so that no link is lost.
+Lists are merged as stars first: all members against one, at first the one that
+shares most. Members that are already known to be connected need no further
+comparison, so that a large group of near copies costs about its size and not
+its square. What is then still undecided is joined once more, on the rarest
+shingles of the sets themselves: two sets above the limit share one of the
+first ``n - limit n + 1``, and its places bound what they can have in common.
+No link is lost.
 """
 
 from __future__ import annotations
@@ -172,17 +175,46 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``u, v`` of different roots that can be alike, by their rarest shingles and where in the order these stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = _unpack_hashes(data.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node)), pa.array(hashes)], names=["node", "hash"])
+
+    nodes = _stored(undecided.select("node", "root").distinct(), "undecided")
+    posts = _stored(sets.join(nodes.select("node"), "node").select("node", "hashes").mapInArrow(run, "node long, hash long"), "undecided-shingles")
+    often = posts.groupBy("hash").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    sizes = posts.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    # Shingles of one set only come first in the order; they take up places of the prefix and are posted nowhere.
+    ranked = (
+        posts.join(often, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("common")).join(sizes, "node")
+    )
+    alone = F.col("n") - F.size("common")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    prefix = F.slice("common", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    listed = (
+        ranked.select("node", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "shingle"))
+        .select("node", "n", F.col("shingle.hash").alias("hash"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+        .join(nodes, "node")
+    )
+    listed = _stored(listed, "undecided-prefixes")
+    left, right = (listed.select("hash", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "rest")]) for side in "uv")
+    enough = F.least("u_rest", "v_rest") * (100 + percent) >= percent * (F.col("u_n") + F.col("v_n"))
+    return left.join(right, "hash").filter(F.expr("u_node < v_node and u_root <> v_root") & enough).select(
+        F.col("u_node").alias("u"), F.col("v_node").alias("v")
+    )
+
+
 def _links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """The ``u, v`` of ``pairs`` whose signatures collide often enough and whose sets are alike."""
     percent, keys = like.percent, F.transform("shared", lambda s: s["key"])
-    left = shared.select(F.col("node").alias("u"), keys.alias("u_keys"), F.col("n_shingles").alias("nu"))
-    right = shared.select(F.col("node").alias("v"), keys.alias("v_keys"), F.col("n_shingles").alias("nv"))
+    left = shared.select(F.col("node").alias("u"), keys.alias("u_keys"))
+    right = shared.select(F.col("node").alias("v"), keys.alias("v_keys"))
     candidates = (
-        pairs.join(left, "u")
-        .join(right, "v")
-        .filter((100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu")))
-        .filter(F.size(F.array_intersect("u_keys", "v_keys")) >= like.matches)
-        .select("u", "v")
+        pairs.join(left, "u").join(right, "v").filter(F.size(F.array_intersect("u_keys", "v_keys")) >= like.matches).select("u", "v")
     )
     candidates = _stored(candidates, "candidates")
     with_sets = (
@@ -203,12 +235,15 @@ def linked_nodes(documents: DataFrame, sketched: DataFrame, like: Likeness) -> D
     shared = _stored(_shared_keys(_nodes(sketched), like.matches), "shared-keys")
     sets = _stored(_node_sets(documents, shared, like.shingle), "shingle-sets")
     prefix = F.slice("shared", F.lit(1), F.size("shared") - (like.matches - 1))
-    posts = _stored(shared.select("node", F.explode(F.transform(prefix, lambda s: s["key"])).alias("key")), "prefixes")
+    listed = shared.select(
+        "node", "n_shingles", F.size("shared").alias("central"), F.explode(F.transform(prefix, lambda s: s["key"])).alias("key")
+    )
+    posts = _stored(listed, "prefixes")
     edges = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
     before = None
     for turn in range(STAR_ROUNDS + 1):
-        labelled = posts.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        labelled = posts.join(roots, "node", "left").select("key", "node", "n_shingles", "central", F.coalesce("root", "node").alias("root"))
         groups = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         lists = groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
         open_lists = _stored(lists.filter("n * n > nn"), "open-lists")
@@ -219,13 +254,15 @@ def linked_nodes(documents: DataFrame, sketched: DataFrame, like: Likeness) -> D
         exhaustive = turn == STAR_ROUNDS or left[0] <= 2 * left[1] or left[0] == before
         before = left[0]
         if exhaustive:
-            other = undecided.select("key", F.col("node").alias("v"), F.col("root").alias("v_root"))
-            pairs = undecided.withColumnRenamed("node", "u").join(other, "key").filter("u < v and root <> v_root")
+            pairs = _undecided_pairs(undecided, sets, like.percent)
         else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
+            order = F.struct(-F.col("central") if turn == 0 else F.lit(0), F.xxhash64("node", F.lit(turn)), "node", "root", "n_shingles")
             hubs = undecided.groupBy("key").agg(F.min(order).alias("hub"))
-            pairs = undecided.join(hubs, "key").filter("root <> hub.root").select(
-                F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")
+            sizes = F.least("n_shingles", "hub.n_shingles") * 100 >= F.greatest("n_shingles", "hub.n_shingles") * like.percent
+            pairs = (
+                undecided.join(hubs, "key")
+                .filter(F.expr("root <> hub.root") & sizes)
+                .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
             )
         found = _stored(_links(pairs.select("u", "v").distinct(), shared, sets, like), "links")
         edges = edges.unionByName(found)
@@ -277,7 +314,8 @@ def kept_documents(documents: DataFrame, like: Likeness = Likeness()) -> DataFra
     """One document of each group of near duplicates, with its own columns; of repeated rows (same id and text) one."""
     result = _stored(near_duplicates(documents.select("doc_id", "text"), like).select("row_key", "kept"), "near-duplicates")
     kept = result.filter("kept").groupBy("row_key").agg(F.count(F.lit(1)).alias("n"))
-    rows = documents.join(kept.select("row_key"), F.xxhash64("doc_id", "text") == F.col("row_key"), "left_semi")
+    keys = kept.select(F.col("row_key").alias("__row_key"))
+    rows = documents.join(keys, F.xxhash64("doc_id", "text") == F.col("__row_key"), "left_semi")
     if kept.filter("n > 1").isEmpty():
         return rows
     return rows.dropDuplicates(["doc_id", "text"])
