@@ -452,7 +452,8 @@ def _(spark, sf):
 def _resample_sql(label: str, step: str, close: str, agg: str, empty: str = "NULL") -> str:
     """``label`` maps a day to its period's end, ``close`` a step's start to the end of its period."""
     return f"""WITH p AS (SELECT ts::DATE AS d, value FROM (
-                            SELECT ts, value FROM {EVENTS_WITH_GAPS} WHERE value > 35) WHERE value IS NOT NULL),
+                            SELECT CASE WHEN event_id % 1000 = 1 THEN ts + INTERVAL 400 DAY ELSE ts END AS ts, value FROM {EVENTS_WITH_GAPS})
+                          WHERE value IS NOT NULL),
                     g AS (SELECT {label.format(d='d')} AS date, {agg} AS value FROM p GROUP BY 1),
                     s AS (SELECT {close.format(d='x::DATE')} AS date FROM (
                             SELECT unnest(generate_series((SELECT min(date) FROM g)::TIMESTAMP, (SELECT max(date) FROM g)::TIMESTAMP, INTERVAL {step})) AS x))
@@ -460,7 +461,9 @@ def _resample_sql(label: str, step: str, close: str, agg: str, empty: str = "NUL
 
 
 def _resampled(spark, sf, freq, agg):
-    df = events_with_gaps(spark, sf).where("value > 35")
+    """All events, some of them moved far ahead, so that there are periods without any."""
+    late = F.col("ts") + F.expr("INTERVAL 400 DAY")
+    df = events_with_gaps(spark, sf).withColumn("ts", F.when(F.col("event_id") % 1000 == 1, late).otherwise(F.col("ts")))
     return resample(df, "ts", "value", freq, agg)
 
 
@@ -476,20 +479,23 @@ def _(spark, sf):
 
 def _months_sql(label: str, step: str, agg: str, empty: str = "NULL") -> str:
     return f"""WITH g AS (SELECT {label.format(d='o_orderdate::DATE')} AS date, {agg} AS value
-                          FROM orders WHERE o_totalprice > 449000 GROUP BY 1),
+                          FROM (SELECT o_totalprice, CASE WHEN o_orderkey % 997 = 1 THEN o_orderdate + INTERVAL 1200 DAY ELSE o_orderdate END AS o_orderdate FROM orders) GROUP BY 1),
                     s AS (SELECT last_day(x::DATE) AS date FROM (
                             SELECT unnest(generate_series(date_trunc('month', (SELECT min(date) FROM g))::TIMESTAMP,
                                                           date_trunc('month', (SELECT max(date) FROM g))::TIMESTAMP, INTERVAL {step})) AS x))
                SELECT s.date, coalesce(g.value, {empty}) AS value FROM s LEFT JOIN g USING (date)"""
 
 
-def _dear_orders(spark, sf):
-    return table(spark, sf, "orders").where("o_totalprice > 449000")
+def _spread_orders(spark, sf):
+    """All orders, some of them moved years ahead."""
+    late = F.col("o_orderdate") + F.expr("INTERVAL 1200 DAY")
+    when = F.when(F.col("o_orderkey") % 997 == 1, late).otherwise(F.col("o_orderdate"))
+    return table(spark, sf, "orders").withColumn("o_orderdate", when)
 
 
 @query("resample_month", _months_sql("last_day({d})", "1 MONTH", "count(o_totalprice)", "0"))
 def _(spark, sf):
-    return resample(_dear_orders(spark, sf), "o_orderdate", "o_totalprice", "ME", "count")
+    return resample(_spread_orders(spark, sf), "o_orderdate", "o_totalprice", "ME", "count")
 
 
 @query(
@@ -497,7 +503,7 @@ def _(spark, sf):
     _months_sql("last_day((date_trunc('quarter', {d}) + INTERVAL 2 MONTH)::DATE)", "3 MONTH", "min(o_totalprice)"),
 )
 def _(spark, sf):
-    df = _dear_orders(spark, sf).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    df = _spread_orders(spark, sf).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return resample(df, "o_orderdate", "o_totalprice", "QE", "min")
 
 
@@ -506,7 +512,7 @@ def _(spark, sf):
     _months_sql("last_day((date_trunc('year', {d}) + INTERVAL 11 MONTH)::DATE)", "12 MONTH", "max(o_totalprice)"),
 )
 def _(spark, sf):
-    return resample(_dear_orders(spark, sf), "o_orderdate", "o_totalprice", "YE", "max")
+    return resample(_spread_orders(spark, sf), "o_orderdate", "o_totalprice", "YE", "max")
 
 
 # ---------------------------------------------------------------- whole-table jobs

@@ -184,18 +184,18 @@ def _(spark, sf):
 @query(
     "sort_values",
     f"""SELECT event_type, value, event_id FROM {EVENTS_WITH_GAPS}
-        ORDER BY event_type DESC NULLS LAST, value ASC NULLS LAST, event_id LIMIT 500""",
+        ORDER BY event_type DESC NULLS LAST, value ASC NULLS LAST, event_id""",
 )
 def _(spark, sf):
     out = sorting.sort_values(
         events_with_gaps(spark, sf, nan=False), ["event_type", "value", "event_id"], [False, True, True]
     )
-    return out.select("event_type", "value", "event_id").limit(500)
+    return out.select("event_type", "value", "event_id")
 
 
-@query("preview")
+@query("preview", "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")
 def _(spark, sf):
-    return sorting.preview(table(spark, sf, "orders"), 5)
+    return sorting.preview(table(spark, sf, "orders"), 5, ["o_totalprice", "o_orderkey"])
 
 
 @query(
@@ -307,6 +307,34 @@ def _(spark, sf):
     return out.select([sig(c).alias(c) if c.endswith("median") else F.col(c) for c in out.columns])
 
 
+@query(
+    "pivot_colliding_labels",
+    """SELECT o_orderstatus,
+              count(CASE WHEN o_custkey % 2 = 0 THEN 1 END) AS "x\\_y_z", count(CASE WHEN o_custkey % 2 = 1 THEN 1 END) AS "x_y\\_z"
+       FROM orders GROUP BY o_orderstatus""",
+)
+def _(spark, sf):
+    """Two pairs of values that read alike once joined."""
+    even = F.col("o_custkey") % 2 == 0
+    df = table(spark, sf, "orders").select(
+        "o_orderstatus", "o_orderkey", F.when(even, "x_y").otherwise("x").alias("p"), F.when(even, "z").otherwise("y_z").alias("q")
+    )
+    return aggregate.pivot_table(df, "o_orderstatus", ["p", "q"], "o_orderkey", "count")
+
+
+@query(
+    "filter_builder_large_ids",
+    """SELECT event_id, event_id + 9007199254740992 AS id FROM events
+       WHERE event_id + 9007199254740992 = 9007199254740993 OR event_id + 9007199254740992 > 9007199254741500""",
+)
+def _(spark, sf):
+    """Ids that only differ beyond the digits of a double."""
+    df = table(spark, sf, "events").select("event_id", (F.col("event_id") + F.lit(2**53)).alias("id"))
+    one = filters.filter_condition(df, "id", "equals", "9007199254740993")
+    rest = filters.filter_condition(df, "id", "greater", "9007199254741500")
+    return df.where(one | rest)
+
+
 @query("union_by_name", union_all(["SELECT c_name AS name, c_acctbal AS acctbal FROM customer", "SELECT s_name AS name, s_acctbal AS acctbal FROM supplier"]))
 def _(spark, sf):
     customers = table(spark, sf, "customer").select(F.col("c_acctbal").alias("acctbal"), F.col("c_name").alias("name"))

@@ -43,15 +43,66 @@ def _(spark, sf):
 
 @query("scan_csv_sampled", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_returnflag FROM lineitem")
 def _(spark, sf):
-    """Types from the first lines only, as for files too large to read twice."""
+    """Types guessed from the first lines and checked."""
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     path = sinks.write_table(df, scratch_path(spark, "scan-csv-sampled"), "csv")
-    back = csv.read_csv(spark, path, sample_from_bytes=0)
+    back = csv.read_csv(spark, path, types="sample")
     return back.select(
         F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("bigint"), "l_quantity", "l_returnflag"
     )
 
 
+def _halves(spark, sf, name):
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    even = F.col("n_nationkey") % 2 == 0
+    return nations.where(even), nations.where(~even), scratch_path(spark, name)
+
+
+def _one_file(df, path):
+    df.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+@query("scan_csv_header_order", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey, CASE WHEN n_nationkey % 2 = 1 THEN 'odd' END AS kind FROM nation")
+def _(spark, sf):
+    """Two files with their columns in another order, one with a column more."""
+    even, odd, path = _halves(spark, sf, "scan-csv-order")
+    _one_file(even, path)
+    _one_file(odd.select("n_regionkey", F.lit("odd").alias("kind"), "n_name", "n_nationkey"), path)
+    back = csv.read_csv(spark, path)
+    return back.select(F.col("n_nationkey").cast("bigint"), "n_name", F.col("n_regionkey").cast("bigint"), "kind")
+
+
+@query("scan_csv_partitioned", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def _(spark, sf):
+    """Folders by region, which give a column; files of one of them have their columns in another order."""
+    even, odd, path = _halves(spark, sf, "scan-csv-folders")
+    even.write.partitionBy("n_regionkey").option("header", True).csv(path)
+    odd.select("n_name", "n_nationkey", "n_regionkey").write.mode("append").partitionBy("n_regionkey").option("header", True).csv(path)
+    back = csv.read_csv(spark, path)
+    return back.select(F.col("n_nationkey").cast("bigint"), "n_name", F.col("n_regionkey").cast("bigint"))
+
+
+@query("scan_csv_spaced_path", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def _(spark, sf):
+    """A blank, a plus and a percent sign in the folder's name, and files with and without line breaks in fields."""
+    even, odd, path = _halves(spark, sf, "scan csv+odd%20name")
+    _one_file(even.select("n_nationkey", "n_name"), path)
+    _one_file(odd.select("n_nationkey", F.concat("n_name", F.lit("\n")).alias("n_name")), path)
+    back = csv.read_csv(spark, path)
+    return back.select(F.col("n_nationkey").cast("bigint"), F.regexp_replace("n_name", "\n$", "").alias("n_name"))
+
+
+@query("scan_csv_mixed_files", "SELECT printf('%03d', n_nationkey) AS code, n_name FROM nation")
+def _(spark, sf):
+    """Codes with leading zeros stay text where only one of the files makes them so."""
+    even, odd, path = _halves(spark, sf, "scan-csv-mixed")
+    code = F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code")
+    _one_file(even.select(code, "n_name"), path)
+    _one_file(odd.select(code, F.concat("n_name", F.lit("\nx")).alias("n_name")).union(spark.createDataFrame([("none", "-")], "code string, n_name string")), path)
+    back = csv.read_csv(spark, path).where("code <> 'none'")
+    return back.select("code", F.regexp_replace("n_name", "\nx$", "").alias("n_name"))
+
+
 @query(
     "sink_roundtrip",
     union_all(
@@ -72,9 +123,12 @@ def _(spark, sf):
     return union_by_name(*parts)
 
 
-@query("file_catalogue")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@query("file_catalogue", "SELECT unnest(string_split('" + _TABLES + "', ' ')) || '.parquet' AS name")
 def _(spark, sf):
-    return catalogue.list_files(spark, sf, "*.parquet").select("name", "size")
+    return catalogue.list_files(spark, sf, "*.parquet").select("name")
 
 
 @query(

@@ -18,6 +18,3 @@ UNPIVOT_COLUMNS = 12
 
 # Columns up to which every pair of a correlation is its own aggregate.
 PAIRWISE_CORR_COLUMNS = 30
-
-# Distinct values a pivot may turn into columns.
-PIVOT_VALUES = 2_000

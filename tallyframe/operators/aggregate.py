@@ -5,12 +5,12 @@ Rows with a missing group key are left out, as data frame users expect.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe import limits
 from tallyframe.functions import col, family, is_missing, known, numeric_columns
 from tallyframe.functions.columns import present
 from tallyframe.plans.quantiles import grouped_quantiles
@@ -138,16 +138,63 @@ def pivot_table(
     aggfunc: Aggregate | Sequence[Aggregate] | dict[str, Aggregate | Sequence[Aggregate]] = "mean",
     pivot_values: Sequence[str] | None = None,
     exact: bool = True,
+    max_values: int | None = None,
 ) -> DataFrame:
     """Index by columns, one aggregate per cell.
 
     Cell columns are called ``<pivot value>`` when there is one value column
-    with one function, else ``<pivot value>_<column>_<function>``. Rows and
-    columns without any value disappear. With more pivot values than
-    ``limits.PIVOT_VALUES`` the call fails instead of leaving some out.
+    with one function, else ``<pivot value>_<column>_<function>``. Several
+    pivot columns join their values by ``_``; where two combinations would get
+    one name, ``_`` and ``\\`` inside their values are escaped by ``\\``. Rows
+    and columns without any value disappear. With more pivot values than
+    ``max_values`` (by default what the engine allows) the call fails instead
+    of leaving some out; ``pivot_cells`` has no such bound.
     """
     rows_by = [index] if isinstance(index, str) else list(index)
     across = [] if columns is None else _as_list(columns)
+    long, cells = _pivot_cells(df, rows_by, across, values, aggfunc, exact)
+    if not across:
+        return long.orderBy(*[col(k) for k in rows_by])
+
+    parts = [F.coalesce(col(c).cast("string"), F.lit("")) if len(across) > 1 else col(c).cast("string") for c in across]
+    plain = F.concat_ws("_", *[col(c).cast("string") for c in across])
+    labelled = long.withColumn("_key", F.to_json(F.array(*[col(c).cast("string") for c in across]))).withColumn("_plain", plain)
+    if pivot_values is None:
+        most = max_values or int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        escaped = F.concat_ws("_", *[F.regexp_replace(p, r"([_\\])", r"\\$1") for p in parts])
+        found = labelled.select("_key", "_plain", escaped.alias("_escaped")).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} pivot values; name the wanted ones in pivot_values, or use pivot_cells")
+        often = Counter(r["_plain"] for r in found)
+        names = {r["_key"]: r["_plain"] if often[r["_plain"]] == 1 else r["_escaped"] for r in found}
+        key, wanted = "_key", sorted(names, key=names.get)
+    else:
+        key, wanted = "_plain", list(pivot_values)
+        names = {v: v for v in wanted}
+    grouped = labelled.groupBy(*[col(k) for k in rows_by]).pivot(key, wanted)
+    if len(cells) == 1:
+        out = grouped.agg(F.first(col(cells[0]), ignorenulls=True))
+    else:
+        out = grouped.agg(*[F.first(col(c), ignorenulls=True).alias(c) for c in cells])
+    # By place: the pivot's columns stand in the order of the wanted values.
+    labels = [names[v] if len(cells) == 1 else f"{names[v]}_{c}" for v in wanted for c in cells]
+    return out.toDF(*rows_by, *labels).orderBy(*[col(k) for k in rows_by])
+
+
+def pivot_cells(
+    df: DataFrame,
+    index: str | Sequence[str],
+    columns: str | Sequence[str],
+    values: str | Sequence[str] | None = None,
+    aggfunc: Aggregate | Sequence[Aggregate] | dict[str, Aggregate | Sequence[Aggregate]] = "mean",
+    exact: bool = True,
+) -> DataFrame:
+    """The cells of a pivot in long form, one row per index and pivot values: no bound on their number."""
+    rows_by = [index] if isinstance(index, str) else list(index)
+    return _pivot_cells(df, rows_by, _as_list(columns), values, aggfunc, exact)[0]
+
+
+def _pivot_cells(df: DataFrame, rows_by: list[str], across: list[str], values, aggfunc, exact: bool) -> tuple[DataFrame, list[str]]:
     if isinstance(aggfunc, dict):
         wanted = {c: _as_list(f) for c, f in aggfunc.items()}
         if values is not None:
@@ -160,28 +207,12 @@ def pivot_table(
         )
         wanted = {c: _as_list(aggfunc) for c in names}
     cells = [f"{c}_{_label(f)}" for c, fs in wanted.items() for f in fs]
-    # Cells first, long: the pivot below then only moves one row per cell.
+    # Cells first, long: the pivot then only moves one row per cell.
     long = group_and_aggregate(df, [*rows_by, *across], wanted, exact=exact, sort=False)
     filled = F.lit(False)
     for c in cells:
         filled = filled | col(c).isNotNull()
-    long = long.where(filled)
-    if not across:
-        return long.orderBy(*[col(k) for k in rows_by])
-
-    label = F.concat_ws("_", *[col(c).cast("string") for c in across])
-    labelled = long.withColumn("_label", label)
-    if pivot_values is None:
-        found = labelled.select("_label").distinct().limit(limits.PIVOT_VALUES + 1).collect()
-        if len(found) > limits.PIVOT_VALUES:
-            raise ValueError(f"more than {limits.PIVOT_VALUES} pivot values; name the wanted ones in pivot_values")
-        pivot_values = sorted(r[0] for r in found)
-    grouped = labelled.groupBy(*[col(k) for k in rows_by]).pivot("_label", list(pivot_values))
-    if len(cells) == 1:
-        out = grouped.agg(F.first(col(cells[0]), ignorenulls=True))
-    else:
-        out = grouped.agg(*[F.first(col(c), ignorenulls=True).alias(c) for c in cells])
-    return out.orderBy(*[col(k) for k in rows_by])
+    return long.where(filled), cells
 
 
 def value_counts(df: DataFrame, column: str, top_n: int | None = None) -> DataFrame:

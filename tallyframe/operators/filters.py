@@ -4,6 +4,7 @@ disappears from a negative one."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -90,18 +91,37 @@ def search_text(
     return df.where(F.lower(text).contains(pattern.lower()))
 
 
-def _number(text: Any) -> float | None:
+def _number(text: Any) -> Decimal | None:
+    """The exact number that a form's text reads as; infinities and NaN are not numbers here."""
     try:
-        return float(text)
-    except (TypeError, ValueError):
+        number = Decimal(str(text).strip())
+    except InvalidOperation:
         return None
+    return number if number.is_finite() else None
+
+
+def _as_number(c: Column, kind: str, number: Decimal, op: str) -> Column:
+    """A test against a literal of the column's own kind, so that it reaches the file scan and large ids stay exact."""
+    if kind != "integer":
+        value = F.lit(float(number))
+        return {"=": c == value, ">": c > value, "<": c < value, ">=": c >= value, "<=": c <= value}[op]
+    whole = int(number.to_integral_value(ROUND_FLOOR))
+    fraction = number != whole
+    if not -(2**63) <= whole < 2**63 - 1:
+        above = whole > 0  # every value of the column lies on one side
+        return c.isNotNull() & F.lit({"=": False, ">": not above, ">=": not above, "<": above, "<=": above}[op])
+    value = F.lit(whole)
+    if not fraction:
+        return {"=": c == value, ">": c > value, "<": c < value, ">=": c >= value, "<=": c <= value}[op]
+    return {"=": c.isNotNull() & F.lit(False), ">": c > value, ">=": c > value, "<": c <= value, "<=": c <= value}[op]
 
 
 def filter_condition(df: DataFrame, column: str, op: str, value: Any, value2: Any = None) -> Column:
     """Condition of a filter form: equals, contains, greater, less or between.
 
     ``equals`` compares as a number when the value reads as one and the
-    column is numeric. The ordered tests need numbers.
+    column is numeric. The ordered tests need numbers. Integer columns are
+    compared with integers: a fraction equals none of them.
     """
     c = col(column)
     kind = family(df.schema[column].dataType)
@@ -109,23 +129,25 @@ def filter_condition(df: DataFrame, column: str, op: str, value: Any, value2: An
     if op == "equals":
         if number is not None:
             # A number never equals a text cell.
-            return (c == F.lit(number)) if kind in ("integer", "float", "numeric") else F.lit(False)
+            return _as_number(c, kind, number, "=") if kind in ("integer", "float", "numeric") else F.lit(False)
         return (c.cast("string") if kind != "text" else c) == F.lit(str(value))
     if op == "contains":
-        return c.cast("string").rlike(str(value))
+        return (c if kind == "text" else c.cast("string")).rlike(str(value))
     if op in ("greater", "less", "between"):
         if number is None:
             raise ValueError(f"{op} needs a number, not {value!r}")
         guard = not_nan(df, column)
-        guard = F.lit(True) if guard is None else guard
+        tests = [] if guard is None else [guard]
         if op == "greater":
-            return (c > F.lit(number)) & guard
-        if op == "less":
-            return (c < F.lit(number)) & guard
-        upper = _number(value2)
-        if upper is None:
-            raise ValueError(f"between needs two numbers, not {value2!r}")
-        return (c >= F.lit(number)) & (c <= F.lit(upper)) & guard
+            tests.insert(0, _as_number(c, kind, number, ">"))
+        elif op == "less":
+            tests.insert(0, _as_number(c, kind, number, "<"))
+        else:
+            upper = _number(value2)
+            if upper is None:
+                raise ValueError(f"between needs two numbers, not {value2!r}")
+            tests = [_as_number(c, kind, number, ">="), _as_number(c, kind, upper, "<="), *tests]
+        return reduce(lambda a, b: a & b, tests)
     raise ValueError(f"unknown test {op!r}")
 
 

@@ -118,8 +118,8 @@ def impute(df: DataFrame, column: str, method: str, value: Any = None) -> DataFr
     return _filled(df, {column: fill})
 
 
-def missing_profile(df: DataFrame, top_n: int | None = 30) -> DataFrame:
-    """``column, missing_count, missing_percent`` of columns with gaps, most first."""
+def missing_profile(df: DataFrame, top_n: int | None = None) -> DataFrame:
+    """``column, missing_count, missing_percent`` of columns with gaps, most first; the first ``top_n`` where asked for."""
     rows = (
         missing_counts(df)
         .where(F.col("missing_count") > 0)

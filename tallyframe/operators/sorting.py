@@ -26,8 +26,9 @@ def sort_values(df: DataFrame, columns: Sequence[str] | str, ascending: bool | S
     return df.orderBy(*keys) if keys else df
 
 
-def preview(df: DataFrame, rows: int = 5) -> DataFrame:
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int = 5, order_by: Sequence[str] | str | None = None) -> DataFrame:
+    """The first rows: by ``order_by``, or any that come first where no order is given."""
+    return (sort_values(df, order_by) if order_by else df).limit(rows)
 
 
 def line_series(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from tallyframe.functions import col, family
 from tallyframe.functions.columns import as_double
 from tallyframe.functions.parsing import to_moment
 from tallyframe.functions.periods import PERIOD_ALIASES, PERIOD_STEPS, period_end, period_spine
+from tallyframe.plans.storage import checkpointed
 
 _AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
@@ -34,9 +35,10 @@ def resample(
     pick = _AGGREGATES.get(agg_func, F.avg)
     # Days first, combined map-side: the aggregate has one row per period.
     periods = points.groupBy(period_end(F.col("_day"), freq).alias("date")).agg(pick("_value").alias("value"))
-    spine = periods.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(
-        F.explode(period_spine(F.col("lo"), F.col("hi"), freq)).alias("date")
-    )
+    # One row per period: fetched bounds keep the source from being read a second time for the spine.
+    periods = checkpointed(periods)
+    ends = periods.agg(F.min("date"), F.max("date")).first()
+    spine = df.sparkSession.range(1).select(F.explode(period_spine(F.lit(ends[0]).cast("date"), F.lit(ends[1]).cast("date"), freq)).alias("date"))
     value = F.col("value")
     if agg_func in ("sum", "count"):
         value = F.coalesce(value, F.lit(0).cast(periods.schema["value"].dataType))

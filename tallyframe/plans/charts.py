@@ -270,19 +270,18 @@ def _uniform(chart: str, kind: str, table: DataFrame, label: Column, value: str
     )
 
 
-def chart_bundle(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = 10, correlations: bool = True) -> DataFrame:
+def chart_bundle(df: DataFrame, columns: Sequence[str] | None = None, correlations: bool = True, scatters: int | None = 2, box_texts: int | None = 3, box_numbers: int | None = 2) -> DataFrame:
     """Chart tables chosen by rule, stacked and told apart by ``chart_id``.
 
     Missing counts; a histogram per numeric column; bars per text column, and
     a pie where it has at most ten values; the correlation heat map; scatter
-    grids of the first two neighbouring numeric pairs; boxes of the first two
-    numeric columns by the first three text columns with at most ten values.
+    grids of the first ``scatters`` neighbouring numeric pairs; boxes of the
+    first ``box_numbers`` numeric columns by those of the first ``box_texts``
+    text columns that have at most ten values. None means all of them.
     """
     names = df.columns if columns is None else known(df, columns)
     numbers = [c for c in columns_of(df, "integer", "float", "timedelta") if c in names]
     texts = [c for c in text_columns(df) if c in names]
-    if columns is None:
-        numbers, texts = numbers[:max_cols], texts[:max_cols]
     few: set[str] = set()
     if texts:
         few = {r["column"] for r in distinct_counts(df, texts).collect() if r["unique_count"] <= 10}
@@ -302,15 +301,15 @@ def chart_bundle(df: DataFrame, columns: Sequence[str] | None = None, max_cols:
     if correlations and len(numbers) >= 2:
         cells = heatmap(df, numbers)
         parts.append(_uniform("correlation", "heatmap", cells, F.col("col_b"), "r", series=F.col("col_a")))
-    for a, b in list(zip(numbers, numbers[1:], strict=False))[:2]:
+    for a, b in list(zip(numbers, numbers[1:], strict=False))[:scatters]:
         grid = scatter_grid(df, a, b)
         parts.append(
             _uniform(f"scatter_{a}_{b}", "scatter", grid, F.lit(None), "count", x=F.col("gx"), y=F.col("gy"))
         )
-    for t in texts[:3]:
+    for t in texts[:box_texts]:
         if t not in few:
             continue
-        for c in numbers[:2]:
+        for c in numbers[:box_numbers]:
             boxes = box_stats(df, c, t)
             stats = ["q1", "median", "q3", "whisker_low", "whisker_high"]
             flat = boxes.select(

@@ -20,7 +20,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.xlsx") -> Dat
         .load(folder)
         .select(
             "path",
-            F.try_url_decode(name).alias("name"),
+            name.alias("name"),
             F.col("length").alias("size"),
             F.col("modificationTime").alias("modified"),
         )

@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Files of this size in total get their types from the first lines only.
-SAMPLE_FROM_BYTES = 100 * 1024 * 1024
+# Lines that a sampled schema is guessed from.
 SAMPLE_LINES = 1_000
 
 # Quotes inside a quoted field are doubled, as spreadsheets write them.
 _OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+_GLOB = re.compile(r"([*?\[\]{}\\])")
 
 
-def files_with_open_quotes(spark: SparkSession, path: str) -> tuple[list[str], list[str], int]:
-    """Files in which some field holds a line break, the other files, and their size in bytes.
+def file_heads(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
+    """(file, first line, whether some field holds a line break) of every file, in the order of their names.
 
     A line with an odd number of quotes means that a field goes on over the
-    line's end. The check is a text scan that splits like any other.
+    line's end. One text scan that splits like any other; one row per file
+    comes to the driver.
     """
-    lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    rows = (
-        lines.select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), (quotes % 2).alias("odd")
-        )
-        .groupBy("path", "size")
-        .agg(F.max("odd").alias("odd"))
-        .collect()  # one row per file
-    )
-    return (
-        sorted(r["path"] for r in rows if r["odd"]),
-        sorted(r["path"] for r in rows if not r["odd"]),
-        sum(r["size"] for r in rows),
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        (quotes % 2).alias("odd"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.struct(F.monotonically_increasing_id().alias("at"), "value")).alias("line"),
     )
+    rows = lines.groupBy("path").agg(F.max("odd").alias("odd"), F.min("line").alias("first")).collect()
+    return sorted((unquote(r["path"]), r["first"]["value"].removeprefix("﻿") if r["first"] else "", bool(r["odd"])) for r in rows)
 
 
 def read_csv(
@@ -44,53 +42,113 @@ def read_csv(
     path: str,
     schema: T.StructType | str | None = None,
     multi_line: bool | None = None,
-    sample_from_bytes: int = SAMPLE_FROM_BYTES,
+    types: str = "all",
 ) -> DataFrame:
-    """Read one file, a folder or a glob of CSV files that share their columns.
+    """Read one file, a folder or a glob of CSV files, matched by column name.
+
+    Files may differ in the order and number of their columns: an absent one is
+    missing. Folders named ``key=value`` below ``path`` give columns. Only files
+    that really have line breaks inside fields are read whole by one task each;
+    all others split. ``multi_line`` skips the scan that tells them, and files
+    with unlike headers, apart.
 
-    Only files that really have line breaks inside fields are read whole by
-    one task each; all others split. ``multi_line`` skips the check that
-    tells them apart. Types come from all values, or, from
-    ``sample_from_bytes`` on, from the first lines; then a later value that
-    does not fit stops the query rather than turning into a missing one.
+    types: ``all`` takes them from all values; ``sample`` guesses from the first
+    lines, checks the guess in one scan and turns a column that does not fit
+    into text. A column whose type differs between files is read as text or,
+    if all its types are numbers, as the wider one.
     """
-    if multi_line is None:
-        broken, plain, size = files_with_open_quotes(spark, path)
-    else:
-        files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
-        names = sorted(r["path"] for r in files)
-        broken, plain = (names, []) if multi_line else ([], names)
-        size = sum(r["length"] for r in files)
-    sampled = schema is None and size >= sample_from_bytes
-    if schema is None:
-        schema = _first_lines_schema(spark, (plain or broken)[0], bool(not plain)) if sampled else None
-    parts = []
-    for names, spread in ((plain, False), (broken, True)):
-        if names:
-            reader = spark.read.options(**_OPTIONS).option("multiLine", spread)
-            if sampled:
-                reader = reader.option("mode", "FAILFAST")
-            parts.append(reader.csv(names, schema=schema, inferSchema=schema is None))
-    if not parts:
+    if types not in ("all", "sample"):
+        raise ValueError(f"types must be all or sample, not {types!r}")
+    if multi_line is not None:
+        return _typed(spark, [(path, multi_line, None)], None, schema, types)
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for name, head, spread in file_heads(spark, path):
+        groups.setdefault((head, spread), []).append(name)
+    if not groups:
         raise FileNotFoundError(path)
-    if len(parts) == 2 and parts[0].schema != parts[1].schema:
-        parts = _same_types(parts)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _first_lines_schema(spark: SparkSession, path: str, spread: bool) -> T.StructType:
-    if spread:
-        return spark.read.options(**_OPTIONS).csv(path, multiLine=True, inferSchema=True).schema
-    head = [r["value"] for r in spark.read.text(path).limit(SAMPLE_LINES + 1).collect()]
-    return spark.read.options(**_OPTIONS).csv(spark.sparkContext.parallelize(head, 1), inferSchema=True).schema
-
-
-def _same_types(parts: list[DataFrame]) -> list[DataFrame]:
-    """Types that both halves fit: equal ones stay, two numbers become double, anything else text."""
-    first, second = parts
-    numbers = {"int", "bigint", "double"}
-    types = {}
-    for f in first.schema.fields:
-        a, b = f.dataType.simpleString(), second.schema[f.name].dataType.simpleString()
-        types[f.name] = a if a == b else "double" if {a, b} <= numbers else "string"
-    return [p.select([F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()]) for p in parts]
+    if len(groups) == 1:
+        ((_, spread),) = groups
+        return _typed(spark, [(path, spread, None)], None, schema, types)
+    root = path.rstrip("/")
+    below = all(root + "/" in name for names in groups.values() for name in names)
+    base = path if below and not _GLOB.search(path) else None
+    parts = [([_GLOB.sub(r"\\\1", n) for n in names], spread, head) for (head, spread), names in sorted(groups.items())]
+    return _typed(spark, parts, base, schema, types)
+
+
+def _typed(
+    spark: SparkSession,
+    parts: Sequence[tuple[str | list[str], bool, str | None]],
+    base: str | None,
+    schema: T.StructType | str | None,
+    types: str,
+) -> DataFrame:
+    def frame(names: str | list[str], spread: bool, **options) -> DataFrame:
+        reader = spark.read.options(**_OPTIONS).option("multiLine", spread)
+        if base:
+            reader = reader.option("basePath", base)
+        return reader.csv(names, **options)
+
+    texts = [frame(names, spread, inferSchema=False) for names, spread, _ in parts]
+    own = [_header_columns(t, head) for t, (_, _, head) in zip(texts, parts, strict=True)]
+    if schema is not None:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        kinds = {f.name: f.dataType for f in wanted.fields}
+        if len(parts) == 1:  # the caller's names, by place
+            names, spread, _ = parts[0]
+            return frame(names, spread, schema=wanted)
+    elif types == "all":
+        kinds = _common_types([frame(names, spread, inferSchema=True).schema for names, spread, _ in parts])
+    else:
+        kinds = _sampled_types(spark, texts, own)
+    read = []
+    for (names, spread, _), text, columns in zip(parts, texts, own, strict=True):
+        fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in columns]
+        typed = frame(names, spread, schema=T.StructType(fields))
+        partitions = [c for c in text.columns if c not in columns]
+        kept = [c for c in columns if schema is None or c in kinds]
+        read.append(typed.select([F.col(f"`{c}`") for c in [*kept, *partitions]]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+
+
+def _header_columns(text: DataFrame, head: str | None) -> list[str]:
+    """The names that the file itself holds, without those of its folders."""
+    if head is None or '"' in head and head.count('"') % 2:
+        partitions = set(re.findall(r"([^/=]+)=[^/]*/", unquote((text.inputFiles() or [""])[0])))
+        return [c for c in text.columns if c not in partitions]
+    return text.columns[: len(next(csv.reader([head]), []))]
+
+
+def _common_types(schemas: Sequence[T.StructType]) -> dict[str, T.DataType]:
+    """Per column the type that all files fit."""
+    rank = {"int": 0, "bigint": 1, "double": 2}
+    kinds: dict[str, T.DataType] = {}
+    for field in (f for s in schemas for f in s.fields):
+        known, new = kinds.get(field.name, field.dataType), field.dataType
+        a, b = known.simpleString(), new.simpleString()
+        if a in rank and b in rank:
+            kinds[field.name] = known if rank[a] >= rank[b] else new
+        else:
+            kinds[field.name] = known if a == b else T.StringType()
+    return kinds
+
+
+def _sampled_types(spark: SparkSession, texts: Sequence[DataFrame], own: Sequence[list[str]]) -> dict[str, T.DataType]:
+    """Types guessed from the first rows of each part, and checked against all rows in one aggregate per part."""
+    guesses = []
+    for text, columns in zip(texts, own, strict=True):
+        head = text.select([F.col(f"`{c}`") for c in columns]).limit(SAMPLE_LINES).collect()
+        lines = [",".join('"' + str(v).replace('"', '""') + '"' if v is not None else "" for v in row) for row in [columns, *head]]
+        guesses.append(spark.read.options(**_OPTIONS).csv(spark.sparkContext.parallelize(lines, 1), inferSchema=True).schema)
+    kinds = _common_types(guesses)
+    for text, columns in zip(texts, own, strict=True):
+        checked = [c for c in columns if kinds[c] != T.StringType()]
+        if checked:
+            misfits = text.agg(
+                *[
+                    F.max(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(kinds[c]).isNull()).alias(f"m{i}")
+                    for i, c in enumerate(checked)
+                ]
+            ).first()
+            kinds |= {c: T.StringType() for i, c in enumerate(checked) if misfits[f"m{i}"]}
+    return kinds

@@ -122,13 +122,28 @@ def test_pivot_against_pandas(answers):
     pd.testing.assert_frame_equal(got, want, check_names=False)
     plain = aggregate.pivot_table(answers, "category", values="value1", aggfunc=["mean", "max"])
     assert plain.columns == ["category", "value1_mean", "value1_max"]
-    with pytest.raises(ValueError):
-        limit = aggregate.limits.PIVOT_VALUES
-        try:
-            aggregate.limits.PIVOT_VALUES = 3
-            aggregate.pivot_table(answers, "category", "id", "value1")
-        finally:
-            aggregate.limits.PIVOT_VALUES = limit
+    with pytest.raises(ValueError, match="more than 3"):
+        aggregate.pivot_table(answers, "category", "id", "value1", max_values=3)
+    assert aggregate.pivot_cells(answers, "category", "id", "value1").count() == 8
+
+
+def test_pivot_keeps_colliding_labels_apart(spark):
+    rows = [("k", "x_y", "z", 10.0), ("k", "x", "y_z", 20.0), ("k", "a", "b", 30.0)]
+    df = spark.createDataFrame(rows, "k string, p string, q string, v double")
+    got = aggregate.pivot_table(df, "k", ["p", "q"], "v").first().asDict()
+    assert got == {"k": "k", "a_b": 30.0, "x\\_y_z": 10.0, "x_y\\_z": 20.0}
+
+
+def test_form_numbers_stay_exact_and_reach_the_scan(spark, tmp_path):
+    big = 2**53
+    spark.createDataFrame([(big,), (big + 1,), (7,), (None,)], "id long").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    test = lambda *a: sorted(r[0] for r in df.where(filters.filter_condition(df, "id", *a)).collect())
+    assert test("equals", str(big + 1)) == [big + 1] and test("equals", "7.0") == [7] and test("equals", "7.5") == []
+    assert test("greater", "6.5") == [7, big, big + 1] and test("less", "7.5") == [7] and test("between", "7", str(big)) == [7, big]
+    assert test("less", "1e30") == [7, big, big + 1] and test("greater", "1e30") == []
+    plan = df.where(filters.filter_condition(df, "id", "equals", "7"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,7)" in plan
 
 
 def test_calculated_columns(answers):

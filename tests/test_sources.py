@@ -27,18 +27,41 @@ def test_csv_with_mark_and_line_breaks(spark, tmp_path):
 def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
     (tmp_path / "a.csv").write_text('k,t\n1,"one\ntwo"\n')
     (tmp_path / "b.csv").write_text('k,t\n2,"a ""quoted"" word"\n3,\n')
-    broken, plain, size = csv.files_with_open_quotes(spark, str(tmp_path))
-    assert [p[-5:] for p in broken] == ["a.csv"] and [p[-5:] for p in plain] == ["b.csv"] and size > 0
+    heads = csv.file_heads(spark, str(tmp_path))
+    assert [(name[-5:], head, spread) for name, head, spread in heads] == [("a.csv", "k,t", True), ("b.csv", "k,t", False)]
     rows = csv.read_csv(spark, str(tmp_path)).orderBy("k").collect()
     assert [(r["k"], r["t"]) for r in rows] == [(1, "one\ntwo"), (2, 'a "quoted" word'), (3, None)]
 
 
-def test_sampled_types_never_lose_a_value(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("n\n" + "\n".join(str(i) for i in range(1500)) + "\nlate\n")
-    with pytest.raises(Exception, match="MALFORMED|late"):
-        csv.read_csv(spark, str(tmp_path), sample_from_bytes=0).collect()
-    whole = csv.read_csv(spark, str(tmp_path))
-    assert whole.schema["n"].dataType.simpleString() == "string" and whole.count() == 1501
+def test_sampled_types_widen(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,m\n" + "\n".join(f"{i},{i}" for i in range(1500)) + "\nlate,7\n")
+    for types in ("all", "sample"):
+        whole = csv.read_csv(spark, str(tmp_path), types=types)
+        assert [t for _, t in whole.dtypes] == ["string", "int"] and whole.count() == 1501
+        assert whole.where("n = 'late'").count() == 1
+
+
+def test_unlike_headers_and_folders(spark, tmp_path):
+    for year, text in ((2023, "x,y\n1,a\n"), (2024, "y,x,z\nb,2,9\n")):
+        folder = tmp_path / "my dir" / f"year={year}"
+        folder.mkdir(parents=True)
+        (folder / "a+b %41.csv").write_text(text)
+    rows = csv.read_csv(spark, str(tmp_path / "my dir")).select("year", "x", "y", "z").orderBy("year").collect()
+    assert [tuple(r) for r in rows] == [(2023, 1, "a", None), (2024, 2, "b", 9)]
+    given = csv.read_csv(spark, str(tmp_path / "my dir"), schema="x double, y string").orderBy("x").collect()
+    assert [(r["x"], r["y"]) for r in given] == [(1.0, "a"), (2.0, "b")]
+
+
+def test_leading_zeros_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code,t\n007,x\n")
+    (tmp_path / "b.csv").write_text('code,t\nA1,"two\nlines"\n')
+    assert {r["code"] for r in csv.read_csv(spark, str(tmp_path)).collect()} == {"007", "A1"}
+
+
+def test_names_are_taken_as_they_are(spark, tmp_path):
+    for name in ("a+b.xlsx", "c%20d.xlsx", "e f.xlsx", "~$e f.xlsx"):
+        (tmp_path / name).write_bytes(b"x")
+    assert {r["name"] for r in catalogue.list_files(spark, str(tmp_path)).collect()} == {"a+b.xlsx", "c%20d.xlsx", "e f.xlsx"}
 
 
 def test_sinks_keep_every_value(spark, tmp_path, answers):
