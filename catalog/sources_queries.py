@@ -13,6 +13,7 @@ from tallyframe.operators.outliers import fit_outliers
 from tallyframe.operators.scaling import fit_scaling
 
 from .registry import fix, fix_sql, query, table, union_all
+from .workbook_files import encode_workbooks
 
 
 @query(
@@ -142,12 +143,27 @@ def _(spark, sf):
 def _books(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     # Written once, spread by workbook, as a folder of files would be.
-    return checkpointed(workbooks.encode_workbooks(rows, "Orders", rows_per_book=5_000).repartition("path"))
+    return checkpointed(encode_workbooks(rows, "Orders", rows_per_book=5_000).repartition("path"))
 
 
-@query("workbook_sheets")
+@query("workbook_sheets", "SELECT 'Orders' AS sheet, 0 AS sheet_index, true AS every_book_once")
 def _(spark, sf):
-    return workbooks.sheet_names(_books(spark, sf))
+    names = workbooks.sheet_names(_books(spark, sf))
+    once = (F.count(F.lit(1)) == F.count_distinct("source_path")).alias("every_book_once")
+    return names.groupBy("sheet", "sheet_index").agg(once)
+
+
+@query(
+    "workbook_duplicate_headers",
+    """SELECT o_orderkey AS key, o_totalprice AS amount, o_orderpriority AS "amount.1", o_custkey AS "Unnamed: 3", o_orderstatus AS "Unnamed: 4" FROM orders""",
+)
+def _(spark, sf):
+    """Two equal headers, an empty one, and a column that has no header at all."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey", "o_orderstatus")
+    books = checkpointed(encode_workbooks(rows, rows_per_book=5_000, headers=["key", "amount", "amount", ""]).repartition("path"))
+    cells = workbooks.sheet_table(books).drop("source_path")
+    types = {"key": "bigint", "amount": "double", "Unnamed: 3": "bigint"}
+    return cells.select([F.col(f"`{c}`").cast(types.get(c, "string")).alias(c) for c in cells.columns])
 
 
 @query(

@@ -1,10 +1,9 @@
 from .catalogue import list_files, load_info
 from .csv import read_csv
 from .sinks import write_table
-from .workbooks import encode_workbooks, read_workbooks, sheet_names, sheet_rows, sheet_table
+from .workbooks import read_workbooks, sheet_names, sheet_rows, sheet_table, workbook_errors
 
 __all__ = [
-    "encode_workbooks",
     "list_files",
     "load_info",
     "read_csv",
@@ -12,5 +11,6 @@ __all__ = [
     "sheet_names",
     "sheet_rows",
     "sheet_table",
+    "workbook_errors",
     "write_table",
 ]

@@ -11,9 +11,9 @@ import re
 import sys
 import zipfile
 from collections.abc import Iterator, Sequence
-from datetime import date, datetime, timedelta
+from datetime import datetime, timedelta
+from functools import cached_property
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions import col, family
-
 # XML names and part names of the workbook format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -37,6 +35,7 @@ ROWS_PER_SHEET = 1_048_576
 ROW_SCHEMA = "source_path string, sheet_index int, sheet string, row_no long, cells array<string>"
 SHEET_SCHEMA = "source_path string, sheet_index int, sheet string"
 _BATCH = 10_000
+_UNREADABLE = (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, EOFError)
 
 
 # The reader travels with the tasks, so executors need not have this package installed.
@@ -58,12 +57,14 @@ class _Book:
     def _part(target: str) -> str:
         return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
 
+    @cached_property
     def _texts(self) -> list[str]:
         if _STRINGS not in self.zip.namelist():
             return []
         root = ElementTree.fromstring(self.zip.read(_STRINGS))
         return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in root.iter(f"{_MAIN}si")]
 
+    @cached_property
     def _date_styles(self) -> set[int]:
         if _STYLES not in self.zip.namelist():
             return set()
@@ -77,18 +78,47 @@ class _Book:
         return {i for i, n in enumerate(ids) if own.get(n, n in _DATE_FORMATS)}
 
     def rows(self, part: str) -> Iterator[list[str | None]]:
-        texts, dates = self._texts(), self._date_styles()
         with self.zip.open(part) as stream:
-            for _, row in ElementTree.iterparse(stream):
-                if row.tag != f"{_MAIN}row":
-                    continue
-                cells: list[str | None] = []
-                for c in row:
-                    place = _column(c.get("r", "")) if c.get("r") else len(cells)
-                    cells.extend([None] * (place - len(cells)))
-                    cells.append(_cell(c, texts, dates))
-                yield cells
-                row.clear()
+            data = None
+            for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+                if event == "start":
+                    data = element if element.tag == f"{_MAIN}sheetData" else data
+                elif element.tag == f"{_MAIN}row":
+                    cells: list[str | None] = []
+                    for c in element:
+                        place = _column(c.get("r", "")) if c.get("r") else len(cells)
+                        cells.extend([None] * (place - len(cells)))
+                        cells.append(_cell(c, self._texts, self._date_styles))
+                    yield cells
+                    if data is not None:
+                        data.clear()  # rows that were read stay nowhere
+
+    def width(self, part: str) -> int:
+        """Columns of a sheet: as its dimension says, else as its longest row has."""
+        with self.zip.open(part) as stream:
+            for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+                if event == "end" and element.tag == f"{_MAIN}dimension":
+                    return _column(element.get("ref", "").split(":")[-1]) + 1
+                if event == "start" and element.tag == f"{_MAIN}sheetData":
+                    break
+        return max((len(cells) for cells in self.rows(part)), default=0)
+
+
+def header_names(cells: Sequence[str | None], width: int = 0) -> list[str]:
+    """Column names of a header row: an empty cell is ``Unnamed: <place>``, a repeated name gets ``.1``, ``.2`` and so on."""
+    names: list[str] = []
+    seen: dict[str, int] = {}
+    for place in range(max(len(cells), width)):
+        name = cells[place] if place < len(cells) and cells[place] else f"Unnamed: {place}"
+        if name in seen:
+            number = seen[name]
+            while f"{name}.{number}" in seen:
+                number += 1
+            seen[name] = number + 1
+            name = f"{name}.{number}"
+        seen[name] = 1
+        names.append(name)
+    return names
 
 
 def _column(reference: str) -> int:
@@ -129,22 +159,45 @@ def read_workbooks(spark: SparkSession, folder: str, pattern: str = "*.xlsx") ->
     )
 
 
-def sheet_names(books: DataFrame) -> DataFrame:
+def _opened(frame: pd.DataFrame, skip: bool) -> Iterator[tuple[str, _Book]]:
+    for path, content in zip(frame["path"], frame["content"], strict=True):
+        try:
+            book = _Book(content)
+        except _UNREADABLE:
+            if not skip:
+                raise
+            continue
+        yield path, book
+
+
+def workbook_errors(books: DataFrame) -> DataFrame:
+    """``source_path, error`` of workbooks that cannot be read; the readers pass them over with ``skip_unreadable``."""
+
+    def errors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    _Book(content)
+                except _UNREADABLE as error:
+                    found.append((path, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(found, columns=["source_path", "error"])
+
+    return books.select("path", "content").mapInPandas(errors, "source_path string, error string")
+
+
+def sheet_names(books: DataFrame, skip_unreadable: bool = False) -> DataFrame:
     """``source_path, sheet_index, sheet`` of every sheet of every workbook."""
 
     def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [
-                (path, i, name)
-                for path, content in zip(frame["path"], frame["content"], strict=True)
-                for i, (name, _) in enumerate(_Book(content).sheets)
-            ]
+            rows = [(path, i, name) for path, book in _opened(frame, skip_unreadable) for i, (name, _) in enumerate(book.sheets)]
             yield pd.DataFrame(rows, columns=["source_path", "sheet_index", "sheet"])
 
     return books.select("path", "content").mapInPandas(names, SHEET_SCHEMA)
 
 
-def sheet_rows(books: DataFrame, sheet: str | int | None = 0) -> DataFrame:
+def sheet_rows(books: DataFrame, sheet: str | int | None = 0, skip_unreadable: bool = False) -> DataFrame:
     """Rows of one sheet per workbook, or of all sheets with ``sheet=None``.
 
     ``row_no`` 0 is the header. A sheet that a workbook lacks is replaced by
@@ -153,8 +206,7 @@ def sheet_rows(books: DataFrame, sheet: str | int | None = 0) -> DataFrame:
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                book = _Book(content)
+            for path, book in _opened(frame, skip_unreadable):
                 for i, (name, part) in enumerate(book.sheets):
                     if sheet is not None and i != _chosen(book.sheets, sheet):
                         continue
@@ -180,44 +232,52 @@ def _chosen(sheets: Sequence[tuple], sheet: str | int) -> int:
     return next((i for i, (name, _) in enumerate(sheets) if name == sheet), 0)
 
 
-def sheet_heads(books: DataFrame, sheet: str | int = 0) -> DataFrame:
-    """``source_path, cells`` with the header row only; nothing after it is decoded."""
+def sheet_heads(books: DataFrame, sheet: str | int = 0, skip_unreadable: bool = False) -> DataFrame:
+    """``source_path, names``: the column names of each workbook's sheet."""
 
     def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                book = _Book(content)
-                first = next(book.rows(book.sheets[_chosen(book.sheets, sheet)][1]), None) if book.sheets else None
+            for path, book in _opened(frame, skip_unreadable):
+                part = book.sheets[_chosen(book.sheets, sheet)][1] if book.sheets else None
+                first = next(book.rows(part), None) if part else None
                 if first is not None:
-                    found.append((path, first))
-            yield pd.DataFrame(found, columns=["source_path", "cells"])
+                    found.append((path, header_names(first, book.width(part))))
+            yield pd.DataFrame(found, columns=["source_path", "names"])
 
-    return books.select("path", "content").mapInPandas(heads, "source_path string, cells array<string>")
+    return books.select("path", "content").mapInPandas(heads, "source_path string, names array<string>")
 
 
-def sheet_table(books: DataFrame, sheet: str | int = 0, columns: Sequence[str] | None = None) -> DataFrame:
+def sheet_table(
+    books: DataFrame, sheet: str | int = 0, columns: Sequence[str] | None = None, skip_unreadable: bool = False
+) -> DataFrame:
     """One text column per header, matched by header name across workbooks, plus ``source_path``.
 
-    Without ``columns`` the headers are collected first: one short row per
-    workbook, folded to the distinct names.
+    Repeated and empty headers, and columns beyond the header row, are named
+    as ``header_names`` says, so that every column is kept. Without
+    ``columns`` the headers are collected first: one short row per workbook,
+    folded to the distinct names. A corpus of very many unlike headers should
+    name its columns, or use ``sheet_rows``.
     """
     if columns is None:
-        found = sheet_heads(books, sheet).select(F.posexplode("cells").alias("place", "name")).where("name is not null")
+        found = sheet_heads(books, sheet, skip_unreadable).select(F.posexplode("names").alias("place", "name"))
         order = found.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()
         columns = [r["name"] for r in order]
     names = list(columns)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ["source_path", *names]])
+    own_path = "source_path"
+    while own_path in names:
+        own_path += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [own_path, *names]])
 
     def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                book = _Book(content)
+            for path, book in _opened(frame, skip_unreadable):
                 if not book.sheets:
                     continue
                 lines = book.rows(book.sheets[_chosen(book.sheets, sheet)][1])
                 head = next(lines, [])
-                places = [head.index(n) if n in head else -1 for n in names]
+                own = {n: p for p, n in enumerate(header_names(head, len(head) + len(names)))}
+                places = [own.get(n, -1) for n in names]
                 batch: list[tuple] = []
                 for cells in lines:
                     batch.append((path, *[cells[p] if 0 <= p < len(cells) else None for p in places]))
@@ -228,89 +288,3 @@ def sheet_table(books: DataFrame, sheet: str | int = 0, columns: Sequence[str] |
                     yield pd.DataFrame(batch, columns=schema.names)
 
     return books.select("path", "content").mapInPandas(tables, schema)
-
-
-def encode_workbooks(df: DataFrame, sheet: str = "Sheet1", rows_per_book: int = 100_000) -> DataFrame:
-    """Rows as workbooks, ``path, content``: as many per task as its rows need.
-
-    Numbers and booleans keep their type, dates become date cells, and texts
-    are stored inline.
-    """
-    if not 0 < rows_per_book < ROWS_PER_SHEET:
-        raise ValueError(f"rows_per_book must be between 1 and {ROWS_PER_SHEET - 1}")
-    kinds = {f.name: family(f.dataType) for f in df.schema.fields}
-    shown = df.select(
-        [col(c) if kinds[c] in ("integer", "float", "numeric") else col(c).cast("string").alias(c) for c in df.columns]
-    )
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
-
-    def books(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        number, lines, names = 0, [], list(kinds)
-
-        def finished() -> pd.DataFrame:
-            name = f"part-{task.partitionId():05d}-{number:05d}.xlsx"
-            return pd.DataFrame({"path": [name], "content": [_book_bytes(sheet, names, lines)]})
-
-        for frame in frames:
-            for values in frame.itertuples(index=False, name=None):
-                lines.append(_row_xml(values, kinds.values()))
-                if len(lines) == rows_per_book:
-                    yield finished()
-                    number, lines = number + 1, []
-        if lines:
-            yield finished()
-
-    return shown.mapInPandas(books, schema)
-
-
-def _row_xml(values: Sequence, kinds: Sequence[str]) -> str:
-    cells = []
-    for value, kind in zip(values, kinds, strict=True):
-        if value is None or value != value:
-            cells.append("<c/>")
-        elif kind == "numeric":
-            cells.append(f'<c t="b"><v>{int(value)}</v></c>')
-        elif kind in ("integer", "float"):
-            cells.append(f"<c><v>{int(value) if kind == 'integer' else repr(float(value))}</v></c>")
-        elif kind == "datetime":
-            cells.append(f'<c s="1"><v>{_serial(value)!r}</v></c>')
-        else:
-            cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>')
-    return "<row>" + "".join(cells) + "</row>"
-
-
-def _serial(value: str | date) -> float:
-    moment = datetime.fromisoformat(str(value))
-    return (moment - _DAY_ZERO) / timedelta(days=1)
-
-
-def _book_bytes(sheet: str, names: Sequence[str], lines: Sequence[str]) -> bytes:
-    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    packages = "http://schemas.openxmlformats.org/package/2006"
-    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    head = "<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(n)}</t></is></c>' for n in names) + "</row>"
-    parts = {
-        "[Content_Types].xml": f'<Types xmlns="{packages}/content-types">'
-        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        f'<Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/>'
-        f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{types}.worksheet+xml"/>'
-        f'<Override PartName="/xl/styles.xml" ContentType="{types}.styles+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{packages}/relationships">'
-        f'<Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        _WORKBOOK: f'<workbook {main} xmlns:r="{rel}"><sheets>'
-        f'<sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        _LINKS: f'<Relationships xmlns="{packages}/relationships">'
-        f'<Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>'
-        f'<Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        _STYLES: f'<styleSheet {main}><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{head}{''.join(lines)}</sheetData></worksheet>",
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + text)
-    return out.getvalue()

@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.workbook_files import encode_workbooks
 from tallyframe.operators.outliers import fit_outliers
 from tallyframe.operators.scaling import fit_scaling
 from tallyframe.plans import jobs
@@ -86,7 +87,7 @@ def test_catalogue_and_load_info(spark, tmp_path, answers):
 
 
 def write_books(df, folder, **options):
-    for r in workbooks.encode_workbooks(df, **options).collect():
+    for r in encode_workbooks(df, **options).collect():
         (folder / r["path"]).write_bytes(r["content"])
 
 
@@ -166,3 +167,17 @@ def test_rules_run_on_a_stream(spark, tmp_path, answers):
     run.awaitTermination()
     got = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=str)
     assert got == sorted(apply_fitted(stored, rules).collect(), key=str)
+
+
+def test_headers_that_repeat_are_empty_or_absent(spark, tmp_path):
+    assert workbooks.header_names(["q", "q", None, "q.1", "q"], 6) == ["q", "q.1", "Unnamed: 2", "q.1.1", "q.2", "Unnamed: 5"]
+    rows = spark.createDataFrame([(1, 2, 3, 4, 5)], "a long, b long, c long, d long, e long")
+    books = encode_workbooks(rows, headers=["q", "q", "", "r"]).collect()
+    (tmp_path / "a.xlsx").write_bytes(books[0]["content"])
+    (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
+    found = workbooks.read_workbooks(spark, str(tmp_path))
+    errors = workbooks.workbook_errors(found).collect()
+    assert [r["source_path"].rsplit("/", 1)[1] for r in errors] == ["bad.xlsx"] and errors[0]["error"].startswith("BadZipFile")
+    table = workbooks.sheet_table(found, skip_unreadable=True)
+    assert table.columns == ["source_path", "q", "q.1", "Unnamed: 2", "r", "Unnamed: 4"]
+    assert tuple(table.first())[1:] == ("1", "2", "3", "4", "5")
