@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .blocks import compared, hot_keys, hot_report, minimizer_blocks, place, repeats_in_chunk, row_order, slices, window_pieces, with_twin
 from .shipping import ship
-from .texts import SPACED, Chunk, Rolling, chunks, mix, pack_texts, signed, unpacked, words
+from .texts import SPACED, WIDE_CHUNK_BYTES, Chunk, Rolling, chunks, mix, pack_texts, signed, unpacked, words
 
 GRAM_SHARE = 0.4
 _BYTES = 6  # of a window's hash, besides the 64 bits of its minimizer
@@ -41,7 +41,7 @@ def spaced_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequent(documents: DataFrame, window: int, units: Units, gram: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=WIDE_CHUNK_BYTES):
             codes, first = units(chunk)
             blocks = minimizer_blocks(Rolling(codes), first, window, gram)
             of = repeats_in_chunk(blocks, row_order(chunk.rows))[0] if blocks is not None else None
@@ -64,7 +64,7 @@ def reference_blocks(documents: DataFrame, window: int, units: Units = spaced_wo
     hot = documents.sparkSession.sparkContext.broadcast(_frequent(documents, window, units, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=WIDE_CHUNK_BYTES):
             codes, first_unit = units(chunk)
             rolling = Rolling(codes)
             blocks = minimizer_blocks(rolling, first_unit, window, gram, hot.value)

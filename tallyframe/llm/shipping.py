@@ -1,4 +1,4 @@
-"""Sending this package to the Python workers, which may not have it on their path."""
+"""Preparing a session for Python workers: this package on their path, and batches that fit beside others."""
 
 from __future__ import annotations
 
@@ -11,9 +11,19 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the session's Python files, once per application."""
+    """Add the package's sources to the session's Python files, once per application.
+
+    Arrow batches are limited to ``BATCH_BYTES`` where the session has no
+    smaller limit: texts are long, and a worker holds a batch several times.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

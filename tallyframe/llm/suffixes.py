@@ -29,7 +29,7 @@ from .blocks import (
 )
 from .graphs import _stored
 from .shipping import ship
-from .texts import BYTE_CODES, Rolling, chunks, mix, pack_texts, signed, unpacked
+from .texts import BYTE_CODES, WIDE_CHUNK_BYTES, Rolling, chunks, mix, pack_texts, signed, unpacked
 
 GRAM_SHARE = 0.25
 GROUP = 16  # offsets compared together
@@ -47,7 +47,7 @@ def _blocks(chunk, length: int, hot: np.ndarray | None):
 
 def _frequent(documents: DataFrame, length: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=WIDE_CHUNK_BYTES):
             blocks = _blocks(chunk, length, None)
             yield hot_report(blocks, repeats_in_chunk(blocks, row_order(chunk.rows))[0] if blocks is not None else None)
 
@@ -66,7 +66,7 @@ def suffixes(documents: DataFrame, length: int, hot) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=WIDE_CHUNK_BYTES):
             blocks = _blocks(chunk, length, hot.value)
             if blocks is None:
                 continue

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from .shipping import ship
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+
+#: For operators that look for repetitions within a chunk before rows are passed on.
+WIDE_CHUNK_BYTES = 1 << 21
 
 # Odd 64-bit multipliers of the published splitmix and murmur finalisers.
 _SPLIT = 0x9E3779B97F4A7C15
@@ -46,11 +49,11 @@ BYTE_CODES = mix(np.arange(256, dtype=np.uint64), 7)
 def _power_table(base: int, n: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < n:
-        size = max(n, CHUNK_BYTES + 1024)
+        size = max(n, CHUNK_BYTES + 1)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         table = np.cumprod(steps)
-        if n <= CHUNK_BYTES + 1024:  # a longer one is for one long text only
+        if n <= WIDE_CHUNK_BYTES + 1:  # a longer one is for one long text only
             _powers[base] = table
     return table
 
