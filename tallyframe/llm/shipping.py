@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -22,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     smaller limit: texts are long, and a worker holds a batch several times.
     """
     context = spark.sparkContext
-    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > BATCH_BYTES:
+    if _bytes(spark.conf.get(_BATCH_BYTES)) > BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
@@ -36,3 +37,9 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, os.path.dirname(package)))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark writes it: 67108864b, 64m, 1gb."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", size.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
