@@ -1,17 +1,18 @@
 """Exact quantiles, linear between neighbours, at any table size and skew.
 
 Groups whose rows were counted and fit one task use the built-in exact
-percentile. Larger ones are narrowed first: a bounded sketch gives a bracket
-around each wanted position, one scan counts what lies below it, and only the
-few rows inside the bracket are counted by value and ranked. The answer is the
-exact order statistic; the sketch only decides how much has to be looked at.
+percentile. Larger ones are narrowed first: values are counted in a fixed
+number of bins between the least and the greatest, which combines in every
+task, and the bin of each wanted position is cut into bins again until few
+enough rows are left to be counted by value and ranked. The answer is the exact
+order statistic; the bins only decide how much has to be looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import limits
@@ -21,9 +22,13 @@ from tallyframe.functions.columns import as_double, unpivot
 from .ranks import count_values, rank_values
 from .storage import checkpointed, local_copy
 
-# Sketch accuracy, and how far around the wanted position a bracket reaches.
+# Accuracy of the built-in sketch, for groups of one task that need no exact answer.
 SKETCH = 10_000
-MARGIN = 4 / SKETCH
+
+# Bins per round, rounds at most, and copies of a target where targets are too many to broadcast.
+BINS = 2_048
+ROUNDS = 12
+SALTS = 16
 
 
 def percentile_of(c: Column, probs: Sequence[float]) -> Column:
@@ -55,7 +60,7 @@ def table_quantiles(
     out: dict[str, dict[float, float | None]] = {}
     if not values:
         return out
-    if not exact or df.count() <= one_task:
+    if df.count() <= one_task:
         for block in _blocks(list(values)):
             if exact:
                 aggs = [percentile_of(values[c], probs).alias(c) for c in block]
@@ -89,7 +94,7 @@ def grouped_quantiles(
     by = list(by)
     values = {c: as_double(df, c) for c in columns}
     keys = [*by, "column"]
-    if not exact or largest_group(df, by) <= one_task:
+    if largest_group(df, by) <= one_task:
         pick = (
             (lambda c: percentile_of(c, probs))
             if exact
@@ -126,76 +131,116 @@ def large_group_quantiles(
     """``keys..., pi, q`` for groups of any size; ``long`` has a double column ``value``."""
     one_task = limits.ONE_TASK_ROWS if one_task is None else one_task
     keys = list(keys)
-    ends = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-
-    sketch = long.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", ends, SKETCH).alias("_ends")
+    finite = F.abs("value") < F.lit(float("inf"))
+    facts = long.groupBy(*[col(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(finite, F.col("value"))).alias("lo"), F.max(F.when(finite, F.col("value"))).alias("hi")
     )
-    targets = sketch.select(
-        *[col(k) for k in keys],
-        "n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("pi"),
-                        F.lit(float(p)).alias("p"),
-                        F.col("_ends")[2 * i].alias("lo"),
-                        F.col("_ends")[2 * i + 1].alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
+    facts = _small(facts)
+    every = F.inline(F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
+    wanted = facts.select(*[col(k) for k in keys], "n", "lo", "hi", every).withColumn("pos", (F.col("n") - 1) * F.col("p"))
+    open_targets = wanted.select(*[col(k) for k in keys], "pi", "pos", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
+    done: list[DataFrame] = []
+    for turn in range(ROUNDS):
+        # At first all targets of a group share their bins.
+        ranges = facts.select(*[col(k) for k in keys], "lo", "hi") if turn == 0 else open_targets
+        by = [*keys] if turn == 0 else [*keys, "pi"]
+        bins = (
+            _attach(long, ranges, keys, turn > 0)
+            .groupBy(*[col(k) for k in by], _bin().alias("bin"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("least"), F.max("value").alias("most"))
+        )
+        narrowed = _small(_narrowed(checkpointed(bins), open_targets, keys, by))
+        done.append(narrowed.where("a is not null").select(*[col(k) for k in keys], "pi", "pos", "a", "b"))
+        open_targets = narrowed.where("a is null").drop("a", "b")
+        most = open_targets.agg(F.max("inside")).first()[0] or 0
+        if most <= one_task:
+            break
+    if most:
+        group = [*keys, "pi", "pos", "below"]
+        candidates = _attach(long, open_targets, keys, True)
+        ranked = rank_values(count_values(candidates, group), group, int(most), one_task=one_task)
+        first = F.col("below") + F.col("before")
+        low, high = F.floor("pos"), F.ceil("pos")
+        holds = lambda k: (first <= k) & (k < first + F.col("w"))
+        done.append(
+            ranked.where(holds(low) | holds(high))
+            .groupBy(*[col(k) for k in keys], "pi", "pos")
+            .agg(F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"))
+        )
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    part = F.col("pos") - F.floor("pos")
+    return found.select(*[col(k) for k in keys], "pi", F.when(part == 0, F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part).alias("q"))
+
+
+def _bin() -> Column:
+    """The place of ``value`` among ``BINS`` equal parts of lo to hi; halves keep a wide range from overflowing."""
+    half = F.col("hi") / 2 - F.col("lo") / 2
+    part = F.when(half > 0, (F.col("value") / 2 - F.col("lo") / 2) / half * BINS).otherwise(F.lit(0.0))
+    value = F.col("value")
+    return (
+        F.when(value == F.lit(float("-inf")), F.lit(-1))
+        .when(value == F.lit(float("inf")), F.lit(BINS + 1))
+        .otherwise(F.floor(part).cast("int"))
     )
-    targets = _small(targets)
 
-    # What lies below each bracket, and is the wanted position really inside?
-    brackets = _attach(long, targets, keys)
-    counted = brackets.groupBy(*[col(k) for k in keys], "n", "pi", "p", "lo", "hi").agg(
-        F.sum((F.col("value") < F.col("lo")).cast("long")).alias("below"),
-        F.sum(F.col("value").between(F.col("lo"), F.col("hi")).cast("long")).alias("inside"),
-    )
-    position = (F.col("n") - 1) * F.col("p")
-    covered = (F.col("below") <= F.floor(position)) & (F.ceil(position) < F.col("below") + F.col("inside"))
-    checked = counted.select(
-        *[col(k) for k in keys],
-        "pi",
-        position.alias("pos"),
-        F.when(covered, F.col("lo")).otherwise(F.lit(float("-inf"))).alias("lo"),
-        F.when(covered, F.col("hi")).otherwise(F.lit(float("inf"))).alias("hi"),
-        F.when(covered, F.col("below")).otherwise(F.lit(0)).alias("below"),
-        F.when(covered, F.col("inside")).otherwise(F.col("n")).alias("inside"),
-    )
-    checked = _small(checked)
 
-    candidates = _attach(long, checked, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
-    group = [*keys, "pi", "pos", "below"]
-    most = checked.agg(F.max("inside")).first()[0] or 0
-    ranked = rank_values(count_values(candidates, group), group, int(most), one_task=one_task)
-    first = F.col("below") + F.col("before")
+def _narrowed(bins: DataFrame, targets: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Each target narrowed to the bin of its position; ``a`` and ``b``, the neighbouring values, where that settles it."""
+    order = Window.partitionBy(*[col(k) for k in by]).orderBy("bin")
+    upto = bins.withColumn("upto", F.sum("c").over(order))
+    renamed = upto.select(*[col(k).alias(f"_b_{k}") for k in by], "c", "least", "most", "upto")
+    same = [targets[k].eqNullSafe(renamed[f"_b_{k}"]) for k in by]
+    start, stop = F.col("below") + F.col("upto") - F.col("c"), F.col("below") + F.col("upto")
     low, high = F.floor("pos"), F.ceil("pos")
-    holds = lambda k: (first <= k) & (k < first + F.col("w"))
-    picked = ranked.where(holds(low) | holds(high)).groupBy(*[col(k) for k in keys], "pi", "pos").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("_a"),
-        F.max(F.when(holds(high), F.col("value"))).alias("_b"),
+    held = targets.join(renamed, same).where(((start <= low) & (low < stop)) | ((start <= high) & (high < stop)))
+    both = held.groupBy(*[col(k) for k in keys], "pi", "pos").agg(
+        F.count(F.lit(1)).alias("bins"),
+        F.min("least").alias("least"),
+        F.min("most").alias("low_most"),
+        F.max("least").alias("high_least"),
+        F.max("most").alias("most"),
+        F.min(start).alias("below"),
+        F.sum("c").alias("inside"),
     )
-    part = F.col("pos") - low
-    return picked.select(
-        *[col(k) for k in keys], "pi", (F.col("_a") * (1 - part) + F.col("_b") * part).alias("q")
+    apart, single = F.col("bins") == 2, F.col("least") == F.col("most")
+    return both.select(
+        *[col(k) for k in keys],
+        "pi",
+        "pos",
+        F.col("least").alias("lo"),
+        F.col("most").alias("hi"),
+        "below",
+        "inside",
+        F.when(apart, F.col("low_most")).when(single, F.col("least")).alias("a"),
+        F.when(apart, F.col("high_least")).when(single, F.col("least")).alias("b"),
     )
 
 
 def _small(df: DataFrame) -> DataFrame:
     """A literal table when its size allows, a checkpoint otherwise; either way worked out once."""
     copy = local_copy(df, limits.BROADCAST_ROWS)
-    return checkpointed(df) if copy is None else F.broadcast(copy)
-
-
-def _attach(long: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each value next to every target of its group."""
-    renamed = targets.select(
-        *[col(k).alias(f"_t_{k}") for k in keys], *[col(c) for c in targets.columns if c not in keys]
-    )
-    same = [long[k].eqNullSafe(renamed[f"_t_{k}"]) for k in keys]
-    return long.join(renamed, same).drop(*[f"_t_{k}" for k in keys])
+    return checkpointed(df) if copy is None else copy
+
+
+def _attach(long: DataFrame, targets: DataFrame, keys: Sequence[str], inside: bool) -> DataFrame:
+    """Each value next to every target of its group, or with ``inside`` those whose range holds it.
+
+    Targets within ``limits.BROADCAST_ROWS`` are broadcast. More of them meet
+    the values by a shuffle; each is repeated for some salts then, since its
+    group is a large one by construction.
+    """
+    renamed = targets.select(*[col(k).alias(f"_t_{k}") for k in keys], *[col(c) for c in targets.columns if c not in keys])
+    extra = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")) if inside else F.lit(True)
+    copy = local_copy(renamed, limits.BROADCAST_ROWS)
+    if copy is not None:
+        near = F.broadcast(copy)
+        same = [long[k].eqNullSafe(near[f"_t_{k}"]) for k in keys]
+        joined = long.join(near, [*same, extra] if inside else same)
+    else:
+        salted = long.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+        near = renamed.withColumn("_t__salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        same = [salted[k].eqNullSafe(near[f"_t_{k}"]) for k in [*keys, "_salt"]]
+        joined = salted.join(near, [*same, extra] if inside else same).drop("_salt", "_t__salt")
+    return joined.drop(*[f"_t_{k}" for k in keys])
