@@ -363,12 +363,11 @@ def _(spark, sf):
     return out.withColumn("r", fix("r"))
 
 
-@query("corr_kendall_continuous")
+@query("corr_kendall_continuous", _kendall_sql("orders", ["o_custkey", "o_totalprice"]))
 def _(spark, sf):
-    """Nearly every value of a kind: pairs of rows would be billions, so no SQL; tested on a small table."""
-    return correlation.correlation_matrix(
-        table(spark, sf, "lineitem"), "kendall", ["l_quantity", "l_extendedprice"]
-    ).withColumn("r", fix("r"))
+    """Nearly every value of a kind; the SQL compares all pairs of rows."""
+    out = correlation.correlation_matrix(table(spark, sf, "orders"), "kendall", ["o_custkey", "o_totalprice"])
+    return out.withColumn("r", fix("r"))
 
 
 # Some columns that do hang together.
@@ -569,6 +568,23 @@ def _(spark, sf):
     return report.report_tables({"original": df, "processed": default_clean(df)})["shape"]
 
 
+@query(
+    "report_sample",
+    union_all(
+        [
+            f"""SELECT '{name}' AS dataset, "row", "column", "value" FROM (
+                  SELECT "row", unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS "column",
+                         unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS "value"
+                  FROM (SELECT *, row_number() OVER (ORDER BY n_name)::INTEGER AS "row" FROM nation WHERE {test}) WHERE "row" <= 5)"""
+            for name, test in (("all", "true"), ("even", "n_nationkey % 2 = 0"))
+        ]
+    ),
+)
+def _(spark, sf):
+    df = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return report.report_tables({"all": df, "even": df.where("n_nationkey % 2 = 0")}, sample_by=["n_name"])["sample"]
+
+
 @query(
     "report_columns",
     union_all(

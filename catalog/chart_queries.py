@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.plans import charts
 
-from .registry import EVENTS_WITH_GAPS, events_with_gaps, query, sig, sig_sql, table, union_all
+from .registry import EVENTS_WITH_GAPS, events_with_gaps, fix, fix_sql, query, sig, sig_sql, table, union_all
 
 
 def bin_sql(c: str, source: str, bins: int) -> str:
@@ -21,10 +21,26 @@ def bin_sql(c: str, source: str, bins: int) -> str:
                      WHEN {guess} < {bins - 1} AND {c} >= {above} THEN {guess} + 1 ELSE {guess} END)::INTEGER"""
 
 
-@query("density")
+@query(
+    "density",
+    f"""WITH v AS (SELECT value AS v FROM {EVENTS_WITH_GAPS} WHERE value IS NOT NULL),
+            f AS (SELECT count(*) AS n, min(v) AS mn, max(v) AS mx, stddev_samp(v) * power(count(*), -0.2) AS w FROM v),
+            s AS (SELECT v, mn, mx, (mx - mn) / 1000 AS st, least(floor((v - mn) / (mx - mn) * 1000), 999) AS g FROM v, f),
+            b AS (SELECT CASE WHEN v < mn + g * st THEN g - 1 WHEN g < 999 AND v >= mn + (g + 1) * st THEN g + 1 ELSE g END AS bin, count(*) AS c
+                  FROM s GROUP BY 1),
+            m AS (SELECT (mn + bin * ((mx - mn) / 1000) + CASE WHEN bin = 999 THEN mx ELSE mn + (bin + 1) * ((mx - mn) / 1000) END) / 2 AS mid, c FROM b, f),
+            g AS (SELECT mn - 3 * w + i * (mx - mn + 6 * w) / 199 AS x FROM f, (SELECT unnest(range(200)) AS i))
+       SELECT {fix_sql('x')} AS x, {fix_sql('sum(exp(-power((x - mid) / w, 2) / 2) * c) / any_value(n * w * sqrt(2 * pi()))')} AS density
+       FROM g, m, f GROUP BY x""",
+)
 def _(spark, sf):
     out = charts.density(events_with_gaps(spark, sf), "value")
-    return out.select(sig("x").alias("x"), sig("density").alias("density"))
+    return out.select(fix("x").alias("x"), fix("density").alias("density"))
+
+
+@query("histogram_discrete", "SELECT (row_number() OVER (ORDER BY l_linenumber) - 1)::INTEGER AS bin, l_linenumber::DOUBLE AS lo, l_linenumber::DOUBLE AS hi, count(*) AS count FROM lineitem GROUP BY l_linenumber")
+def _(spark, sf):
+    return charts.fitted_histogram(table(spark, sf, "lineitem"), "l_linenumber")
 
 
 @query(

@@ -476,12 +476,7 @@ def _(spark, sf):
     )
 
 
-@query(
-    "udaf_group",
-    f"""SELECT event_type, {sig_sql('sqrt(avg(value * value))')} AS rms, max(value) - min(value) AS span
-        FROM {EVENTS_WITH_GAPS} WHERE event_type IS NOT NULL GROUP BY event_type""",
-)
-def _(spark, sf):
+def _rms_and_span(spark, sf, key):
     def partial(rows: pd.DataFrame) -> dict:
         v = rows["value"].dropna()
         return {"n": len(v), "squares": float((v * v).sum()), "lo": v.min(), "hi": v.max()}
@@ -499,7 +494,7 @@ def _(spark, sf):
 
     out = udf.merge_aggregate(
         events_with_gaps(spark, sf),
-        ["event_type"],
+        [key],
         ["value"],
         partial,
         "n bigint, squares double, lo double, hi double",
@@ -508,3 +503,19 @@ def _(spark, sf):
         "rms double, span double",
     )
     return out.withColumn("rms", sig("rms"))
+
+
+def _rms_sql(key: str) -> str:
+    return f"""SELECT {key}, {sig_sql('sqrt(avg(value * value))')} AS rms, max(value) - min(value) AS span
+               FROM {EVENTS_WITH_GAPS} WHERE {key} IS NOT NULL GROUP BY {key}"""
+
+
+@query("udaf_group", _rms_sql("event_type"))
+def _(spark, sf):
+    return _rms_and_span(spark, sf, "event_type")
+
+
+@query("udaf_user", _rms_sql("user_id"))
+def _(spark, sf):
+    """Many groups of few rows each."""
+    return _rms_and_span(spark, sf, "user_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tallyframe.functions import col, family, is_missing, known
 from tallyframe.functions.columns import as_double, with_values
@@ -12,6 +12,12 @@ from tallyframe.functions.columns import as_double, with_values
 
 def sort_values(df: DataFrame, columns: Sequence[str] | str, ascending: bool | Sequence[bool] = True) -> DataFrame:
     """Global sort; missing values come last whichever way a column is sorted."""
+    keys = order_keys(df, columns, ascending)
+    return df.orderBy(*keys) if keys else df
+
+
+def order_keys(df: DataFrame, columns: Sequence[str] | str, ascending: bool | Sequence[bool] = True) -> list[Column]:
+    """The sort keys of ``sort_values``."""
     columns = [columns] if isinstance(columns, str) else list(columns)
     flags = [ascending] * len(columns) if isinstance(ascending, bool) else list(ascending)
     if len(flags) != len(columns):
@@ -23,7 +29,7 @@ def sort_values(df: DataFrame, columns: Sequence[str] | str, ascending: bool | S
         if family(df.schema[name].dataType) == "float":
             keys.append(is_missing(df, name).asc())  # NaN would otherwise lead a descending sort
         keys.append(col(name).asc_nulls_last() if up else col(name).desc_nulls_last())
-    return df.orderBy(*keys) if keys else df
+    return keys
 
 
 def preview(df: DataFrame, rows: int = 5, order_by: Sequence[str] | str | None = None) -> DataFrame:

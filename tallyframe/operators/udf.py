@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import col, known
@@ -44,6 +45,13 @@ def apply_columns(
     return df.select([func(col(n)).alias(n) for n in names])
 
 
+# States from which a task merges what it has, and beyond which it hands them over; tasks from which groups merge in parts.
+_FOLD_FROM = 20_000
+_HAND_OVER = 100_000
+_MANY_TASKS = 2_000
+_PARTS = 64
+
+
 def merge_aggregate(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,17 +84,22 @@ def merge_aggregate(
         return pd.DataFrame(rows, columns=state_columns)
 
     def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        # States are merged when their number has doubled, so that each takes part in few merges.
+        waiting: list[pd.DataFrame] = []
+        size, settled = 0, 0
         for frame in frames:
             if frame.empty:
                 continue
-            fresh = fold(frame, partial)
-            kept = fresh if kept is None else fold(pd.concat([kept, fresh], ignore_index=True), merge)
-            if len(kept) > 100_000:  # many groups: hand over early, the merge below is exact anyway
-                yield kept
-                kept = None
-        if kept is not None:
-            yield kept
+            waiting.append(fold(frame, partial))
+            size += len(waiting[-1])
+            if len(waiting) > 1 and size >= max(_FOLD_FROM, 2 * settled):
+                waiting = [fold(pd.concat(waiting, ignore_index=True), merge)]
+                size = settled = len(waiting[0])
+            if size > _HAND_OVER:  # many groups: the merge below is exact anyway
+                yield from waiting
+                waiting, size, settled = [], 0, 0
+        if waiting:
+            yield waiting[0] if len(waiting) == 1 else fold(pd.concat(waiting, ignore_index=True), merge)
 
     def per_group(frame: pd.DataFrame) -> pd.DataFrame:
         merged = fold(frame, merge)
@@ -94,4 +107,11 @@ def merge_aggregate(
         return pd.concat([merged[names].reset_index(drop=True), done.reset_index(drop=True)], axis=1)[result_columns]
 
     rows = df.dropna(subset=names).select([col(c) for c in dict.fromkeys([*names, *columns])])
-    return rows.mapInPandas(per_task, states).groupBy(*[col(k) for k in names]).applyInPandas(per_group, results)
+    sent = rows.mapInPandas(per_task, states)
+    if rows.rdd.getNumPartitions() > _MANY_TASKS:
+        # A group has a state per task: they are merged in parts first, so that no task gets them all.
+        part = F.pmod(F.spark_partition_id(), F.lit(_PARTS)).alias("_part")
+        parted = sent.select("*", part)
+        merge_part = lambda frame: fold(frame.drop(columns="_part"), merge)
+        sent = parted.groupBy(*[col(k) for k in names], "_part").applyInPandas(merge_part, states)
+    return sent.groupBy(*[col(k) for k in names]).applyInPandas(per_group, results)

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import limits
@@ -93,6 +93,17 @@ def capped_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins:
     return histograms(df, {r["column"]: min(bins, r["unique_count"]) for r in counts})
 
 
+def fitted_histogram(df: DataFrame, column: str, few: int = 10, most_bins: int = 30) -> DataFrame:
+    """``bin, lo, hi, count``: a bar per value where there are at most ``few``, else as many bins as values, up to ``most_bins``."""
+    found = {r["column"]: r["unique_count"] for r in distinct_counts(df, [column]).collect()}
+    distinct = found.get(column, 0)
+    if distinct > few:
+        return histogram(df, column, min(most_bins, distinct))
+    counted = df.where(~is_missing(df, column)).groupBy(as_double(df, column).alias("lo")).agg(F.count(F.lit(1)).alias("count"))
+    order = Window.orderBy("lo")  # ``few`` rows at most
+    return counted.select((F.row_number().over(order) - 1).alias("bin"), "lo", F.col("lo").alias("hi"), "count").orderBy("bin")
+
+
 def density(df: DataFrame, column: str, points: int = 200, fine_bins: int = 1000, cut: float = 3.0) -> DataFrame:
     """``x, density``: Gaussian kernel density with Scott's bandwidth.
 

@@ -15,13 +15,15 @@ from .charts import chart_bundle
 from .cleaning import Step, clean_with, default_steps
 from .profile import full_profile
 from .report import before_after, report_tables
-from .storage import checkpointed
+from .storage import checkpointed, scratch_path
 
 
 def typed_and_cleaned(
     df: DataFrame, steps: Sequence[Step] | None = None, exact: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    typed = coerce_numeric(df)
+    path = scratch_path(df.sparkSession, "typed")
+    coerce_numeric(df).write.parquet(path)
+    typed = df.sparkSession.read.parquet(path)
     return typed, clean_with(typed, default_steps(typed, exact=exact) if steps is None else steps)
 
 
@@ -52,8 +54,9 @@ def run_batch(
 ) -> dict[str, str]:
     """Write every table below ``output`` and return the paths.
 
-    The cleaned table is written first; all that follows reads the written
-    one, so the cleaning runs once and a lost executor never repeats it.
+    The typed table and the cleaned one are written first; all that follows
+    reads the written ones, so that the source is parsed and cleaned once and
+    a lost executor never repeats it.
     """
     spark = df.sparkSession
     base = output.rstrip("/")

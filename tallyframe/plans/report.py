@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import numeric_columns
+from tallyframe.functions import col, numeric_columns
+from tallyframe.operators.sorting import order_keys, sort_values
 
 from .profile import column_kinds
 from .statistics import describe, missing_counts, moments
 
 
-def report_tables(datasets: dict[str, DataFrame], exact: bool = True) -> dict[str, DataFrame]:
-    """``shape``, ``columns`` and ``describe`` of several named tables, tagged by ``dataset``."""
+def sample_rows(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
+    """``row, column, value``: the first rows by a stated order, cell by cell as text."""
+    top = sort_values(df, list(order_by)).limit(rows)
+    numbered = top.select(F.row_number().over(Window.orderBy(*order_keys(df, order_by))).alias("row"), "*")  # ``rows`` rows at most
+    cells = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), col(c).cast("string").alias("value")) for i, c in enumerate(df.columns)]
+    return numbered.select("row", F.inline(F.array(*cells))).orderBy("row", "place").drop("place")
+
+
+def report_tables(
+    datasets: dict[str, DataFrame], exact: bool = True, sample_by: Sequence[str] | None = None, sample: int = 5
+) -> dict[str, DataFrame]:
+    """``shape``, ``columns`` and ``describe`` of several named tables, tagged by ``dataset``.
+
+    With ``sample_by``, an order of rows, also ``sample``: the first rows of each table.
+    """
     shapes, columns, stats = [], [], []
     for name, df in datasets.items():
         tag = F.lit(name).alias("dataset")
@@ -31,6 +46,9 @@ def report_tables(datasets: dict[str, DataFrame], exact: bool = True) -> dict[st
         if numeric_columns(df):
             stats.append(describe(df, exact=exact).select(tag, "*"))
     out = {"shape": reduce(DataFrame.unionByName, shapes), "columns": reduce(DataFrame.unionByName, columns)}
+    if sample_by:
+        parts = [sample_rows(df, sample_by, sample).select(F.lit(name).alias("dataset"), "*") for name, df in datasets.items()]
+        out["sample"] = reduce(DataFrame.unionByName, parts)
     if stats:
         out["describe"] = reduce(DataFrame.unionByName, stats)
     return out

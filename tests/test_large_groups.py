@@ -45,16 +45,34 @@ def test_grouped_quantiles(skewed):
             assert got[k, c] == pytest.approx(want.quantile(PROBS).tolist()), (k, c)
 
 
-def test_a_bracket_that_misses_is_widened(skewed, monkeypatch):
-    """With a coarse sketch and no margin the brackets miss; the counts must notice."""
+def test_few_bins_take_more_rounds(skewed, monkeypatch):
+    """With two bins a round hardly narrows; whatever is left after the last one is ranked, and exact."""
     pdf, df = skewed
-    monkeypatch.setattr(quantiles, "SKETCH", 3)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    monkeypatch.setattr(quantiles, "BINS", 2)
+    monkeypatch.setattr(quantiles, "ROUNDS", 3)
     got = quantiles.table_quantiles(df, ["u", "v"], PROBS, one_task=100)
     for c in ("u", "v"):
         assert [got[c][p] for p in PROBS] == pytest.approx(pdf[c].quantile(PROBS).tolist())
 
 
+def test_wide_ranges_and_infinities(spark):
+    values = [float("-inf"), -1.7e308, 0.0, 1e-300, 1.0, 2.0, 1.7e308, float("inf")] * 20
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    got = quantiles.table_quantiles(df, ["a"], [0.0, 0.5, 1.0], one_task=10)["a"]
+    values.sort()
+    assert (got[0.0], got[1.0]) == (values[0], values[-1]) and got[0.5] == (values[79] + values[80]) / 2
+
+
+def test_no_sketch_meets_in_one_task(skewed):
+    """The first round of the large plan counts bins in every task before anything moves."""
+    _, df = skewed
+    long = quantiles.unpivot(df, {"v": df["v"]})
+    ranges = df.sparkSession.createDataFrame([("v", 0.0, 1.0)], "column string, lo double, hi double")
+    bins = quantiles._attach(long, ranges, ["column"], False).groupBy("column", quantiles._bin().alias("bin")).count()
+    plan = bins._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "percentile_approx" not in plan
+
+
 def test_columns_without_values(spark):
     df = spark.createDataFrame([(1.0, None)] * 50, "a double, b double")
     got = quantiles.table_quantiles(df, ["a", "b"], [0.5], one_task=10)
