@@ -33,15 +33,13 @@ def spark():
 @pytest.fixture(scope="session")
 def answers(spark):
     """Ten rows with one gap in each of three columns."""
-    categories = ["A", "B", "A", "C", "B", None, "C", "B", "A", "D"]
-    first = [10.0, 20.0, 15.0, 25.0, 30.0, 35.0, 40.0, 45.0, 50.0, 55.0]
-    first[0] = None
-    second = [100.0 - 10 * i for i in range(10)]
-    second[3] = None
-    texts = ["abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwx", "yz1", "234"]
-    start = dt.datetime(2023, 1, 1)
+    categories = ["N", "S", "W", "N", None, "S", "W", "N", "S", "E"]
+    first = [12.0, 18.0, None, 27.0, 24.0, 33.0, 41.0, 38.0, 52.0, 47.0]
+    second = [9.5, 7.0, 8.0, 6.5, 5.0, None, 4.0, 3.5, 2.0, 1.0]
+    texts = ["oak", "elm", "ash", "fir", "yew", "box", "bay", "fig", "gum", "77"]
+    start = dt.datetime(2022, 3, 5)
     rows = [
-        (i + 1, categories[i], first[i], second[i], start + dt.timedelta(days=i), texts[i], dt.timedelta(minutes=10 * (i + 1)))
+        (i + 1, categories[i], first[i], second[i], start + dt.timedelta(days=i), texts[i], dt.timedelta(minutes=7 * (i + 1)))
         for i in range(10)
     ]
     return spark.createDataFrame(
@@ -52,9 +50,9 @@ def answers(spark):
 
 @pytest.fixture(scope="session")
 def staff(spark):
-    age = [25.0, None, 35.0, 40.0, 45.0, 30.0, None, 22.0, 38.0, 50.0]
-    department = ["HR", "IT", None, "IT", "HR", "Finance", "IT", "HR", "Finance", None]
-    salary = [50000, 60000, 70000, 80000, 90000, 55000, 65000, 45000, 85000, 95000]
+    age = [31.0, 44.0, None, 28.0, 52.0, 39.0, 47.0, None, 25.0, 36.0]
+    department = ["Ops", "Lab", None, "Lab", "Ops", "Law", "Lab", "Ops", None, "Law"]
+    salary = [41000, 73000, 58000, 49000, 91000, 66000, 78000, 52000, 38000, 70500]
     rows = [(i, f"name{i}", age[i], salary[i], department[i], i + 1, 10 * i) for i in range(10)]
     return spark.createDataFrame(
         rows, "id long, name string, age double, salary long, department string, experience long, score long"

@@ -112,3 +112,19 @@ def test_entry(spark):
 
     assert driver.entry(spark).count() == 5
     assert driver.queries().keys() >= driver.oracle_sql().keys()
+
+
+def test_scratch_is_shared_or_the_master_local(spark):
+    from types import SimpleNamespace
+
+    from tallyframe.plans import storage
+
+    def session(master, named):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named), sparkContext=context)
+
+    assert storage.shared_folder(session("spark://host:7077", "hdfs://x/scratch")) == "hdfs://x/scratch"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_folder(session(master, None))
+    assert storage.shared_folder(session("local[4]", None)) and storage.shared_folder(spark)
