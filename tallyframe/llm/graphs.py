@@ -34,19 +34,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node is either a leaf with one centre, or a centre: nothing is left to move."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return nodes.filter("out > 1 or (out > 0 and `in` > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u, v`` of one comparable type): the smallest node it is connected with.
 
     Each round is written to the shared folder. Neighbourhoods are only
     aggregated and joined, never gathered; adaptive execution splits hubs.
     """
-    state = _stored(edges.filter("u <> v").select("u", "v").distinct(), "edges")
-    before = None
-    while True:
-        mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not mark[0] or mark == before:
-            break
-        before = mark
+    pairs = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    state = _stored(pairs.distinct(), "edges")
+    while not _is_forest_of_stars(state):
         state = _stored(_small_star(_large_star(state)), "edges")
     roots = state.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
