@@ -176,7 +176,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``u, v`` of different roots that can be alike, by their rarest shingles and where in the order these stand."""
+    """``u, v`` of different roots that can be alike, by their rarest shingles: a prefix filter on the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,20 +192,31 @@ def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> Dat
     ranked = (
         posts.join(often, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("common")).join(sizes, "node")
     )
+    # A set meets larger ones by a shorter prefix: they have to share more than it would with a smaller one.
     alone = F.col("n") - F.size("common")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    shorter = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - alone
     prefix = F.slice("common", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
     listed = (
-        ranked.select("node", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "shingle"))
-        .select("node", "n", F.col("shingle.hash").alias("hash"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+        ranked.select("node", "n", shorter.alias("shorter"), alone.alias("alone"), prefix.alias("prefix"))
+        .withColumn("beyond", F.col("n") - F.col("alone") - F.size("prefix"))
+        .withColumn("last", F.get("prefix", F.size("prefix") - 1))
+        .select("node", "n", "shorter", "beyond", "last", F.transform("prefix", lambda s: s["hash"]).alias("prefix"))
+        .select("*", F.posexplode("prefix").alias("at", "hash"))
         .join(nodes, "node")
     )
     listed = _stored(listed, "undecided-prefixes")
-    left, right = (listed.select("hash", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "rest")]) for side in "uv")
-    enough = F.least("u_rest", "v_rest") * (100 + percent) >= percent * (F.col("u_n") + F.col("v_n"))
-    return left.join(right, "hash").filter(F.expr("u_node < v_node and u_root <> v_root") & enough).select(
-        F.col("u_node").alias("u"), F.col("v_node").alias("v")
-    )
+    own = ("node", "root", "n", "prefix", "beyond", "last")
+    left, right = (listed.select("hash", "at", "shorter", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "uv")
+    right = right.filter("at < shorter")
+    larger = F.expr("(u_n > v_n or (u_n = v_n and u_node > v_node)) and u_root <> v_root")
+    # What the prefixes share is counted, at the first shingle they share. All else that is shared lies beyond the
+    # prefix that ends first in the order.
+    both = F.array_intersect("u_prefix", "v_prefix")
+    rest = F.when(F.col("u_last") < F.col("v_last"), F.col("u_beyond")).otherwise(F.col("v_beyond"))
+    enough = (F.size(both) + rest) * (100 + percent) >= percent * (F.col("u_n") + F.col("v_n"))
+    pairs = left.drop("at", "shorter").join(right.drop("at", "shorter"), "hash").filter(larger & (F.get(both, 0) == F.col("hash")) & enough)
+    return pairs.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
 
 
 def _links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
