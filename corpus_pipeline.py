@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without runs of three lines or more that stand earlier; documents that lose every line go."""
-    return lines.kept_documents(docs)
+    """Without runs of three lines or 20 words that stand earlier; documents that lose every line go."""
+    return lines.kept_documents(docs, min_words=lines.MIN_WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
