@@ -25,6 +25,11 @@ from .texts import LETTERED, Rolling, chunks, inner_windows, keyed, mix, packed,
 # The masks. Seven of eleven words count.
 MASKS = ("11010011011", "11101001011", "10110110011")
 
+# The masks of short items by their length. Whatever DEFAULT_OVERLAP counts in such an item has a seed of them.
+SHORT_MASKS = {
+    5: ("1111",), 6: ("11111",), 7: ("11101",), 8: ("111011",), 9: ("111011",), 10: ("111011",), 11: ("111011", "111101"), 12: ("110010101",),
+}
+
 
 @dataclass(frozen=True)
 class Overlap:
@@ -32,7 +37,7 @@ class Overlap:
 
     matched: words that must agree, or the share ``item_share`` of an item's words where those are fewer.
     mismatch: how many agreeing words a substitution costs, which bounds their share within an overlap.
-    min_item: items with fewer words are too short to tell and find nothing.
+    min_item: items with fewer words are too short to tell and are found as whole texts only.
     broadcast_rows: seeds of a benchmark that may be broadcast; more are joined by a shuffle.
     """
 
@@ -59,18 +64,35 @@ def _seeds(codes: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(total, 40 + number)
 
 
-def _row_seeds(chunk, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class Mask:
+    """``lengths``: the items that use it, or all from 13 words on. ``whole``: only texts that have no other words are looked at."""
+
+    bits: str
+    number: int
+    lengths: tuple[int, ...] = ()
+    whole: bool = False
+
+    def of_item(self, n: int) -> bool:
+        return n in self.lengths if self.lengths else n > max(SHORT_MASKS)
+
+
+def _row_seeds(chunk, masks: tuple[Mask, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per mask: rows, places in words, and seeds."""
     found = words(chunk, LETTERED, lower=True)
     row_of = found.row_of()
-    for number, mask in enumerate(masks):
-        starts = inner_windows(found.first, len(mask))
+    sizes = np.diff(found.first)
+    for mask in masks:
+        starts = inner_windows(found.first, len(mask.bits))
         rows = row_of[starts]
-        yield rows, (starts - found.first[rows]).astype(np.int32), signed(_seeds(found.codes, mask, number)[starts])
+        if mask.whole:
+            own = sizes[rows] == len(mask.bits)
+            starts, rows = starts[own], rows[own]
+        yield rows, (starts - found.first[rows]).astype(np.int32), signed(_seeds(found.codes, mask.bits, mask.number)[starts])
 
 
-def benchmark_items(benchmark: DataFrame, overlap: Overlap) -> DataFrame:
-    """``item_key, item_id, codes``: hashes of each item's words. Null and short texts are left out; equal rows count once."""
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """``item_key, item_id, codes``: hashes of each item's words. Texts without words are left out; equal rows count once."""
     ship(benchmark.sparkSession)
     rows = benchmark.select(F.xxhash64("item_id", "text").alias("item_key"), F.col("item_id").cast("long").alias("item_id"), "text")
 
@@ -83,27 +105,34 @@ def benchmark_items(benchmark: DataFrame, overlap: Overlap) -> DataFrame:
             )
 
     items = rows.mapInArrow(run, "item_key long, item_id long, codes array<long>")
-    return items.filter(F.size("codes") >= overlap.min_item).dropDuplicates(["item_key"])
+    return items.filter(F.size("codes") > 0).dropDuplicates(["item_key"])
 
 
-def _masks_for(items: DataFrame) -> tuple[str, ...]:
-    """The fixed masks, and for items too short for them a mask of all their words per length (few lengths, one row each)."""
-    span = len(MASKS[0])
-    short = items.filter(F.size("codes") < span).select(F.size("codes").alias("n")).distinct().collect()
-    return (*MASKS, *("1" * n for n in sorted(r["n"] for r in short)))
+def _masks_for(items: DataFrame, overlap: Overlap) -> tuple[Mask, ...]:
+    """The fixed masks, those of the short lengths that occur, and one of all words per length under ``min_item`` (few lengths, one row each)."""
+    longest = max(*SHORT_MASKS, overlap.min_item - 1)
+    sizes = sorted(r["n"] for r in items.filter(F.size("codes") <= longest).select(F.size("codes").alias("n")).distinct().collect())
+    short: dict[str, list[int]] = {}
+    for n in sizes:
+        if n >= overlap.min_item:
+            for bits in SHORT_MASKS.get(n, ("1" * n,)):
+                short.setdefault(bits, []).append(n)
+    wholes = [n for n in sizes if n < overlap.min_item]
+    masks = [(bits, (), False) for bits in MASKS] + [(bits, tuple(n), False) for bits, n in short.items()] + [("1" * n, (n,), True) for n in wholes]
+    return tuple(Mask(bits, number, lengths, whole) for number, (bits, lengths, whole) in enumerate(masks))
 
 
-def item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """``seed, item_key, place``; a mask made for a length is used by items of that length only."""
+def item_seeds(items: DataFrame, masks: tuple[Mask, ...]) -> DataFrame:
+    """``seed, item_key, place``; a mask made for some lengths is used by items of those only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds, keys, places = [], [], []
             for key, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.asarray(codes.values).view(np.uint64)
-                for number, mask in enumerate(masks):
-                    if number < len(MASKS) or len(own) == len(mask):
-                        found = signed(_seeds(own, mask, number))
+                for mask in masks:
+                    if mask.of_item(len(own)):
+                        found = signed(_seeds(own, mask.bits, mask.number))
                         seeds += found.tolist()
                         keys += [key] * len(found)
                         places += range(len(found))
@@ -112,7 +141,7 @@ def item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return items.select("item_key", "codes").mapInArrow(run, "seed long, item_key long, place int")
 
 
-def text_seeds(documents: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def text_seeds(documents: DataFrame, masks: tuple[Mask, ...]) -> DataFrame:
     """``row_key, seed, pos`` of every mask at every word of every whole text."""
     ship(documents.sparkSession)
 
@@ -149,8 +178,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, overlap: Overlap = DEFA
     case. Null texts overlap nothing; rows that repeat id and text are one
     document and give one row per item. Empty tables give an empty result.
     """
-    items = _stored(benchmark_items(benchmark, overlap), "benchmark-items")
-    masks = _masks_for(items)
+    items = _stored(benchmark_items(benchmark), "benchmark-items")
+    masks = _masks_for(items, overlap)
     seeds = _stored(item_seeds(items, masks), "benchmark-seeds")
     bounded = seeds.count() <= overlap.broadcast_rows
     hits = (
@@ -179,6 +208,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, overlap: Overlap = DEFA
                     item = np.array(w["codes"], dtype=np.int64).view(np.uint64)
                     best = max((*best_overlap(text, item, d, limits.mismatch), d) for d in w["diagonals"])
                     n, first, end, diagonal = best
+                    if len(item) < limits.min_item and not (len(text) == len(item) == n):
+                        continue
                     if n >= min(limits.matched, limits.item_share * len(item)):
                         out.append((keys[row], ids[row], w["item_id"], n, len(item), first + diagonal, end + diagonal))
             columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
