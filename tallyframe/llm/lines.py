@@ -2,10 +2,10 @@
 
 A text is the sequence of its lines that hold a word. Of every ``run``
 consecutive line hashes the smallest is a fingerprint, so that every repeated
-run of that many lines has one at the same place. Fingerprints meet by their
-hash; a match is extended line by line to both sides through the windows around
-the fingerprint and through the neighbouring fingerprints; and the lines of
-every run that also stands earlier are deleted.
+run of that many lines has one at the same place. Runs of ``run`` lines are
+grouped by their fingerprint and compared there; no match is extended beyond
+them. The lines of every run that also stands earlier are deleted, so that
+longer matches go run by run.
 
 With ``min_words``, shorter runs of so many words together count as well. They
 are fingerprints of their own.

@@ -1,12 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
-
-The index holds every block of every document (runs of windows of ``window``
-words that share a minimizer) with its earliest place. Each document is parsed
-from left to right: a factor starts where a window has an earlier place, and
-runs on greedily while the following windows continue at that place. Where a
-factor ends, the windows across the boundary are looked up as well, so that the
-next factor may start before the end of the last one. Factors have at least
-``window`` words; their words are the document's duplicate spans.
+"""Substring dedup by windows of words, strung together to factors of earlier text.
+
+Every block of every document (a run of windows of ``window`` words that share
+a minimizer) is grouped with the other blocks of its minimizer, and every
+window gets its earliest place there. Each document is then read from left to
+right: a factor starts where a window has an earlier place, and runs on while
+the following windows have the place that continues it. No factor is extended
+against the text it refers to: it ends where the earliest place of the next
+window is another one, and the next factor may start before its end. Factors
+have at least ``window`` words; their words are the document's duplicate spans.
 """
 
 from __future__ import annotations
