@@ -1,17 +1,19 @@
-"""Suffix-array dedup of byte strings with a logarithmic family of indexes.
+"""Dedup of byte strings with a logarithmic family of sorted indexes.
 
 The suffixes that matter are those at minimizers: every string of ``length``
 bytes has one inside it, at the same place wherever the string stands. Of each
-batch of documents these suffixes are sorted, in the order of their hashed
-first bytes and then of the text around them: a sparse suffix array, stored
-bucketed and sorted. A new array is merge-scanned against the array of every
-level: neighbours in the common order with the same surroundings are long
-matches; neighbours that only begin alike are candidates for matches that end
-inside. Arrays of equal size then merge to one of the next level, so that n
-batches leave about log n arrays and a suffix is rewritten about log n times.
-
-Candidates are settled exactly: their strings are compared in groups of sixteen
-offsets around the suffix first, and one by one only where a group differs.
+batch of documents these suffixes are sorted by the hash of the minimizer and
+then by the hash of the text around it, and stored bucketed and sorted. This is
+no lexicographic suffix array: neighbours are equal in their hashes or not, and
+no length of a match is read off them. A new table is scanned together with the
+table of every level: equal surroundings are long matches; equal minimizers with
+other surroundings are candidates for matches that end inside. Tables of equal
+size then merge to one of the next level, so that n batches leave about log n
+tables and a suffix is rewritten about log n times. The family lives for one call.
+
+Candidates are settled exactly, by a second pass over their texts: their strings
+are compared in groups of sixteen offsets around the suffix first, and one by
+one only where a group differs.
 """
 
 from __future__ import annotations
