@@ -29,6 +29,10 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Elements of HTML by what they do to the text around them.
 SKIPPED = frozenset("script style noscript template title svg math iframe object textarea select button canvas audio video".split())
+#: What an end tag has to follow, or else the rest of the page belongs to them.
+RAW = frozenset("script style noscript textarea title".split())
+#: Those that a further start tag of their kind ends.
+UNNESTED = frozenset("button select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset(
     "html body div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr td th fieldset details figure dialog menu".split()
@@ -138,9 +142,24 @@ def _named(attributes: str) -> tuple[frozenset[str], str, bool]:
     return frozenset(names), role, hidden
 
 
+def _skipped(source: str, at: int, tag: str, unclosed: set[str]) -> int:
+    """Where the page goes on after a start tag of SKIPPED: behind its end tag, or right behind itself if it has none."""
+    if tag in unclosed:
+        return at
+    begin = "(/?)" if tag in UNNESTED else "(/)"
+    end = re.compile(rf"<{begin}{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+    if end is None and tag not in RAW:
+        unclosed.add(tag)
+        return at
+    if end is None:
+        return len(source)
+    return end.end() if end[1] else at
+
+
 def text_blocks(source: str) -> list[Block]:
     """The page's text blocks in their order. Markup that is not closed or not nested is taken as it comes."""
     page, at, n = _Page(), 0, len(source)
+    unclosed: set[str] = set()
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
@@ -154,8 +173,7 @@ def text_blocks(source: str) -> list[Block]:
         tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in SKIPPED:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else n
+                at = _skipped(source, at, tag, unclosed)
         elif tag == "br":
             page.add(" ")
         elif tag == "a":
