@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, licenses, lines, minhash, quality, rlz, suffixes
+from . import audit, bpe, chat, decontaminate, html, langid, licenses, lines, minhash, quality, rlz, suffixes, vectorcodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,18 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_report(_table(spark, sf_dir, "documents"), minhash.Likeness(shingle=3, percent=85))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_code_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 # The SQL takes the query's own parameters: limits, the prior by moments, windows of eight words.
@@ -143,4 +158,107 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
 FROM documents d LEFT JOIN t USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY_SQL.strip(), "op4_line_dedup": LINES_SQL.strip()}
+# All orders spelled out; the masks' cells are summed per order and step, the last column over all orders.
+AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+m AS (
+  SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+         count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order
+  FROM letters v, letters w, letters x, letters y, letters z WHERE v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+steps AS (
+  SELECT filter_order, step, bit, coalesce(sum(bit) OVER (PARTITION BY filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS earlier
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders) JOIN letters ON f = filter_order[step]),
+counts AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (bit | earlier) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit) AS shapley
+FROM counts
+"""
+
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Every round is a common table of assignments and one of codebooks."""
+    ctes = [
+        f"""k AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""p AS MATERIALIZED (
+  SELECT id, part, v[(part * len(v)) // {parts} + 1 : ((part + 1) * len(v)) // {parts}] AS x FROM k, range({parts}) r(part))""",
+        f"""c0 AS MATERIALIZED (
+  SELECT part, entry, x AS c FROM p JOIN (SELECT id, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM k) USING (id)
+  WHERE entry < {entries})""",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT id, part, any_value(x) AS x, min(CAST(list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c) AS BIGINT) * 256 + entry) AS best
+  FROM p JOIN c{i} USING (part) GROUP BY id, part)"""
+        )
+        if i < rounds:
+            ctes.append(
+                f"""c{i + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, c) AS c
+  FROM c{i} LEFT JOIN (
+    SELECT part, entry, list(q ORDER BY pos) AS m
+    FROM (SELECT part, best % 256 AS entry, pos, floor(sum(y) / count(*)) AS q
+          FROM (SELECT part, best, unnest(x) AS y, unnest(range(len(x))) AS pos FROM a{i}) GROUP BY ALL)
+    GROUP BY part, entry) USING (part, entry))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(ctes)
+        + f""",
+r AS (
+  SELECT k.id, vec_id, label, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM k JOIN a{rounds} USING (id) GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos))
+        FROM (SELECT part, entry, unnest(c) AS y, unnest(range(len(c))) AS pos FROM c{rounds})) AS codebooks_sha256
+FROM r
+"""
+    )
+
+
+# formatted_chars follows from the template: markers, doubled backslashes and one backslash per control string.
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '\\|<s>|</s>|\[INST\]|\[/INST\]')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(length('<s>') + sum(n + length('[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": QUALITY_SQL.strip(),
+    "op4_line_dedup": LINES_SQL.strip(),
+    "op11_filter_audit": AUDIT_SQL.strip(),
+    "op12_vector_codes": _vector_codes_sql(),
+    "op13_chat_formatting": CHAT_SQL.strip(),
+}
