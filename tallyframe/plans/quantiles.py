@@ -6,12 +6,16 @@ number of bins between the least and the greatest, which combines in every
 task, and the bin of each wanted position is cut into bins again until few
 enough rows are left to be counted by value and ranked. The answer is the exact
 order statistic; the bins only decide how much has to be looked at.
+
+Whole columns count their bins as vectors, all columns in one pass, see
+``bins``; groups by keys from the data count them as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from tallyframe import limits
 from tallyframe.functions import col
 from tallyframe.functions.columns import as_double, unpivot
 
+from .bins import Target, narrowed
 from .ranks import count_values, rank_values
 from .storage import checkpointed, local_copy
 
@@ -70,10 +75,65 @@ def table_quantiles(
             for c, got in zip(block, row, strict=True):
                 out[c] = dict(zip(probs, got if got is not None else [None] * len(probs), strict=True))
         return out
-    long = unpivot(df, values)
-    for r in large_group_quantiles(long, ["column"], probs, one_task).collect():
-        out.setdefault(r["column"], {})[probs[r["pi"]]] = r["q"]
-    return {c: out.get(c, dict.fromkeys(probs)) for c in values}
+    return _large_table_quantiles(df, values, probs, one_task)
+
+
+def _large_table_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[float], one_task: int) -> dict[str, dict[float, float | None]]:
+    """One pass for the ranges, one per narrowing round, and one that ranks the few values left, each over all columns."""
+    targets: dict[str, dict[float, Target]] = {}
+    for c, (n, low, high) in _ranges(df, values).items():
+        targets[c] = {p: Target((n - 1) * p, low, high, 0, n) for p in probs} if n else {}
+    narrowed(df, values, {c: list(ts.values()) for c, ts in targets.items()}, one_task)
+    _rank_the_rest(df, values, targets, one_task)
+    return {c: {p: ts[p].value() if ts else None for p in probs} for c, ts in targets.items()}
+
+
+def _ranges(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[int, float, float]]:
+    """Per column the number of values and the least and greatest finite one (0 where there is none)."""
+    out = {}
+    for block in _blocks(list(values)):
+        flat = df.select([values[c].alias(f"v{i}") for i, c in enumerate(block)])
+        finite = "CASE WHEN abs(v{0}) < double('inf') THEN v{0} END"
+        row = flat.selectExpr(*[e.format(i) for i in range(len(block)) for e in ("count(v{0})", f"min({finite})", f"max({finite})")]).first()
+        for i, c in enumerate(block):
+            n, low, high = row[3 * i : 3 * i + 3]
+            out[c] = (n, low or 0.0, high or 0.0)
+    return out
+
+
+def _rank_the_rest(df: DataFrame, values: dict[str, Column], targets: dict[str, dict[float, Target]], one_task: int) -> None:
+    """Targets in ranges of few values: those values alone are counted and ranked, and read off at the positions."""
+    rest = {c: [(p, t) for p, t in ts.items() if t.found is None] for c, ts in targets.items()}
+    rest = {c: ts for c, ts in rest.items() if ts}
+    if not rest:
+        return
+    spans = {c: sorted({(t.low, t.high, t.below, t.inside) for _, t in ts}) for c, ts in rest.items()}
+
+    def span_of(c: str) -> Column:
+        """The number of the range that holds the value; null outside of all."""
+        place = F.lit(None).cast("int")
+        for i, (low, high, _, _) in enumerate(spans[c]):
+            place = F.when(values[c].between(low, high), F.lit(i)).otherwise(place)
+        return place
+
+    # (range, value) of all columns as one long table; only values inside a range become rows.
+    cells = unpivot(df, {c: F.when(span_of(c).isNotNull(), F.struct(span_of(c).alias("span"), values[c].alias("value"))) for c in rest})
+    counts = count_values(cells.select("column", "value.span", "value.value"), ["column", "span"])
+    most = max(t.inside for ts in rest.values() for _, t in ts)
+    ranked = rank_values(counts, ["column", "span"], most, one_task=one_task)
+    wanted = [
+        (c, spans[c].index((t.low, t.high, t.below, t.inside)), p, end, int(end_of(t.position)) - t.below)
+        for c, ts in rest.items()
+        for p, t in ts
+        for end, end_of in enumerate((np.floor, np.ceil))
+    ]
+    # One row per column, probability and end, so it may be broadcast.
+    places = df.sparkSession.createDataFrame(wanted, "`column` string, span int, p double, end int, k long")
+    held = (F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("w"))
+    ends = {(r["column"], r["p"], r["end"]): r["value"] for r in ranked.join(F.broadcast(places), ["column", "span"]).where(held).collect()}
+    for c, ts in rest.items():
+        for p, t in ts:
+            t.found = ends[c, p, 0], ends[c, p, 1]
 
 
 def _blocks(names: list[str]) -> list[list[str]]:

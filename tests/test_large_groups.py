@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import aggregate
-from tallyframe.plans import correlation, quantiles, ranks
+from tallyframe.plans import bins, correlation, quantiles, ranks
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -50,9 +50,45 @@ def test_few_bins_take_more_rounds(skewed, monkeypatch):
     pdf, df = skewed
     monkeypatch.setattr(quantiles, "BINS", 2)
     monkeypatch.setattr(quantiles, "ROUNDS", 3)
-    got = quantiles.table_quantiles(df, ["u", "v"], PROBS, one_task=100)
+    rows = quantiles.grouped_quantiles(df, ["k"], ["u", "v"], PROBS, one_task=700).collect()
+    got = {r["column"]: r["q"] for r in rows if r["k"] == "hot"}
     for c in ("u", "v"):
-        assert [got[c][p] for p in PROBS] == pytest.approx(pdf[c].quantile(PROBS).tolist())
+        assert got[c] == pytest.approx(pdf.loc[pdf["k"] == "hot", c].quantile(PROBS).tolist())
+
+
+def test_few_rounds_leave_more_to_rank(skewed, monkeypatch):
+    pdf, df = skewed
+    for rounds in (0, 1, 2):
+        monkeypatch.setattr(bins, "ROUNDS", rounds)
+        got = quantiles.table_quantiles(df, ["u", "v"], PROBS, one_task=3)
+        for c in ("u", "v"):
+            assert [got[c][p] for p in PROBS] == pytest.approx(pdf[c].quantile(PROBS).tolist()), rounds
+
+
+def test_bins_move_one_vector_per_task_and_column(skewed):
+    """Every value of both columns is counted once, and the plan holds no row per value."""
+    pdf, df = skewed
+    counted = bins.bin_counts(df, {"v": df["v"], "u": df["u"]}, {"u": [(0.0, 100.0), (200.0, 29_999.0)], "v": [(-1e3, 1e3)]})
+    u = pdf["u"].to_numpy()
+    assert counted["u"].counts.sum() == len(u) - ((u > 100) & (u < 200)).sum()
+    assert counted["u"].counts[0] == counted["u"].counts[-1] == 0
+    assert counted["v"].counts.sum() == pdf["v"].notna().sum()
+    first = counted["u"].counts[1 : 1 + bins.BINS]
+    assert first.sum() == 101 and first.max() == 1
+    filled = counted["v"].counts > 0
+    assert (counted["v"].least[filled] <= counted["v"].most[filled]).all()
+
+
+def test_cuts_leave_few_values_between(skewed):
+    pdf, df = skewed
+    for size in (50, 1_000):
+        cuts = bins.balanced_cuts(df, {"v": df["v"], "u": df["u"]}, {"u": (0.0, 29_999.0), "v": (pdf["v"].min(), pdf["v"].max())}, size)
+        for c in ("u", "v"):
+            values = pdf[c].dropna().to_numpy()
+            assert np.isin(cuts[c], values).all()
+            apart = values[~np.isin(values, cuts[c])]
+            assert np.bincount(np.searchsorted(cuts[c], apart)).max() <= size
+            assert len(cuts[c]) <= 4 * len(values) / size + 4
 
 
 def test_wide_ranges_and_infinities(spark):
