@@ -326,13 +326,9 @@ def _(spark, sf):
     return correlation.correlation_matrix(df).withColumn("r", fix("r"))
 
 
-_RANKED_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-
-
-@query("corr_spearman", _spearman_sql("lineitem", _RANKED_COLUMNS))
+@query("corr_spearman", _spearman_sql("lineitem", LINEITEM_NUMBERS))
 def _(spark, sf):
-    out = correlation.correlation_matrix(table(spark, sf, "lineitem"), "spearman", _RANKED_COLUMNS)
-    return out.withColumn("r", fix("r"))
+    return correlation.correlation_matrix(table(spark, sf, "lineitem"), "spearman").withColumn("r", fix("r"))
 
 
 @query("corr_spearman_gaps", _spearman_sql(EVENTS_WITH_GAPS, EVENT_NUMBERS))
@@ -340,32 +336,57 @@ def _(spark, sf):
     return correlation.correlation_matrix(events_with_gaps(spark, sf), "spearman").withColumn("r", fix("r"))
 
 
+# Gaps in other rows for each column but the last two, which have none; the first two are missing in the same rows.
+_GAPPY_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_partkey"]
+_GAPPY = f"""(SELECT {", ".join(f"CASE WHEN (l_orderkey * 7 + l_linenumber) % {m} = {m - 1} THEN NULL ELSE {c} END AS {c}" for c, m in zip(_GAPPY_COLUMNS, (5, 5, 7, 3)))},
+                    l_suppkey, l_partkey FROM lineitem)"""
+
+
+def _gappy(spark, sf):
+    df = table(spark, sf, "lineitem")
+    place = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    gaps = dict(zip(_GAPPY_COLUMNS, (5, 5, 7, 3)))
+    return df.select([F.when(place % gaps[c] != gaps[c] - 1, F.col(c)).alias(c) if c in gaps else F.col(c) for c in _GAPPY_COLUMNS])
+
+
+@query("corr_spearman_many_gaps", _spearman_sql(_GAPPY, _GAPPY_COLUMNS))
+def _(spark, sf):
+    return correlation.correlation_matrix(_gappy(spark, sf), "spearman").withColumn("r", fix("r"))
+
+
 def _kendall_sql(source: str, columns: list[str]) -> str:
-    """Every pair of cells, which are few for these columns."""
+    """Discordant pairs by binary digits of one rank: before a row with a 0 there stand so many with a 1, of smaller other rank."""
     parts = [f"SELECT '{c}' AS col_a, '{c}' AS col_b, 1.0::DOUBLE AS r" for c in columns]
     for a, b in combinations(columns, 2):
-        cells = f"(SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS w FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)"
-        tau = fix_sql(
-            f"""(SELECT sum(x.w * y.w * sign(x.a - y.a) * sign(x.b - y.b)) FROM {cells} x, {cells} y)
-                / sqrt((SELECT sum(x.w * y.w) FROM {cells} x, {cells} y WHERE x.a <> y.a))
-                / sqrt((SELECT sum(x.w * y.w) FROM {cells} x, {cells} y WHERE x.b <> y.b))"""
-        )
-        parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {tau} AS r")
-        parts.append(f"SELECT '{b}' AS col_a, '{a}' AS col_b, {tau} AS r")
+        tau = f"""WITH r AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY {a}) AS a, dense_rank() OVER (ORDER BY {b}) AS b
+                                          FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+                  g AS (SELECT a, level, b >> (level + 1) AS prefix, sum((b >> level) & 1) AS one, sum(1 - ((b >> level) & 1)) AS zero
+                        FROM r, range(22) l(level) GROUP BY ALL),
+                  w AS (SELECT zero, sum(one) OVER (PARTITION BY level, prefix ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ones FROM g),
+                  s AS (SELECT (SELECT count(*)::DOUBLE * (count(*) - 1) / 2 FROM r) AS n,
+                               (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*)::DOUBLE AS k FROM r GROUP BY a)) AS ta,
+                               (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*)::DOUBLE AS k FROM r GROUP BY b)) AS tb,
+                               (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*)::DOUBLE AS k FROM r GROUP BY a, b)) AS tab,
+                               (SELECT coalesce(sum(zero * ones), 0)::DOUBLE FROM w) AS disc)
+                  SELECT {fix_sql("(n - ta - tb + tab - 2 * disc) / (sqrt(n - ta) * sqrt(n - tb))")} FROM s"""
+        parts.append(f"SELECT unnest(['{a}', '{b}']) AS col_a, unnest(['{b}', '{a}']) AS col_b, ({tau}) AS r")
     return union_all(parts)
 
 
-@query("corr_kendall", _kendall_sql("lineitem", ["l_quantity", "l_discount", "l_tax", "l_linenumber"]))
+@query("corr_kendall", _kendall_sql("lineitem", LINEITEM_NUMBERS))
 def _(spark, sf):
-    out = correlation.correlation_matrix(
-        table(spark, sf, "lineitem"), "kendall", ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-    )
-    return out.withColumn("r", fix("r"))
+    return correlation.correlation_matrix(table(spark, sf, "lineitem"), "kendall").withColumn("r", fix("r"))
+
+
+@query("corr_kendall_many_gaps", _kendall_sql(_GAPPY, _GAPPY_COLUMNS))
+def _(spark, sf):
+    """In blocks, as tables over one task's size are."""
+    return correlation.correlation_matrix(_gappy(spark, sf), "kendall", one_task=20_000).withColumn("r", fix("r"))
 
 
 @query("corr_kendall_continuous", _kendall_sql("orders", ["o_custkey", "o_totalprice"]))
 def _(spark, sf):
-    """Nearly every value of a kind; the SQL compares all pairs of rows."""
+    """Nearly every value of a kind."""
     out = correlation.correlation_matrix(table(spark, sf, "orders"), "kendall", ["o_custkey", "o_totalprice"])
     return out.withColumn("r", fix("r"))
 

@@ -164,11 +164,13 @@ def balanced_cuts(df: DataFrame, values: dict[str, Column], ranges: dict[str, Ra
     """
     cuts: dict[str, set[float]] = {n: set() for n in values}
     open_ranges = {n: [r] for n, r in ranges.items()}
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         bins = bin_counts(df, values, open_ranges)
         open_ranges = {}
         for name, b in bins.items():
             full = 0
+            if turn:  # what lies outside these ranges was counted before
+                b.counts[[0, -1]] = 0
             for i in np.flatnonzero(b.counts):
                 n, least, most = int(b.counts[i]), float(b.least[i]), float(b.most[i])
                 if n > size:

@@ -7,7 +7,7 @@ the diagonal. Pairs use the rows where both values are present.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -17,20 +17,16 @@ from pyspark.sql import functions as F
 
 from tallyframe import limits
 from tallyframe.functions import numeric_columns
-from tallyframe.functions.columns import as_double, columns_of, known, unpivot
+from tallyframe.functions.columns import as_double, columns_of, known
 
-from .ranks import count_values, join_by_value, rank_values
+from .rank_correlation import rank_correlation
 from .statistics import base_facts
-from .storage import checkpointed
 
 METHODS = ("pearson", "spearman", "kendall")
 
 # What every method returns: positions of the two columns and their r.
 PAIRS = "i int, j int, r double"
 
-# Kendall counts order pairs digit by digit: 16 values per digit.
-DIGIT_BITS = 4
-
 
 def correlation_matrix(
     df: DataFrame,
@@ -73,7 +69,7 @@ def upper_triangle(
         if len(names) <= limits.PAIRWISE_CORR_COLUMNS:
             return _pearson_fused(df, names)
         return _pearson_wide(df, names)
-    return _by_ranks(df, names, method, one_task)
+    return rank_correlation(df, names, method, one_task)
 
 
 def _clamped(r: Column) -> Column:
@@ -171,209 +167,6 @@ def _pearson_wide(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def _by_ranks(df: DataFrame, names: Sequence[str], method: str, one_task: int | None) -> DataFrame:
-    """Rank correlations from weighted cells ``(pair, a, b, w)``.
-
-    Rows are folded into cells map-side, each pair's values are ranked once
-    from their counts, and the ranks are attached to the cells.
-    """
-    one_task = limits.ONE_TASK_ROWS if one_task is None else one_task
-    values = [as_double(df, n) for n in names]
-    pairs = list(combinations(range(len(names)), 2))
-    size = len(names)
-    every_pair = df.sparkSession.createDataFrame(pairs or [(0, 0)], "i int, j int")
-
-    # Which columns have the same rows present? Without gaps one ranking per column serves all pairs.
-    facts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
-        *[F.min(v).alias(f"lo{i}") for i, v in enumerate(values)],
-        *[F.max(v).alias(f"hi{i}") for i, v in enumerate(values)],
-        *[F.approx_count_distinct(v, 0.02).alias(f"d{i}") for i, v in enumerate(values)],
-    ).first()
-    rows = facts["rows"]
-    complete = all(facts[f"n{i}"] == rows for i in range(size))
-    # The sketch may be off; a fifth on top keeps the bound safe, and no
-    # column has more distinct values than rows.
-    kinds = [min(rows, int(facts[f"d{i}"] * 1.2) + 1) for i in range(size)]
-    distinct = max(kinds)
-
-    diagonal = df.sparkSession.createDataFrame(
-        [(i, i, 1.0 if facts[f"n{i}"] and facts[f"lo{i}"] < facts[f"hi{i}"] else None) for i in range(size)],
-        "i int, j int, r double",
-    )
-    if not pairs or rows == 0:
-        return diagonal
-    if complete and method == "spearman":
-        return _spearman_complete(df, values, rows, kinds, one_task)
-
-    wide = df.select([v.alias(f"v{i}") for i, v in enumerate(values)])
-    listed = ", ".join(f"(v{i}, v{j}) AS `{i}_{j}`" for i, j in pairs)
-    cells = (
-        df.sparkSession.sql(f"SELECT * FROM {{wide}} UNPIVOT ((a, b) FOR pair IN ({listed}))", wide=wide)
-        .where("a IS NOT NULL AND b IS NOT NULL")
-        .groupBy("pair", "a", "b")
-        .agg(F.count(F.lit(1)).alias("w"))
-        .select(
-            F.split("pair", "_")[0].cast("int").alias("i"), F.split("pair", "_")[1].cast("int").alias("j"), "a", "b", "w"
-        )
-    )
-
-    # Ranking key: the column alone, or the column within a pair where gaps differ.
-    if complete:
-        tagged = unpivot(df, {str(i): v for i, v in enumerate(values)})
-        counts = count_values(tagged, ["column"]).select(F.col("column").cast("int").alias("side"), "value", "w")
-        side_a, side_b = F.col("i"), F.col("j")
-        keys_total = size
-    else:
-        sides = [
-            F.struct((F.col("i") * size + F.col("j")).alias("side"), F.col("a").alias("value"), "w"),
-            F.struct((F.col("j") * size + F.col("i")).alias("side"), F.col("b").alias("value"), "w"),
-        ]
-        counts = (
-            cells.select(F.inline(F.array(*sides))).groupBy("side", "value").agg(F.sum("w").alias("w"))
-        )
-        side_a, side_b = F.col("i") * size + F.col("j"), F.col("j") * size + F.col("i")
-        keys_total = 2 * len(pairs)
-    ranks_total = distinct * keys_total
-    ranks = rank_values(counts, ["side"], distinct, one_task=one_task)
-    # Both are used several times below, and each stands for a pass over the table.
-    ranks = checkpointed(ranks)
-
-    keyed = cells.withColumn("_sa", side_a).withColumn("_sb", side_b)
-    take_a = {"before_a": "before", "wa": "w"}
-    take_b = {"before_b": "before", "wb": "w"}
-    placed = join_by_value(keyed, ranks, [("_sa", "side"), ("a", "value")], take_a, rows, ranks_total)
-    placed = join_by_value(placed, ranks, [("_sb", "side"), ("b", "value")], take_b, rows, ranks_total)
-
-    placed = checkpointed(placed)
-    if method == "spearman":
-        half = _spearman(placed)
-    else:
-        half = _kendall(placed, ranks, side_a, side_b, rows, one_task)
-    # Pairs that no row has complete get no cells; they belong into the matrix all the same.
-    return diagonal.unionByName(every_pair.join(F.broadcast(half), ["i", "j"], "left"))
-
-
-def _spearman_complete(
-    df: DataFrame, values: Sequence[Column], rows: int, kinds: Sequence[int], one_task: int
-) -> DataFrame:
-    """Without gaps a column has the same ranks in every pair: they are attached to the rows once per column."""
-    wide = df.select([v.alias(f"v{i}") for i, v in enumerate(values)])
-    placed = wide
-    for i, distinct in enumerate(kinds):
-        counts = count_values(df.select(values[i].alias("value")), [])
-        ranks = rank_values(counts, [], distinct, one_task=one_task)
-        if distinct > one_task:
-            ranks = checkpointed(ranks)
-        # Centred on the known mean rank (n + 1) / 2.
-        ranks = ranks.withColumn("centred", F.col("before") + (F.col("w") + 1) / 2 - (rows + 1) / 2)
-        placed = join_by_value(placed, ranks, [(f"v{i}", "value")], {f"d{i}": "centred"}, rows, distinct).drop(f"v{i}")
-    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
-    sums = placed.selectExpr(*[f"sum(d{i} * d{j}) as p{i}_{j}" for i, j in pairs]).first().asDict()
-    out = []
-    for i, j in pairs:
-        xx, yy, xy = sums[f"p{i}_{i}"], sums[f"p{j}_{j}"], sums[f"p{i}_{j}"]
-        r = xy / math.sqrt(xx) / math.sqrt(yy) if xx > 0 and yy > 0 else None
-        out.append((i, j, r if r is None or i != j else 1.0))
-    return df.sparkSession.createDataFrame(out, PAIRS)
-
-
-def _spearman(placed: DataFrame) -> DataFrame:
-    """Pearson over average ranks. Ranks are centred on their known mean (n + 1) / 2."""
-    # n first (a sum over cells), then the centred products; one row per pair, so n may be broadcast.
-    n = placed.groupBy("i", "j").agg(F.sum("w").alias("n"))
-    ra = F.col("before_a") + (F.col("wa") + 1) / 2 - (F.col("n") + 1) / 2
-    rb = F.col("before_b") + (F.col("wb") + 1) / 2 - (F.col("n") + 1) / 2
-    sums = (
-        placed.join(F.broadcast(n), ["i", "j"])
-        .groupBy("i", "j")
-        .agg(
-            F.sum(F.col("w") * ra * rb).alias("ab"),
-            F.sum(F.col("w") * ra * ra).alias("aa"),
-            F.sum(F.col("w") * rb * rb).alias("bb"),
-        )
-    )
-    r = _clamped(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
-    return sums.select("i", "j", F.when((F.col("aa") > 0) & (F.col("bb") > 0), r).alias("r"))
-
-
-def _kendall(
-    placed: DataFrame, ranks: DataFrame, side_a: Column, side_b: Column, rows: int, one_task: int
-) -> DataFrame:
-    """tau-b from exact counts of discordant pairs, without forming pairs.
-
-    Two rows with different b first differ at some hexadecimal digit of their
-    rank in b. For each digit place, rows sharing all higher digits form a
-    group; inside it, walking up in a, a row with digit d is discordant with
-    every earlier row (smaller a) of a greater digit. Running sums per digit
-    give that number. Cells with equal a are folded before the walk, and long
-    walks are cut into stretches with offsets, so no task holds a whole group.
-    """
-    base = 1 << DIGIT_BITS
-    levels = max(1, math.ceil(math.log(max(rows, 2)) / math.log(base)))
-    stretch = max(one_task // 10, int(math.sqrt(rows)), 1)
-    upper = range(1, base)
-    group = "i, j, level, prefix"
-
-    def listed(template: str, digits: Iterable[int] = range(base)) -> str:
-        return ", ".join(template.format(d=d) for d in digits)
-
-    # One stretch needs no offsets.
-    offsets, ahead = "", "e{d}"
-    source = "walked"
-    if rows > stretch:
-        ahead = "(e{d} + o{d})"
-        source = f"walked JOIN offsets USING ({group}, part)"
-        offsets = f""",
-        sums AS (SELECT {group}, part, {listed("sum(d{d}) AS s{d}", upper)} FROM folded GROUP BY {group}, part),
-        offsets AS (
-            SELECT {group}, part, {listed("coalesce(sum(s{d}) OVER stretches, 0) AS o{d}", upper)} FROM sums
-            WINDOW stretches AS (PARTITION BY {group} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-    terms = " + ".join(
-        f"cast(d{d} AS double) * ({' + '.join(ahead.format(d=g) for g in range(d + 1, base))})" for d in range(base - 1)
-    )
-    discordant = placed.sparkSession.sql(
-        f"""
-        WITH leveled AS (
-            SELECT i, j, w, before_a, level,
-                   cast(shiftright(before_b, level * {DIGIT_BITS}) & {base - 1} AS int) AS digit,
-                   CASE WHEN (level + 1) * {DIGIT_BITS} >= 63 THEN 0
-                        ELSE shiftright(before_b, (level + 1) * {DIGIT_BITS}) END AS prefix
-            FROM {{placed}} LATERAL VIEW explode(sequence(0, {levels - 1})) AS level),
-        folded AS (
-            SELECT {group}, before_a, floor(before_a / {stretch}) AS part,
-                   {listed("sum(CASE WHEN digit = {d} THEN w ELSE 0 END) AS d{d}")}
-            FROM leveled GROUP BY {group}, before_a),
-        walked AS (
-            SELECT {group}, part, {listed("d{d}")}, {listed("coalesce(sum(d{d}) OVER walk, 0) AS e{d}", upper)}
-            FROM folded
-            WINDOW walk AS (PARTITION BY {group}, part ORDER BY before_a
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)){offsets}
-        SELECT i, j, sum({terms}) AS disc FROM {source} GROUP BY i, j
-        """,
-        placed=placed,
-    )
-
-    def tied(w: str) -> Column:
-        return F.col(w).cast("double") * (F.col(w) - 1) / 2
-
-    # One row per pair, or per side of a pair, from here on.
-    cells = placed.groupBy("i", "j").agg(F.sum("w").cast("double").alias("n"), F.sum(tied("w")).alias("tab"))
-    ties = ranks.groupBy("side").agg(F.sum(tied("w")).alias("t"))
-    ties_a = ties.select(F.col("side").alias("_sa"), F.col("t").alias("ta"))
-    ties_b = ties.select(F.col("side").alias("_sb"), F.col("t").alias("tb"))
-    facts = (
-        cells.select("*", side_a.alias("_sa"), side_b.alias("_sb"))
-        .join(F.broadcast(ties_a), "_sa")
-        .join(F.broadcast(ties_b), "_sb")
-        .join(F.broadcast(discordant), ["i", "j"])
-    )
-    r = """CASE WHEN total > ta AND total > tb THEN greatest(-1.0D, least(1.0D,
-             (total - ta - tb + tab - 2 * disc) / (sqrt(total - ta) * sqrt(total - tb)))) END AS r"""
-    return facts.selectExpr("*", "n * (n - 1) / 2 AS total").selectExpr("i", "j", r)
-
-
 def strong_pairs(matrix: DataFrame, names: Sequence[str], threshold: float = 0.7, max_pairs: int | None = None) -> DataFrame:
     """Pairs of different columns with ``|r|`` at or over the threshold, strongest first."""
     place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])

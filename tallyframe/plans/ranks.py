@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tallyframe import limits
 
@@ -34,8 +35,9 @@ def rank_values(
     largest_group: int,
     value: str = "value",
     one_task: int | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``before``: rows of the same key with a smaller value.
+    """Add ``before``: rows of the same key with a smaller value. ``also`` names more weights than ``w``; each gets its ``before_...``.
 
     ``largest_group`` bounds the distinct values of one key. Under the
     one-task bound a plain window does; beyond it the values are range
@@ -43,14 +45,14 @@ def rank_values(
     """
     one_task = limits.ONE_TASK_ROWS if one_task is None else one_task
     keys = list(keys)
-    running = F.coalesce(
-        F.sum("w").over(
-            Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
+    weights = {"before": "w"} | {f"before_{c}": c for c in also}
+
+    def running(column: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
     if largest_group <= one_task:
-        return counts.withColumn("before", running.cast("long"))
+        walk = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
+        return counts.select("*", *[running(c, walk).cast("long").alias(b) for b, c in weights.items()])
 
     parts = max(2, -(-largest_group // max(1, one_task // 2)))
     shuffle_parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -59,16 +61,15 @@ def rank_values(
 
     # A range partition holds a contiguous run of (key, value), so there are
     # at most (keys + partitions) sums.
-    sums = placed.groupBy(*keys, "_part").agg(F.sum("w").alias("_sum"))
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("_inside", F.coalesce(F.sum("w").over(inside), F.lit(0)))
+    sums = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in weights.values()])
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
+    offsets = sums.select(*keys, "_part", *[running(f"_sum_{c}", earlier).alias(f"_offset_{b}") for b, c in weights.items()])
+    inside = Window.partitionBy(*keys, "_part").orderBy(value)
+    local = placed.select("*", *[running(c, inside).alias(f"_inside_{b}") for b, c in weights.items()])
     joined = local.join(offsets, _same(local, offsets, [*keys, "_part"]))
     return joined.select(
-        *[local[c] for c in counts.columns], (F.col("_inside") + F.col("_offset")).cast("long").alias("before")
+        *[local[c] for c in counts.columns],
+        *[(F.col(f"_inside_{b}") + F.col(f"_offset_{b}")).cast("long").alias(b) for b in weights],
     )
 
 

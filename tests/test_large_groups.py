@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import aggregate
-from tallyframe.plans import bins, correlation, quantiles, ranks
+from tallyframe.plans import bins, correlation, quantiles, rank_correlation, ranks
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -60,7 +60,7 @@ def test_few_rounds_leave_more_to_rank(skewed, monkeypatch):
     pdf, df = skewed
     for rounds in (0, 1, 2):
         monkeypatch.setattr(bins, "ROUNDS", rounds)
-        got = quantiles.table_quantiles(df, ["u", "v"], PROBS, one_task=3)
+        got = quantiles.table_quantiles(df, ["u", "v"], PROBS, one_task=2_000)
         for c in ("u", "v"):
             assert [got[c][p] for p in PROBS] == pytest.approx(pdf[c].quantile(PROBS).tolist()), rounds
 
@@ -165,3 +165,77 @@ def test_rank_correlations(triple, method, gaps, monkeypatch):
             else:
                 want = 1.0 if x == y else tau_b(pdf[x].to_numpy(), pdf[y].to_numpy())
             assert got[x, y] == pytest.approx(want, abs=1e-12), (x, y)
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """Seven columns: two missing together, own gaps, none, infinities, one constant, one empty; a hot value in several."""
+    rng = np.random.default_rng(12)
+    n = 700
+    base = rng.normal(size=n).round(1)
+    cols = {
+        "a": np.where(rng.random(n) < 0.4, 1.0, base),
+        "b": base * 2 + rng.normal(size=n),
+        "c": rng.integers(0, 4, n).astype(float),
+        "d": -base + rng.normal(size=n) * 0.3,
+        "e": np.where(rng.random(n) < 0.05, np.inf, np.where(rng.random(n) < 0.05, -np.inf, rng.normal(size=n))),
+        "f": np.full(n, 3.0),
+        "g": np.full(n, np.nan),
+    }
+    together, own = rng.random(n) < 0.2, rng.random(n) < 0.3
+    for c, gone in (("a", together), ("b", together), ("d", own)):
+        cols[c] = np.where(gone, np.nan, cols[c])
+    pdf = pd.DataFrame(cols)
+    return pdf, spark.createDataFrame(pdf).repartition(5).cache()
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+@pytest.mark.parametrize("one_task, broadcast", [(1_000_000, 100_000), (40, 10), (300, 10)])
+def test_rank_correlations_with_gaps(gappy, method, one_task, broadcast, monkeypatch):
+    from tests.test_analysis import tau_b
+
+    pdf, df = gappy
+    monkeypatch.setattr("tallyframe.limits.BROADCAST_ROWS", broadcast)
+    got = correlation.correlation_matrix(df, method, one_task=one_task).toPandas().set_index(["col_a", "col_b"])["r"]
+    for x in pdf:
+        for y in pdf:
+            both = pdf[[x, y]].dropna() if x != y else pdf[[x]].dropna()
+            if len(both) == 0 or both.nunique().min() < 2:
+                assert np.isnan(got[x, y]), (x, y)
+            elif x == y:
+                assert got[x, y] == 1.0
+            elif method == "spearman":
+                assert got[x, y] == pytest.approx(both[x].rank().corr(both[y].rank()), abs=1e-12), (x, y)
+            else:
+                assert got[x, y] == pytest.approx(tau_b(both[x].rank().to_numpy(), both[y].rank().to_numpy()), abs=1e-12), (x, y)
+
+
+def test_presence_classes(gappy):
+    pdf, df = gappy
+    values = [F.when(~F.isnan(c), F.col(c)) for c in pdf]
+    classes = rank_correlation.presence_classes(df, values, pdf.notna().sum().tolist(), len(pdf))
+    assert classes[2] == classes[4] == classes[5] == 0 and classes[0] == classes[1] > 0
+    assert len({classes[0], classes[3], classes[6], 0}) == 4
+
+
+def test_inversions():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 9, 120):
+        for kinds in (1, 2, 7, 500):
+            x = rng.integers(0, kinds, n)
+            assert rank_correlation.inversions(x) == sum(int((x[:i] > x[i]).sum()) for i in range(n))
+
+
+def test_no_row_is_copied_per_pair(spark, gappy, monkeypatch):
+    """Twelve columns with gaps in 66 pairs: no stage makes more rows than rows times columns."""
+    _, df = gappy
+    wide = df.select([F.when(F.col("c") != i % 3, F.col(c) + i).alias(f"{c}{i}") for i in range(3) for c in "abde"])
+    monkeypatch.setattr("tallyframe.limits.BROADCAST_ROWS", 10)
+    for method in ("spearman", "kendall"):
+        seen, kind = [], type(wide)
+        real = kind.groupBy
+        monkeypatch.setattr(kind, "groupBy", lambda self, *k: (seen.append((self, k)), real(self, *k))[1])
+        correlation.correlation_matrix(wide, method, one_task=200)
+        monkeypatch.setattr(kind, "groupBy", real)
+        large = [frame.count() for frame, keys in seen if keys and keys[0] in ("column", "c")]
+        assert large and max(large) <= 12 * 700, method
