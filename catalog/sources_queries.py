@@ -54,54 +54,54 @@ def _(spark, sf):
 
 
 def _halves(spark, sf, name):
-    nations = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    even = F.col("n_nationkey") % 2 == 0
-    return nations.where(even), nations.where(~even), scratch_path(spark, name)
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    even = F.col("c_custkey") % 2 == 0
+    return customers.where(even), customers.where(~even), scratch_path(spark, name)
 
 
 def _one_file(df, path):
     df.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-@query("scan_csv_header_order", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey, CASE WHEN n_nationkey % 2 = 1 THEN 'odd' END AS kind FROM nation")
+@query("scan_csv_header_order", "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, CASE WHEN c_custkey % 2 = 1 THEN 'odd' END AS kind FROM customer")
 def _(spark, sf):
     """Two files with their columns in another order, one with a column more."""
     even, odd, path = _halves(spark, sf, "scan-csv-order")
     _one_file(even, path)
-    _one_file(odd.select("n_regionkey", F.lit("odd").alias("kind"), "n_name", "n_nationkey"), path)
+    _one_file(odd.select("c_nationkey", F.lit("odd").alias("kind"), "c_name", "c_custkey"), path)
     back = csv.read_csv(spark, path)
-    return back.select(F.col("n_nationkey").cast("bigint"), "n_name", F.col("n_regionkey").cast("bigint"), "kind")
+    return back.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("bigint"), "kind")
 
 
-@query("scan_csv_partitioned", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+@query("scan_csv_partitioned", "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey FROM customer")
 def _(spark, sf):
-    """Folders by region, which give a column; files of one of them have their columns in another order."""
+    """Folders by nation, which give a column; files of one of them have their columns in another order."""
     even, odd, path = _halves(spark, sf, "scan-csv-folders")
-    even.write.partitionBy("n_regionkey").option("header", True).csv(path)
-    odd.select("n_name", "n_nationkey", "n_regionkey").write.mode("append").partitionBy("n_regionkey").option("header", True).csv(path)
+    even.write.partitionBy("c_nationkey").option("header", True).csv(path)
+    odd.select("c_name", "c_custkey", "c_nationkey").write.mode("append").partitionBy("c_nationkey").option("header", True).csv(path)
     back = csv.read_csv(spark, path)
-    return back.select(F.col("n_nationkey").cast("bigint"), "n_name", F.col("n_regionkey").cast("bigint"))
+    return back.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("bigint"))
 
 
-@query("scan_csv_spaced_path", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+@query("scan_csv_spaced_path", "SELECT c_custkey::BIGINT AS c_custkey, c_name FROM customer")
 def _(spark, sf):
     """A blank, a plus and a percent sign in the folder's name, and files with and without line breaks in fields."""
     even, odd, path = _halves(spark, sf, "scan csv+odd%20name")
-    _one_file(even.select("n_nationkey", "n_name"), path)
-    _one_file(odd.select("n_nationkey", F.concat("n_name", F.lit("\n")).alias("n_name")), path)
+    _one_file(even.select("c_custkey", "c_name"), path)
+    _one_file(odd.select("c_custkey", F.concat("c_name", F.lit("\n")).alias("c_name")), path)
     back = csv.read_csv(spark, path)
-    return back.select(F.col("n_nationkey").cast("bigint"), F.regexp_replace("n_name", "\n$", "").alias("n_name"))
+    return back.select(F.col("c_custkey").cast("bigint"), F.regexp_replace("c_name", "\n$", "").alias("c_name"))
 
 
-@query("scan_csv_mixed_files", "SELECT printf('%03d', n_nationkey) AS code, n_name FROM nation")
+@query("scan_csv_mixed_files", "SELECT printf('%06d', c_custkey) AS code, c_name FROM customer")
 def _(spark, sf):
     """Codes with leading zeros stay text where only one of the files makes them so."""
     even, odd, path = _halves(spark, sf, "scan-csv-mixed")
-    code = F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code")
-    _one_file(even.select(code, "n_name"), path)
-    _one_file(odd.select(code, F.concat("n_name", F.lit("\nx")).alias("n_name")).union(spark.createDataFrame([("none", "-")], "code string, n_name string")), path)
+    code = F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code")
+    _one_file(even.select(code, "c_name"), path)
+    _one_file(odd.select(code, F.concat("c_name", F.lit("\nx")).alias("c_name")).union(spark.createDataFrame([("none", "-")], "code string, c_name string")), path)
     back = csv.read_csv(spark, path).where("code <> 'none'")
-    return back.select("code", F.regexp_replace("n_name", "\nx$", "").alias("n_name"))
+    return back.select("code", F.regexp_replace("c_name", "\nx$", "").alias("c_name"))
 
 
 @query(

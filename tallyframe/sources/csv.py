@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_records import records
+
 # Lines that a sampled schema is guessed from.
 SAMPLE_LINES = 1_000
 
@@ -47,10 +49,11 @@ def read_csv(
     """Read one file, a folder or a glob of CSV files, matched by column name.
 
     Files may differ in the order and number of their columns: an absent one is
-    missing. Folders named ``key=value`` below ``path`` give columns. Only files
-    that really have line breaks inside fields are read whole by one task each;
-    all others split. ``multi_line`` skips the scan that tells them, and files
-    with unlike headers, apart.
+    missing. Folders named ``key=value`` below ``path`` give columns. All files
+    split; those that really have line breaks inside fields are put together
+    to records first, see ``csv_records``. ``multi_line`` skips the scan that
+    tells them, and files with unlike headers, apart; with True each file is
+    read whole by one task.
 
     types: ``all`` takes them from all values; ``sample`` guesses from the first
     lines, checks the guess in one scan and turns a column that does not fit
@@ -60,7 +63,7 @@ def read_csv(
     if types not in ("all", "sample"):
         raise ValueError(f"types must be all or sample, not {types!r}")
     if multi_line is not None:
-        return _typed(spark, [(path, multi_line, None)], None, schema, types)
+        return _typed(spark, [(path, multi_line, None)], None, schema, types, whole_files=True)
     groups: dict[tuple[str, bool], list[str]] = {}
     for name, head, spread in file_heads(spark, path):
         groups.setdefault((head, spread), []).append(name)
@@ -82,35 +85,89 @@ def _typed(
     base: str | None,
     schema: T.StructType | str | None,
     types: str,
+    whole_files: bool = False,
 ) -> DataFrame:
-    def frame(names: str | list[str], spread: bool, **options) -> DataFrame:
-        reader = spark.read.options(**_OPTIONS).option("multiLine", spread)
+    def reader(names: str | list[str], spread: bool, **options) -> DataFrame:
+        how = spark.read.options(**_OPTIONS).option("multiLine", spread)
         if base:
-            reader = reader.option("basePath", base)
-        return reader.csv(names, **options)
-
-    texts = [frame(names, spread, inferSchema=False) for names, spread, _ in parts]
-    own = [_header_columns(t, head) for t, (_, _, head) in zip(texts, parts, strict=True)]
+            how = how.option("basePath", base)
+        return how.csv(names, **options)
+
+    # Only the header is read here.
+    headers = [reader(names, spread, inferSchema=False) for names, spread, _ in parts]
+    own = [_header_columns(h, head) for h, (_, _, head) in zip(headers, parts, strict=True)]
+    put_together = [None if whole_files or not spread else records(spark, names, base) for names, spread, _ in parts]
+
+    def frame(k: int, fields: T.StructType) -> DataFrame:
+        """Part ``k`` with its own columns as ``fields``, then those of its folders."""
+        names, spread, _ = parts[k]
+        if put_together[k] is None:
+            return reader(names, spread, schema=fields)
+        parsed = F.from_csv("record", _ddl(fields), {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"})
+        return put_together[k].select(parsed.alias("_parsed"), "*").select("_parsed.*", *[F.col(f"`{c}`") for c in put_together[k].columns if c != "record"])
+
+    texts = [
+        h if p is None else frame(k, T.StructType([T.StructField(c, T.StringType()) for c in own[k]]))
+        for k, (h, p) in enumerate(zip(headers, put_together, strict=True))
+    ]
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         kinds = {f.name: f.dataType for f in wanted.fields}
         if len(parts) == 1:  # the caller's names, by place
-            names, spread, _ = parts[0]
-            return frame(names, spread, schema=wanted)
+            return frame(0, wanted)
     elif types == "all":
-        kinds = _common_types([frame(names, spread, inferSchema=True).schema for names, spread, _ in parts])
+        kinds = _common_types(
+            [
+                reader(names, spread, inferSchema=True).schema if p is None else _types_of_all(spark, texts[k], own[k])
+                for k, ((names, spread, _), p) in enumerate(zip(parts, put_together, strict=True))
+            ]
+        )
     else:
         kinds = _sampled_types(spark, texts, own)
     read = []
-    for (names, spread, _), text, columns in zip(parts, texts, own, strict=True):
-        fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in columns]
-        typed = frame(names, spread, schema=T.StructType(fields))
-        partitions = [c for c in text.columns if c not in columns]
+    for k, (header, columns) in enumerate(zip(headers, own, strict=True)):
+        typed = frame(k, T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in columns]))
+        partitions = [c for c in header.columns if c not in columns]
         kept = [c for c in columns if schema is None or c in kinds]
         read.append(typed.select([F.col(f"`{c}`") for c in [*kept, *partitions]]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
 
 
+def _ddl(fields: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields.fields)
+
+
+def _types_of_all(spark: SparkSession, text: DataFrame, columns: Sequence[str]) -> T.StructType:
+    """The first type of each column that all its values fit: the guess from the first rows, then wider ones, then text.
+
+    A column without a value in the first rows may be anything.
+    """
+    guessed, empty = _guess(spark, text, columns)
+    ladders = {}
+    for c in columns:
+        kind = guessed[c].dataType.simpleString()
+        ladders[c] = [*_LADDER, "timestamp", "boolean"] if c in empty else _LADDER[_LADDER.index(kind) :] if kind in _LADDER else [kind]
+    tests = [(c, kind) for c in columns for kind in ladders[c] if kind != "string"]
+    misfit = lambda c, kind: F.max(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(kind).isNull())
+    found = text.agg(F.count(F.lit(1)), *[misfit(c, kind) for c, kind in tests], *[F.count(F.col(f"`{c}`")) for c in columns]).first()
+    misfits = dict(zip(tests, found[1:], strict=False))
+    present = dict(zip(columns, found[1 + len(tests) :], strict=True))
+    kinds = {c: next((k for k in ladders[c] if present[c] and k != "string" and not misfits[c, k]), "string") for c in columns}
+    return T.StructType.fromDDL(", ".join(f"`{c.replace('`', '``')}` {k}" for c, k in kinds.items()))
+
+
+# Number types in the order in which they are tried.
+_LADDER = ["int", "bigint", "double"]
+
+
+def _guess(spark: SparkSession, text: DataFrame, columns: Sequence[str]) -> tuple[T.StructType, set[str]]:
+    """Spark's own guess from the first rows, and the columns that have no value in them."""
+    head = text.select([F.col(f"`{c}`") for c in columns]).limit(SAMPLE_LINES).collect()
+    lines = [",".join('"' + str(v).replace('"', '""') + '"' if v is not None else "" for v in row) for row in [columns, *head]]
+    guess = spark.read.options(**_OPTIONS).csv(spark.sparkContext.parallelize(lines, 1), inferSchema=True).schema
+    return guess, {c for i, c in enumerate(columns) if all(row[i] is None for row in head)}
+
+
 def _header_columns(text: DataFrame, head: str | None) -> list[str]:
     """The names that the file itself holds, without those of its folders."""
     if head is None or '"' in head and head.count('"') % 2:
@@ -135,12 +192,7 @@ def _common_types(schemas: Sequence[T.StructType]) -> dict[str, T.DataType]:
 
 def _sampled_types(spark: SparkSession, texts: Sequence[DataFrame], own: Sequence[list[str]]) -> dict[str, T.DataType]:
     """Types guessed from the first rows of each part, and checked against all rows in one aggregate per part."""
-    guesses = []
-    for text, columns in zip(texts, own, strict=True):
-        head = text.select([F.col(f"`{c}`") for c in columns]).limit(SAMPLE_LINES).collect()
-        lines = [",".join('"' + str(v).replace('"', '""') + '"' if v is not None else "" for v in row) for row in [columns, *head]]
-        guesses.append(spark.read.options(**_OPTIONS).csv(spark.sparkContext.parallelize(lines, 1), inferSchema=True).schema)
-    kinds = _common_types(guesses)
+    kinds = _common_types([_guess(spark, text, columns)[0] for text, columns in zip(texts, own, strict=True)])
     for text, columns in zip(texts, own, strict=True):
         checked = [c for c in columns if kinds[c] != T.StringType()]
         if checked:

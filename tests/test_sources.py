@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv as python_csv
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -13,7 +15,7 @@ from catalog.workbook_files import encode_workbooks
 from tallyframe.operators.outliers import fit_outliers
 from tallyframe.operators.scaling import fit_scaling
 from tallyframe.plans import jobs
-from tallyframe.sources import catalogue, csv, sinks, workbooks
+from tallyframe.sources import catalogue, csv, csv_records, sinks, workbooks
 from tallyframe.streaming import apply_fitted, micro_batched_files
 
 
@@ -25,7 +27,7 @@ def test_csv_with_mark_and_line_breaks(spark, tmp_path):
     assert rows[0][1] == 'He said "yes", twice\n' and [r["n"] for r in rows] == [1, 2]
 
 
-def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
+def test_only_files_with_line_breaks_are_put_together(spark, tmp_path):
     (tmp_path / "a.csv").write_text('k,t\n1,"one\ntwo"\n')
     (tmp_path / "b.csv").write_text('k,t\n2,"a ""quoted"" word"\n3,\n')
     heads = csv.file_heads(spark, str(tmp_path))
@@ -34,6 +36,65 @@ def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
     assert [(r["k"], r["t"]) for r in rows] == [(1, "one\ntwo"), (2, 'a "quoted" word'), (3, None)]
 
 
+@pytest.fixture
+def tiny_splits(spark):
+    """Files are cut every 400 bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for n in names:
+        spark.conf.set(n, "400")
+    yield
+    for n in names:
+        spark.conf.unset(n)
+
+
+@pytest.mark.parametrize("newline, broadcast", [("\n", 100_000), ("\r\n", 1)])
+def test_records_over_many_splits(spark, tmp_path, tiny_splits, monkeypatch, newline, broadcast):
+    monkeypatch.setattr("tallyframe.limits.BROADCAST_ROWS", broadcast)
+    rng = random.Random(17)
+    bits = ["a", "b c", '"', ",", "\n", "\r\n", "ü", "\n\n", '""', "long " * 30]
+    rows = []
+    for f in range(2):
+        mine = [[str(f * 1000 + i), *["".join(rng.choice(bits) for _ in range(rng.randint(0, 5))) or "-" for _ in range(2)]] for i in range(25)]
+        mine += [[str(f * 1000 + 900), 'x\n"' * 400, "one field over many splits"], [str(f * 1000 + 901), "plain", "end"]]
+        with (tmp_path / f"{f}.csv").open("w", newline="", encoding="utf-8") as out:
+            python_csv.writer(out, lineterminator=newline).writerows([["k", "t", "u"], *mine])
+        rows += mine
+    df = csv.read_csv(spark, str(tmp_path))
+    assert [t for _, t in df.dtypes] == ["int", "string", "string"]
+    assert sorted(([str(r["k"]), r["t"], r["u"]] for r in df.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_line_breaks_and_stray_quotes(spark, tmp_path, tiny_splits):
+    """A quote inside an unquoted field is only a character."""
+    (tmp_path / "a.csv").write_text('n,t,size\n1,"two\nlines",5" pipe\n2,plain,"6"" pipe"\n\n3,"a ""b""\n\n,""c""",\n4,,7" pipe\n5,"",x\n' + "".join(f'{i},"p\nq",z\n' for i in range(6, 60)))
+    want = spark.read.csv(str(tmp_path), header=True, inferSchema=True, multiLine=True, escape='"', quote='"')
+    got = csv.read_csv(spark, str(tmp_path))
+    assert got.schema == want.schema and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert got.count() == 59
+
+
+def test_line_breaks_in_folders_and_types(spark, tmp_path, tiny_splits):
+    for year in (2023, 2024):
+        folder = tmp_path / "t" / f"year={year}"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text('a,b,c,d,e\n' + "".join(f'{i},{i * 3_000_000_000},{i}.5,2024-01-02 03:04:05,"x\ny"\n' for i in range(30)))
+    df = csv.read_csv(spark, str(tmp_path / "t"))
+    assert dict(df.dtypes) == {"a": "int", "b": "bigint", "c": "double", "d": "timestamp", "e": "string", "year": "int"}
+    assert df.groupBy("year").agg(F.sum("a").alias("s")).collect()[0]["s"] == 435
+    assert df.where("e = 'x\ny'").count() == 60
+
+
+def test_one_file_with_line_breaks_is_read_in_several_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,t\n' + "".join(f'{i},"one\ntwo"\n' for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        lines = csv_records._lines(spark, str(tmp_path), None)
+        assert lines.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        assert csv.read_csv(spark, str(tmp_path)).agg(F.sum("k"), F.count("t")).first()[:] == (199_990_000, 20_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sampled_types_widen(spark, tmp_path):
     (tmp_path / "a.csv").write_text("n,m\n" + "\n".join(f"{i},{i}" for i in range(1500)) + "\nlate,7\n")
     for types in ("all", "sample"):
