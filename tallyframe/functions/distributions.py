@@ -29,14 +29,22 @@ _LANCZOS = (
 )
 
 
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of named doubles, so that an expression is in the plan once however often it is used."""
+    bound = F.array(F.struct(*[v.cast("double").alias(k) for k, v in values.items()]))
+    return F.transform(bound, body)[0]
+
+
 def log_gamma(x: Column) -> Column:
     """The logarithm of the gamma function, for x of 0.5 and more."""
-    z = x - 1
-    series = F.lit(_LANCZOS[0])
-    for i, c in enumerate(_LANCZOS[1:], start=1):
-        series = series + F.lit(c) / (z + i)
-    t = z + 7.5
-    return F.lit(0.9189385332046727) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+    def body(v: Column) -> Column:
+        series = F.lit(_LANCZOS[0])
+        for i, c in enumerate(_LANCZOS[1:], start=1):
+            series = series + F.lit(c) / (v["z"] + i)
+        return F.lit(0.9189385332046727) + (v["z"] + 0.5) * F.log(v["z"] + 7.5) - (v["z"] + 7.5) + F.log(series)
+
+    return _let(body, z=x - 1)
 
 
 def _fold(start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], result: str) -> Column:
@@ -64,29 +72,34 @@ def _lentz(start: dict[str, Column], numerator: Callable[[Column, Column], Colum
 
 def chi_square_tail(x: Column, df: Column) -> Column:
     """The probability of a chi-square value over ``x``; 1 for x of 0 and less."""
-    a, x = df.cast("double") / 2, x.cast("double") / 2
-    front = F.exp(a * F.log(x) - x - log_gamma(a))
-    series = _fold(
-        {"term": 1 / a, "sum": 1 / a},
-        lambda acc, i: {"term": acc["term"] * x / (a + i), "sum": acc["sum"] + acc["term"] * x / (a + i)},
-        "sum",
-    )
-    first = x + 1 - a
-    fraction = _lentz(
-        {"c": F.lit(1 / TINY), "d": 1 / first, "h": 1 / first}, lambda acc, i: i * (a - i), lambda i: first + 2 * i
-    )
-    small = x < a + 1
-    # Only the branch that converges is worked out.
-    return F.when(x <= 0, F.lit(1.0)).when(small, 1 - front * series).otherwise(front * fraction)
+
+    def body(v: Column) -> Column:
+        a, x = v["a"], v["x"]
+        front = F.exp(a * F.log(x) - x - log_gamma(a))
+        series = _fold(
+            {"term": 1 / a, "sum": 1 / a},
+            lambda acc, i: {"term": acc["term"] * x / (a + i), "sum": acc["sum"] + acc["term"] * x / (a + i)},
+            "sum",
+        )
+        first = x + 1 - a
+        fraction = _lentz({"c": F.lit(1 / TINY), "d": 1 / first, "h": 1 / first}, lambda acc, i: i * (a - i), lambda i: first + 2 * i)
+        # Only the branch that converges is worked out.
+        return F.when(x <= 0, F.lit(1.0)).when(x < a + 1, 1 - front * series).otherwise(front * fraction)
+
+    return _let(body, a=df / 2, x=x / 2)
 
 
 def _log_beta(a: Column, b: Column) -> Column:
     """The logarithm of the beta function. For a large argument the difference of two large logarithms is expanded, not taken."""
-    small, large = F.least(a, b), F.greatest(a, b)
-    both = small + large
-    rest = lambda v: (1 / F.lit(12.0) - (1 / F.lit(360.0) - 1 / (1260 * v * v)) / (v * v)) / v
-    grown = (large - 0.5) * F.log1p(small / large) + small * F.log(both) - small + rest(both) - rest(large)
-    return log_gamma(small) - F.when(large > 30, grown).otherwise(log_gamma(both) - log_gamma(large))
+
+    def body(v: Column) -> Column:
+        small, large = v["small"], v["large"]
+        both = small + large
+        rest = lambda u: (1 / F.lit(12.0) - (1 / F.lit(360.0) - 1 / (1260 * u * u)) / (u * u)) / u
+        grown = (large - 0.5) * F.log1p(small / large) + small * F.log(both) - small + rest(both) - rest(large)
+        return log_gamma(small) - F.when(large > 30, grown).otherwise(log_gamma(both) - log_gamma(large))
+
+    return _let(body, small=F.least(a, b), large=F.greatest(a, b))
 
 
 def _beta_part(x: Column, y: Column, a: Column, b: Column) -> Column:
@@ -108,10 +121,18 @@ def _beta_part(x: Column, y: Column, a: Column, b: Column) -> Column:
 
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:
     """The probability of an F value over ``f``."""
-    f, a, b = f.cast("double"), df1.cast("double") / 2, df2.cast("double") / 2
-    over = df1 * f / (df2 + df1 * f)
-    under = df2 / (df2 + df1 * f)
-    return F.when(f <= 0, F.lit(1.0)).when(under < (b + 1) / (a + b + 2), _beta_part(under, over, b, a)).otherwise(1 - _beta_part(over, under, a, b))
+
+    def body(v: Column) -> Column:
+        # The side on which the fraction converges; the other one's value is its rest.
+        turned = v["under"] < (v["b"] + 1) / (v["a"] + v["b"] + 2)
+        side = lambda yes, no: F.when(turned, v[yes]).otherwise(v[no])
+        part = _let(
+            lambda w: _beta_part(w["x"], w["y"], w["a"], w["b"]), x=side("under", "over"), y=side("over", "under"), a=side("b", "a"), b=side("a", "b")
+        )
+        return F.when(v["over"] <= 0, F.lit(1.0)).when(turned, part).otherwise(1 - part)
+
+    total = df2 + df1 * f
+    return _let(body, over=df1 * f / total, under=df2 / total, a=df1 / 2, b=df2 / 2)
 
 
 def t_tail_both(t: Column, df: Column) -> Column:

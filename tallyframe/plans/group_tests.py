@@ -43,6 +43,9 @@ def group_tests(df: DataFrame, by: str, columns: Sequence[str] | None = None) ->
     ranks = _rank_sums(kept, by, values, max(f.count for f in facts.values()))
     place = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
     out = _anova(sums).unionByName(_welch(sums)).unionByName(_kruskal(ranks))
+    statistic, df1 = F.col("statistic"), F.col("df1")
+    tail = F.when(F.col("test") == "kruskal", chi_square_tail(statistic, df1)).otherwise(f_tail(statistic, df1, F.col("df2")))
+    out = checkpointed(out).withColumn("p_value", F.when(statistic.isNotNull(), tail))  # a few rows per column
     return out.orderBy(place[F.col("column")], "test").select(*RESULT)
 
 
@@ -62,24 +65,18 @@ def _moment_sums(df: DataFrame, by: str, centred: dict[str, Column]) -> DataFram
     return checkpointed(out.where("n > 0"))
 
 
-def _result(rows: DataFrame, test: str, statistic: Column, df1: Column, df2: Column, tail: Column) -> DataFrame:
-    known = rows.withColumn("statistic", statistic).withColumn("df1", df1.cast("double")).withColumn("df2", df2.cast("double"))
-    return known.select(
+def _result(rows: DataFrame, test: str, statistic: Column, df1: Column, df2: Column) -> DataFrame:
+    return rows.select(
         "column",
         F.lit(test).alias("test"),
         F.col("k").alias("groups"),
         F.col("total").alias("n"),
-        "statistic",
-        "df1",
-        "df2",
-        F.when(F.col("statistic").isNotNull(), tail).alias("p_value"),
+        statistic.alias("statistic"),
+        df1.cast("double").alias("df1"),
+        df2.cast("double").alias("df2"),
     )
 
 
-def _f_tail() -> Column:
-    return f_tail(F.col("statistic"), F.col("df1"), F.col("df2"))
-
-
 def _anova(sums: DataFrame) -> DataFrame:
     per = sums.groupBy("column").agg(
         F.count(F.lit(1)).alias("k"),
@@ -90,7 +87,7 @@ def _anova(sums: DataFrame) -> DataFrame:
     )
     k, n = F.col("k"), F.col("total")
     spread = (k > 1) & (n > k) & (F.col("within") > F.col("q") * 1e-14)
-    return _result(per, "anova", F.when(spread, F.col("between") / (k - 1) / (F.col("within") / (n - k))), k - 1, n - k, _f_tail())
+    return _result(per, "anova", F.when(spread, F.col("between") / (k - 1) / (F.col("within") / (n - k))), k - 1, n - k)
 
 
 def _welch(sums: DataFrame) -> DataFrame:
@@ -116,7 +113,7 @@ def _welch(sums: DataFrame) -> DataFrame:
     between = (F.col("wmm") - F.col("wm") * F.col("wm") / total_w) / (k - 1)
     usable = (k > 1) & (F.col("usable") == k)
     statistic = F.when(usable, F.greatest(between, F.lit(0.0)) / (1 + 2 * (k - 2) / (k * k - 1) * lack))
-    return _result(per, "welch", statistic, k - 1, F.when(usable, (k * k - 1) / (3 * lack)), _f_tail())
+    return _result(per, "welch", statistic, k - 1, F.when(usable, (k * k - 1) / (3 * lack)))
 
 
 def _rank_sums(df: DataFrame, by: str, values: dict[str, Column], largest: int) -> DataFrame:
@@ -140,7 +137,7 @@ def _kruskal(ranks: DataFrame) -> DataFrame:
     k, n = F.col("k"), F.col("total").cast("double")
     tied = 1 - F.col("t") / (n * n * n - n)
     h = F.when((k > 1) & (n > 1) & (tied > 1e-14), (12 / (n * (n + 1)) * F.col("rr") - 3 * (n + 1)) / tied)
-    return _result(per, "kruskal", F.greatest(h, F.when(h.isNotNull(), F.lit(0.0))), k - 1, F.lit(None), chi_square_tail(F.col("statistic"), F.col("df1")))
+    return _result(per, "kruskal", F.greatest(h, F.when(h.isNotNull(), F.lit(0.0))), k - 1, F.lit(None))
 
 
 def crosstab(df: DataFrame, a: str, b: str, zeros: bool = False) -> DataFrame:
