@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.plans import group_tests
+from pyspark.sql import functions as F
+
+from tallyframe.plans import group_tests, missing_patterns
 
 from .analysis import LINEITEM_NUMBERS
-from .registry import fix, fix_sql, query, sig, sig_sql, table, union_all
+from .registry import ORDERS_WITH_GAPS, fix, fix_sql, orders_with_gaps, query, sig, sig_sql, table, union_all
 
 
 def _f_tail_sql(f: str, df1: str, df2: str) -> str:
@@ -75,3 +77,33 @@ def _(spark, sf):
 def _(spark, sf):
     out = group_tests.chi_square(table(spark, sf, "documents"), "lang", "source")
     return out.withColumns({"statistic": sig("statistic"), "p_value": fix("p_value", 5), "cramers_v": fix("cramers_v")})
+
+
+_GAP_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+_GAP_MASK = " + ".join(f"{1 << i} * ({c} IS NULL)::INT" for i, c in enumerate(_GAP_COLUMNS))
+_GAP_NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN s & {1 << i} > 0 THEN '{c}' END" for i, c in enumerate(_GAP_COLUMNS)) + "], lambda x: x IS NOT NULL), ',')"
+
+
+def _listed(out):
+    return out.withColumn("columns", F.array_join("columns", ","))
+
+
+@query(
+    "missing_patterns",
+    f"""WITH m AS (SELECT {_GAP_MASK} AS s, count(*) AS n FROM {ORDERS_WITH_GAPS} GROUP BY 1)
+        SELECT {_GAP_NAMES} AS columns, bit_count(s)::BIGINT AS missing_columns, n AS rows, round(100.0 * n / sum(n) OVER (), 2) AS pct FROM m""",
+)
+def _(spark, sf):
+    return _listed(missing_patterns.missing_patterns(orders_with_gaps(spark, sf)))
+
+
+@query(
+    "missing_together",
+    f"""WITH m AS (SELECT {_GAP_MASK} AS b FROM {ORDERS_WITH_GAPS}),
+             c AS (SELECT s, count(*) AS n FROM range(1, {1 << len(_GAP_COLUMNS)}) r(s), m WHERE b & s = s GROUP BY s)
+        SELECT {_GAP_NAMES} AS columns, bit_count(s)::BIGINT AS missing_columns, n AS rows, round(100.0 * n / (SELECT count(*) FROM m), 2) AS pct
+        FROM c WHERE n >= 0.05 * (SELECT count(*) FROM m) AND NOT EXISTS (SELECT 1 FROM c AS t WHERE t.s & c.s = c.s AND t.s <> c.s AND t.n = c.n)""",
+)
+def _(spark, sf):
+    """Every subset of columns in SQL, none here."""
+    return _listed(missing_patterns.missing_together(orders_with_gaps(spark, sf), min_share=0.05))
