@@ -300,7 +300,21 @@ def _(spark, sf):
 _WIDE = [(f"{c}_{k}", f"({c} + {k} * l_linenumber)") for k in range(8) for c in ("l_quantity", "l_discount", "l_tax", "l_suppkey")]
 
 
-def _pearson_one_scan_sql(source: str, columns: list[str]) -> str:
+WIDE_COLUMNS = [n for n, _ in _WIDE]
+
+
+def wide_gappy_sql() -> str:
+    """Each column is missing in a ninth of the rows."""
+    return f"(SELECT {', '.join(f'CASE WHEN l_suppkey % 9 = {i % 9} THEN NULL ELSE {e}::DOUBLE END AS {n}' for i, (n, e) in enumerate(_WIDE))} FROM lineitem)"
+
+
+def wide_gappy(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        [F.when(F.col("l_suppkey") % 9 != i % 9, F.expr(e).cast("double")).alias(n) for i, (n, e) in enumerate(_WIDE)]
+    )
+
+
+def pearson_one_scan_sql(source: str, columns: list[str]) -> str:
     """All pairs as columns of one row, then unpivoted: hundreds of separate scans would take minutes."""
     pairs = list(combinations(range(len(columns)), 2))
     cells = ", ".join(f"{fix_sql(f'corr({columns[i]}, {columns[j]})')} AS r_{i}_{j}" for i, j in pairs)
@@ -312,18 +326,9 @@ def _pearson_one_scan_sql(source: str, columns: list[str]) -> str:
                UNION ALL SELECT unnest({names}) AS col_a, unnest({names}) AS col_b, 1.0::DOUBLE AS r"""
 
 
-@query(
-    "corr_pearson_wide",
-    _pearson_one_scan_sql(
-        f"(SELECT {', '.join(f'CASE WHEN l_suppkey % 9 = {i % 9} THEN NULL ELSE {e}::DOUBLE END AS {n}' for i, (n, e) in enumerate(_WIDE))} FROM lineitem)",
-        [n for n, _ in _WIDE],
-    ),
-)
+@query("corr_pearson_wide", pearson_one_scan_sql(wide_gappy_sql(), WIDE_COLUMNS))
 def _(spark, sf):
-    df = table(spark, sf, "lineitem").select(
-        [F.when(F.col("l_suppkey") % 9 != i % 9, F.expr(e).cast("double")).alias(n) for i, (n, e) in enumerate(_WIDE)]
-    )
-    return correlation.correlation_matrix(df).withColumn("r", fix("r"))
+    return correlation.correlation_matrix(wide_gappy(spark, sf)).withColumn("r", fix("r"))
 
 
 @query("corr_spearman", _spearman_sql("lineitem", LINEITEM_NUMBERS))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import functions as F
 
-from tallyframe.plans import group_tests, missing_patterns
+from tallyframe.plans import duplicates, group_tests, missing_patterns, network
 
-from .analysis import LINEITEM_NUMBERS
-from .registry import ORDERS_WITH_GAPS, fix, fix_sql, orders_with_gaps, query, sig, sig_sql, table, union_all
+from .analysis import LINEITEM_NUMBERS, WIDE_COLUMNS, pearson_one_scan_sql, wide_gappy, wide_gappy_sql
+from .registry import EVENTS_WITH_GAPS, ORDERS_WITH_GAPS, events_with_gaps, fix, fix_sql, orders_with_gaps, query, sig, sig_sql, table, union_all
 
 
 def _f_tail_sql(f: str, df1: str, df2: str) -> str:
@@ -107,3 +107,35 @@ def _(spark, sf):
 def _(spark, sf):
     """Every subset of columns in SQL, none here."""
     return _listed(missing_patterns.missing_together(orders_with_gaps(spark, sf), min_share=0.05))
+
+
+# A link is in the forest exactly if no path of stronger links joins its ends.
+@query(
+    "corr_network",
+    f"""WITH RECURSIVE m AS MATERIALIZED ({pearson_one_scan_sql(wide_gappy_sql(), WIDE_COLUMNS)}),
+             e AS MATERIALIZED (SELECT col_a, col_b, r, row_number() OVER (ORDER BY abs(r) DESC, least(col_a, col_b) DESC, greatest(col_a, col_b) DESC) AS place
+                                FROM m WHERE abs(r) >= 0.3 AND list_position({WIDE_COLUMNS}, col_a) < list_position({WIDE_COLUMNS}, col_b)),
+             w AS MATERIALIZED (SELECT place, col_a AS x, col_b AS y FROM e UNION ALL SELECT place, col_b, col_a FROM e),
+             reach(place, node) AS (SELECT place, col_a FROM e UNION SELECT reach.place, w.y FROM reach JOIN w ON w.x = reach.node AND w.place < reach.place),
+             near(start, node) AS (SELECT x, x FROM w UNION SELECT near.start, w.y FROM near JOIN w ON w.x = near.node)
+        SELECT col_a, col_b, r, NOT EXISTS (SELECT 1 FROM reach WHERE reach.place = e.place AND reach.node = e.col_b) AS in_forest,
+               (SELECT min(node) FROM near WHERE start = e.col_a) AS component FROM e""",
+)
+def _(spark, sf):
+    return network.correlation_network(wide_gappy(spark, sf), threshold=0.3, digits=6).withColumn("r", fix("r"))
+
+
+@query(
+    "duplicate_rows",
+    """SELECT doc_id, representative, copies
+       FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang) AS representative, count(*) OVER (PARTITION BY text, lang) AS copies FROM documents)
+       WHERE copies > 1""",
+)
+def _(spark, sf):
+    return duplicates.duplicate_rows(table(spark, sf, "documents"), "doc_id", ["text", "lang"])
+
+
+@query("duplicate_rows_missing", "SELECT count(*) AS rows FROM (SELECT DISTINCT event_type, value FROM (SELECT event_type, value FROM " + EVENTS_WITH_GAPS + "))")
+def _(spark, sf):
+    """Missing values are equal, NaN too."""
+    return duplicates.without_duplicates(events_with_gaps(spark, sf).select("event_type", "value")).agg(F.count(F.lit(1)).alias("rows"))
