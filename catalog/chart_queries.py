@@ -137,9 +137,43 @@ def _(spark, sf):
     return charts.box_outliers(events_with_gaps(spark, sf), "value", "event_type")
 
 
-@query("chart_bundle")
+def _bundle_sql(source: str, numbers: list[str], texts: list[str]) -> str:
+    """Every chart of the bundle from its own statement; ``source`` has no gaps, so the missing chart is empty."""
+    rows = lambda chart, kind, series, label, x, y, value, rest: (
+        f"SELECT {chart} AS chart_id, '{kind}' AS kind, {series} AS series, {label} AS label, {x} AS x, {y} AS y, {value}::DOUBLE AS value {rest}"
+    )
+    none = "NULL"
+    parts = []
+    for c in numbers:
+        edges = f"(SELECT min({c})::DOUBLE AS mn, max({c})::DOUBLE AS mx FROM {source}), range(20) t(i)"
+        lo, hi = "mn + i * ((mx - mn) / 20)", "CASE WHEN i = 19 THEN mx ELSE mn + (i + 1) * ((mx - mn) / 20) END"
+        count = f"(SELECT count(*) FROM {source} WHERE {c} >= {lo} AND ({c} < {hi} OR i = 19 AND {c} <= mx))"
+        parts.append(rows(f"'hist_{c}'", "histogram", f"'{c}'", "i::VARCHAR", fix_sql(lo), fix_sql(hi), count, f"FROM {edges}"))
+    for c in texts:
+        counted = f"(SELECT {c} AS v, count(*) AS n FROM {source} GROUP BY 1 ORDER BY n DESC, v LIMIT 10)"
+        parts.append(rows(f"'bar_{c}'", "bar", none, "v", none, none, "n", f"FROM {counted}"))
+        parts.append(rows(f"'pie_{c}'", "pie", none, "v", none, none, f"round(n / (SELECT count(*) FROM {source}) * 100, 1)", f"FROM {counted}"))
+        for n in numbers[:2]:
+            box = f"""(SELECT {c} AS k, unnest(['q1', 'median', 'q3', 'whisker_low', 'whisker_high']) AS stat,
+                              unnest([q1, median, q3, min(v) FILTER (inside), max(v) FILTER (inside)]) AS v
+                       FROM (SELECT {c}, {n}::DOUBLE AS v, q1, median, q3, {n} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+                             FROM {source} JOIN (SELECT {c}, quantile_cont({n}, 0.25) AS q1, quantile_cont({n}, 0.5) AS median, quantile_cont({n}, 0.75) AS q3
+                                                 FROM {source} GROUP BY {c}) USING ({c}))
+                       GROUP BY {c}, q1, median, q3)"""
+            parts.append(rows(f"'box_{n}_by_{c}'", "box", "k", "stat", none, none, "v", f"FROM {box}"))
+    for i, a in enumerate(numbers):
+        for b in numbers[:i]:
+            parts.append(rows("'correlation'", "heatmap", f"'{a}'", f"'{b}'", none, none, f"corr({a}, {b})", f"FROM {source}"))
+    for a, b in list(zip(numbers, numbers[1:], strict=False))[:2]:
+        grid = f"(SELECT {bin_sql(a, source, 50)} AS gx, {bin_sql(b, source, 50)} AS gy, count(*) AS n FROM {source} GROUP BY ALL)"
+        parts.append(rows(f"'scatter_{a}_{b}'", "scatter", none, none, "gx::DOUBLE", "gy::DOUBLE", "n", f"FROM {grid}"))
+    return f"SELECT chart_id, kind, series, label, x, y, {fix_sql('value')} AS value FROM ({union_all(parts)})"
+
+
+@query("chart_bundle", _bundle_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]))
 def _(spark, sf):
-    return charts.chart_bundle(table(spark, sf, "orders")).withColumn("value", sig("value"))
+    out = charts.chart_bundle(table(spark, sf, "orders"))
+    return out.withColumns({"x": fix("x"), "y": fix("y"), "value": fix("value")})
 
 
 @query(
