@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import aggregate, filters, project, sorting, udf
 from tallyframe.operators.sql import execute_sql
 
+from .analysis import LINEITEM_NUMBERS
 from .registry import EVENTS_WITH_GAPS, events_with_gaps, fix, fix_sql, query, sig, sig_sql, table, union_all
 
 
@@ -252,13 +253,13 @@ def _inexact(df):
 
 @query(
     "group_analysis",
-    f"""SELECT l_returnflag, l_linestatus, {_stats_sql(['l_quantity', 'l_extendedprice'])}
+    f"""SELECT l_returnflag, l_linestatus, {_stats_sql(LINEITEM_NUMBERS)}
         FROM lineitem GROUP BY l_returnflag, l_linestatus""",
 )
 def _(spark, sf):
     df = table(spark, sf, "lineitem")
     return _inexact(
-        aggregate.group_analysis(df, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"])
+        aggregate.group_analysis(df, ["l_returnflag", "l_linestatus"], LINEITEM_NUMBERS)
     )
 
 

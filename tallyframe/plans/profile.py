@@ -145,9 +145,9 @@ def summary_flags(df: DataFrame, many: int = 10, exact: bool = True) -> DataFram
 def full_profile(
     df: DataFrame, free_text: Sequence[str] = (), exact: bool = True, corr_threshold: float = 0.7
 ) -> dict[str, DataFrame]:
-    """Every part of the analysis as a table of its own."""
+    """Every part of the analysis as a table of its own. Declared free text is analysed as text, not as categories."""
     numbers = numeric_columns(df)
-    texts = text_columns(df)
+    texts = [c for c in text_columns(df) if c not in free_text]
     out = {"summary": dataset_summary(df)}
     if numbers:
         out["numeric"] = numeric_profile(df, numbers, exact)

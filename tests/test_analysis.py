@@ -206,3 +206,14 @@ def test_summary_and_full_profile(answers):
 def test_before_after(answers):
     row = {r["column"]: r for r in report.before_after(answers, answers.where("id > 5")).collect()}["value1"]
     assert row["rows_removed"] == 5 and row["missing_before"] == 1 and row["missing_after"] == 0
+
+
+def test_long_categories_are_counted_by_key(spark):
+    from tallyframe.plans import frequencies
+
+    head = "the same beginning of a text that is longer than a key may be, " * 2
+    rows = [(head + "a",)] * 3 + [(head + "b",)] * 2 + [("short",)] * 4 + [("",)] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [(r["value"], r["value_count"], r["unique_values"]) for r in frequencies.categorical_profile(df).collect()]
+    assert got == [("short", 4, 4), (head + "a", 3, 4), (head + "b", 2, 4), ("", 1, 4)]
+    assert max(len(r["value"]) for r in frequencies.keyed_counts(df, ["t"]).collect()) == 129
