@@ -543,12 +543,6 @@ def _(spark, sf):
 # ---------------------------------------------------------------- whole-table jobs
 
 
-@query("full_profile")
-def _(spark, sf):
-    """All parts of the profile, cell by cell; each part has a query of its own."""
-    return profile.long_form(profile.full_profile(table(spark, sf, "documents"), free_text=["text"]))
-
-
 def _side_sql(source: str, columns: list[str], suffix: str) -> str:
     return union_all(
         [
