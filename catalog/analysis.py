@@ -11,6 +11,8 @@ from tallyframe.operators.aggregate import group_and_aggregate
 from tallyframe.operators.timeseries import resample
 from tallyframe.plans import charts, correlation, frequencies, profile, report, statistics
 from tallyframe.plans.cleaning import default_clean
+from tallyframe.plans.storage import scratch_path
+from tallyframe.streaming import micro_batched_files, resample_stream
 
 from .cleaning_queries import outlier_counts_sql
 from .registry import EVENTS_WITH_GAPS, events_with_gaps, fix, fix_sql, query, sig, sig_sql, table, union_all
@@ -485,11 +487,14 @@ def _resample_sql(label: str, step: str, close: str, agg: str, empty: str = "NUL
                SELECT s.date, coalesce(g.value, {empty}) AS value FROM s LEFT JOIN g USING (date)"""
 
 
-def _resampled(spark, sf, freq, agg):
+def _spread_events(spark, sf):
     """All events, some of them moved far ahead, so that there are periods without any."""
     late = F.col("ts") + F.expr("INTERVAL 400 DAY")
-    df = events_with_gaps(spark, sf).withColumn("ts", F.when(F.col("event_id") % 1000 == 1, late).otherwise(F.col("ts")))
-    return resample(df, "ts", "value", freq, agg)
+    return events_with_gaps(spark, sf).withColumn("ts", F.when(F.col("event_id") % 1000 == 1, late).otherwise(F.col("ts")))
+
+
+def _resampled(spark, sf, freq, agg):
+    return resample(_spread_events(spark, sf), "ts", "value", freq, agg)
 
 
 @query("resample_day", _resample_sql("{d}", "1 DAY", "{d}", sig_sql("avg(value)")))
@@ -502,6 +507,18 @@ def _(spark, sf):
     return _resampled(spark, sf, "W", "sum").withColumn("value", sig("value"))
 
 
+@query("resample_stream", _resample_sql("{d}", "1 DAY", "{d}", sig_sql("avg(value)")))
+def _(spark, sf):
+    """The same events as a stream of files, one file per batch; every day stays open long enough."""
+    df = _spread_events(spark, sf)
+    folder, out, state = (scratch_path(spark, f"resample-{n}") for n in ("in", "out", "state"))
+    df.repartition(4, "event_id").write.parquet(folder)
+    states, late = resample_stream(micro_batched_files(spark, folder, df.schema), "ts", "value", out, state, lateness="1000 days")
+    if late:
+        raise AssertionError(f"{late} rows came too late")
+    return states.resampled("D", "mean").withColumn("value", sig("value"))
+
+
 def _months_sql(label: str, step: str, agg: str, empty: str = "NULL") -> str:
     return f"""WITH g AS (SELECT {label.format(d='o_orderdate::DATE')} AS date, {agg} AS value
                           FROM (SELECT o_totalprice, CASE WHEN o_orderkey % 997 = 1 THEN o_orderdate + INTERVAL 1200 DAY ELSE o_orderdate END AS o_orderdate FROM orders) GROUP BY 1),

@@ -35,11 +35,16 @@ def resample(
     pick = _AGGREGATES.get(agg_func, F.avg)
     # Days first, combined map-side: the aggregate has one row per period.
     periods = points.groupBy(period_end(F.col("_day"), freq).alias("date")).agg(pick("_value").alias("value"))
+    return fill_periods(periods, freq, agg_func in ("sum", "count"))
+
+
+def fill_periods(periods: DataFrame, freq: str, zero: bool) -> DataFrame:
+    """``date, value`` with a row for every period from the first to the last; new ones hold 0 or nothing."""
     # One row per period: fetched bounds keep the source from being read a second time for the spine.
     periods = checkpointed(periods)
     ends = periods.agg(F.min("date"), F.max("date")).first()
-    spine = df.sparkSession.range(1).select(F.explode(period_spine(F.lit(ends[0]).cast("date"), F.lit(ends[1]).cast("date"), freq)).alias("date"))
+    spine = periods.sparkSession.range(1).select(F.explode(period_spine(F.lit(ends[0]).cast("date"), F.lit(ends[1]).cast("date"), freq)).alias("date"))
     value = F.col("value")
-    if agg_func in ("sum", "count"):
+    if zero:
         value = F.coalesce(value, F.lit(0).cast(periods.schema["value"].dataType))
     return spine.join(periods, "date", "left").select("date", value.alias("value")).orderBy("date")
