@@ -137,8 +137,8 @@ def _(spark, sf):
     return charts.box_outliers(events_with_gaps(spark, sf), "value", "event_type")
 
 
-def _bundle_sql(source: str, numbers: list[str], texts: list[str]) -> str:
-    """Every chart of the bundle from its own statement; ``source`` has no gaps, so the missing chart is empty."""
+def bundle_sql(source: str, numbers: list[str], texts: list[str], few: list[str]) -> str:
+    """Every chart of the bundle from its own statement; ``source`` has no gaps, so the missing chart is empty. ``few``: texts of at most ten values."""
     rows = lambda chart, kind, series, label, x, y, value, rest: (
         f"SELECT {chart} AS chart_id, '{kind}' AS kind, {series} AS series, {label} AS label, {x} AS x, {y} AS y, {value}::DOUBLE AS value {rest}"
     )
@@ -152,6 +152,8 @@ def _bundle_sql(source: str, numbers: list[str], texts: list[str]) -> str:
     for c in texts:
         counted = f"(SELECT {c} AS v, count(*) AS n FROM {source} GROUP BY 1 ORDER BY n DESC, v LIMIT 10)"
         parts.append(rows(f"'bar_{c}'", "bar", none, "v", none, none, "n", f"FROM {counted}"))
+        if c not in few:
+            continue
         parts.append(rows(f"'pie_{c}'", "pie", none, "v", none, none, f"round(n / (SELECT count(*) FROM {source}) * 100, 1)", f"FROM {counted}"))
         for n in numbers[:2]:
             box = f"""(SELECT {c} AS k, unnest(['q1', 'median', 'q3', 'whisker_low', 'whisker_high']) AS stat,
@@ -170,7 +172,7 @@ def _bundle_sql(source: str, numbers: list[str], texts: list[str]) -> str:
     return f"SELECT chart_id, kind, series, label, x, y, {fix_sql('value')} AS value FROM ({union_all(parts)})"
 
 
-@query("chart_bundle", _bundle_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]))
+@query("chart_bundle", bundle_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderstatus", "o_orderpriority"]))
 def _(spark, sf):
     out = charts.chart_bundle(table(spark, sf, "orders"))
     return out.withColumns({"x": fix("x"), "y": fix("y"), "value": fix("value")})

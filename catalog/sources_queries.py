@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators.aggregate import union_by_name
-from tallyframe.plans import jobs
 from tallyframe.plans.storage import checkpointed, scratch_path
 from tallyframe.sources import catalogue, csv, sinks, workbooks
 from tallyframe.streaming import apply_fitted, micro_batched_files
@@ -187,17 +186,6 @@ def _(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("data_rows"), F.sum(F.size("cells")).cast("bigint").alias("cells"))
 
 
-@query("batch_job")
-def _(spark, sf):
-    """Clean, profile, chart and write the customers; the result lists what was written."""
-    paths = jobs.run_batch(table(spark, sf, "customer"), scratch_path(spark, "batch"))
-    parts = [
-        spark.read.parquet(p).select(F.lit(name).alias("table")).groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
-        for name, p in paths.items()
-    ]
-    return union_by_name(*parts)
-
-
 _BOUNDS = """(SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lo,
                      quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi FROM events)"""
 
