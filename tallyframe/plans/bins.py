@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.shipping import ship_package
+
 #: Bins of one range.
 BINS = 2_048
 
@@ -75,6 +77,7 @@ def bin_counts(df: DataFrame, values: dict[str, Column], ranges: dict[str, list[
     names = [n for n in ranges if ranges[n]]
     if not names:
         return {}
+    ship_package(df.sparkSession)
     wanted = [[(float(a), float(b)) for a, b in ranges[n]] for n in names]
     flat = df.select([values[n].alias(f"v{i}") for i, n in enumerate(names)])
 

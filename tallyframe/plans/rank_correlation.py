@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import limits
 from tallyframe.functions.columns import as_double, unpivot
+from tallyframe.shipping import ship_package
 
 from .bins import balanced_cuts
 from .ranks import join_by_value, rank_values
@@ -48,6 +49,7 @@ DIGIT_BITS = 4
 
 def rank_correlation(df: DataFrame, names: Sequence[str], method: str, one_task: int | None = None) -> DataFrame:
     """``i, j, r`` for i <= j by position in ``names``."""
+    ship_package(df.sparkSession)
     one_task = limits.ONE_TASK_ROWS if one_task is None else one_task
     values = [as_double(df, n) for n in names]
     facts = df.agg(

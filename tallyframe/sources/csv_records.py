@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tallyframe import limits
 from tallyframe.functions import col
 from tallyframe.plans.storage import scratch_path
+from tallyframe.shipping import ship_package
 
 # Of the table of records, so that reading it splits.
 ROW_GROUP_BYTES = 16 << 20
@@ -191,6 +192,7 @@ def records(spark: SparkSession, names: str | Sequence[str], base: str | None =
     broadcast; more than ``limits.BROADCAST_ROWS`` of them are joined by a shuffle,
     and their lines put in order again.
     """
+    ship_package(spark)
     lines = _lines(spark, names, base)
     folders = [c for c in lines.columns if c not in ("_file", "_block", "_at", "value")]
     states_path, path = scratch_path(spark, "csv-splits"), scratch_path(spark, "csv-records")
