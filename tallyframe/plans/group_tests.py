@@ -124,7 +124,7 @@ def _rank_sums(df: DataFrame, by: str, values: dict[str, Column], largest: int)
     ranks = checkpointed(rank_values(counts, ["column"], largest))
     total = ranks.count()  # decides whether the ranks are broadcast
     ranked = ranks.withColumn("rank", F.col("before") + (F.col("w") + 1) / 2).withColumn("whole", F.col("w"))
-    placed = join_by_value(cells, ranked, [("column", "column"), ("value", "value")], {"rank": "rank", "whole": "whole"}, largest, total)
+    placed = join_by_value(cells, ranked, [("column", "column"), ("value", "value")], {"rank": "rank", "whole": "whole"}, largest * len(values), total)
     n, w = F.col("n").cast("double"), F.col("whole").cast("double")
     # Each of the w equal values brings w^2 - 1, together w^3 - w.
     return placed.groupBy("column", "g").agg(F.sum("n").alias("n"), F.sum(n * F.col("rank")).alias("r"), F.sum(n * (w * w - 1)).alias("t"))

@@ -143,7 +143,7 @@ def _spearman(
     if large:
         long = unpivot(wide, {str(i): F.col(f"v{i}") for i in large}, ["row"]).withColumn("column", F.col("column").cast("int"))
         ranks = ranks.where(F.col("column").isin(large))
-        entries = join_by_value(long, ranks, [("column", "column"), ("value", "value")], {"ranks": "ranks"}, rows, sum(kinds[i] for i in large))
+        entries = join_by_value(long, ranks, [("column", "column"), ("value", "value")], {"ranks": "ranks"}, rows * len(large), sum(kinds[i] for i in large))
         entries = entries.select("row", "column", "ranks")
         if small:
             plain = F.array(*[F.coalesce(F.col(f"v{i}"), F.lit(float("nan"))) for i in small])
