@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shipping import ship
+from .texts import hand_back
 
 #: Distinct words whose ids a worker keeps; beyond it the table starts anew. A matter of memory, never of results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _HEAP_FROM = 96
 _NEVER = 1 << 62
 
@@ -147,6 +148,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, split = _word_ids(key, ranks.value), splitter(pattern).findall
+        try:
+            yield from encoded(batches, table, split)
+        finally:
+            hand_back()
+
+    def encoded(batches: Iterator[pa.RecordBatch], table: _WordIds, split) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
@@ -178,6 +185,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
             yield _replaced(batch, ids, pa.array(texts, pa.binary())).rename_columns(
                 [out if c == ids else c for c in batch.schema.names]
             )
+        hand_back()
 
     fields = [T.StructField(out, T.BinaryType()) if f.name == ids else f for f in base.schema.fields]
     return base.mapInArrow(run, T.StructType(fields))

@@ -14,7 +14,8 @@ comparison, so that a large group of near copies costs about its size and not
 its square. What is then still undecided is joined once more, on the rarest
 shingles of the sets themselves: two sets above the limit share one of the
 first ``n - limit n + 1``, and its places bound what they can have in common.
-No link is lost.
+Both ways end in the test of the signatures, which overlooks a link at the limit
+with a probability of ``Likeness.miss`` at most.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ buffer, without a Python object per word. Memory is a fixed multiple of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +125,32 @@ class Chunk:
         return self.bytes[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
+@cache
+def _heap_trim():
+    """The C library's call that hands free memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def hand_back() -> None:
+    """Give memory that is free again back to the machine: a worker outlives its task, and other stages run beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = _heap_trim()
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Rows in their order, cut so that a chunk has at most ``limit`` bytes of text, or one row."""
+    try:
+        yield from _chunks(batches, column, limit)
+    finally:
+        hand_back()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[Chunk]:
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         if not (pa.types.is_string(texts.type) or pa.types.is_binary(texts.type)):
@@ -219,6 +245,13 @@ def pack_texts(df: DataFrame) -> DataFrame:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
+    try:
+        yield from _packed_batches(batches, pack)
+    finally:
+        hand_back()
+
+
+def _packed_batches(batches: Iterator[pa.RecordBatch], pack) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         names = ["packed" if i == at else n for i, n in enumerate(batch.schema.names)]
