@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,9 @@ CONTAINERS = frozenset(
 )
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote address figcaption caption summary legend hr center head option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd".split())
+#: Those that any start tag of a block ends.
+ENDED_BY_BLOCKS = HEADINGS | {"p"}
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion reviews".split())
@@ -47,6 +50,18 @@ BOILER_NAMES = COMMENT_NAMES | frozenset(
     "breadcrumbs sidebar aside widget footer header masthead cookie cookies consent gdpr notice alert popup modal overlay share sharing social "
     "related recommended newsletter subscribe subscription signup login search pagination pager toolbar legal copyright disclaimer".split()
 )
+#: Names that say so only alone or with other words of such elements: "legal" and "legal-notice", not "legal-analysis".
+AMBIGUOUS_NAMES = frozenset(
+    "legal copyright disclaimer notice alert cookie cookies consent search share sharing social related recommended promotion banner "
+    "subscription overlay replies respond discussion reviews".split()
+)
+COMPANIONS = frozenset(
+    "bar bars box boxes block list lists link links wrapper wrap container area section inner outer top bottom left right main site page primary "
+    "secondary global button buttons form text item items panel row col icon icons tool tools media post posts article articles story stories news "
+    "entry entries info header title body more".split()
+)
+#: Before such a word a name tells how the page is laid out, not what the element holds: "no-sidebar".
+LAYOUT_WORDS = frozenset("no not non without with has have hide hides".split())
 CONTENT_NAMES = frozenset("article content post entry story main maincontent articlebody".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 
@@ -62,6 +77,7 @@ class Block:
     link_words: int
     zone: int
     heading: bool
+    named: bool = False  # boilerplate by the name of an element around it, and by nothing else
 
     @property
     def link_density(self) -> float:
@@ -76,12 +92,13 @@ class _Page:
     open: list[tuple[str, int, bool]] = field(default_factory=list)  # tag, zone, whether a content element lifts it
     links: int = 0
     heading: bool = False
+    muted: int = 0  # open spans from the outermost one with a boilerplate name on
 
     def zone(self) -> int:
         return self.open[-1][1] if self.open else PLAIN
 
     def add(self, text: str) -> None:
-        if text:
+        if text and not self.muted:
             text = html.unescape(text) if "&" in text else text
             self.parts.append(text)
             if self.links:
@@ -92,18 +109,28 @@ class _Page:
             words = "".join(self.parts).split()
             if words:
                 linked = len("".join(self.link_parts).split())
-                self.blocks.append(Block(" ".join(words), len(words), min(linked, len(words)), self.zone(), self.heading))
+                named = bool(self.open) and self.open[-1][1:] == (BOILER, True)
+                self.blocks.append(Block(" ".join(words), len(words), min(linked, len(words)), self.zone(), self.heading, named))
             self.parts, self.link_parts = [], []
 
     def start(self, tag: str, attributes: str) -> None:
-        if self.open and self.open[-1][0] == "p":
+        self.muted = 0
+        while self.open and (self.open[-1][0] in ENDED_BY_BLOCKS or tag in ITEMS and self.open[-1][0] in ITEMS):
             self.open.pop()
         self.heading = tag in HEADINGS
-        if tag in CONTAINERS or tag == "p":
+        if tag in CONTAINERS or tag in ENDED_BY_BLOCKS or tag in ITEMS:
             self.open.append((tag, *self._zone_of(tag, attributes)))
 
+    def span(self, closing: bool, attributes: str) -> None:
+        """A named span takes its own text out of the block; the block goes on behind it."""
+        if self.muted:
+            self.muted += -1 if closing else 1
+        elif not closing and attributes:
+            names, _, hidden = _named(attributes)
+            self.muted = int(hidden or bool(names & BOILER_NAMES))
+
     def end(self, tag: str) -> None:
-        self.heading = False
+        self.heading, self.muted = False, 0
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
@@ -131,8 +158,7 @@ def _named(attributes: str) -> tuple[frozenset[str], str, bool]:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             for part in value.split():
-                names.add(part.lower())
-                names.update(x.lower() for x in _NAME_PART.findall(part))
+                names.update(_telling(part))
         elif key == "role":
             role = value.lower()
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -142,6 +168,17 @@ def _named(attributes: str) -> tuple[frozenset[str], str, bool]:
     return frozenset(names), role, hidden
 
 
+def _telling(part: str) -> set[str]:
+    """One name of an element and its words, without those that tell nothing about what it holds."""
+    words = [x.lower() for x in _NAME_PART.findall(part)]
+    if LAYOUT_WORDS.intersection(words[:-1]):
+        return set()
+    found = {part.lower(), *words}
+    if not all(w in BOILER_NAMES or w in COMPANIONS for w in words):
+        found -= AMBIGUOUS_NAMES
+    return found
+
+
 def _skipped(source: str, at: int, tag: str, unclosed: set[str]) -> int:
     """Where the page goes on after a start tag of SKIPPED: behind its end tag, or right behind itself if it has none."""
     if tag in unclosed:
@@ -178,6 +215,8 @@ def text_blocks(source: str) -> list[Block]:
             page.add(" ")
         elif tag == "a":
             page.links = 0 if closing else 1
+        elif tag == "span":
+            page.span(bool(closing), attributes)
         elif tag in BLOCKS:
             page.flush()
             if closing:
@@ -273,8 +312,18 @@ def main_text(source: str | None, tree: Tree) -> str:
     blocks = text_blocks(source) if source else []
     if not blocks:
         return ""
-    rows = block_features(blocks).tolist()
-    return "\n".join(b.text for b, row in zip(blocks, rows, strict=True) if classify(tree, row))
+    found = _main_blocks(blocks, tree)
+    if not found and sum(b.words - b.link_words for b in blocks if b.named) >= WRAPPED_WORDS:
+        found = _main_blocks([replace(b, zone=PLAIN) if b.named else b for b in blocks], tree)
+    return "\n".join(b.text for b in found)
+
+
+#: So many words, not in links, are no boilerplate by the name around them alone if the page has no other main text.
+WRAPPED_WORDS = 100
+
+
+def _main_blocks(blocks: list[Block], tree: Tree) -> list[Block]:
+    return [b for b, row in zip(blocks, block_features(blocks).tolist(), strict=True) if classify(tree, row)]
 
 
 def extract(pages: DataFrame, tree: Tree | None = None, source: str = "html") -> DataFrame:
