@@ -26,5 +26,5 @@ def test_stages(spark, corpus, tmp_path):
 
 
 def test_registered():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
