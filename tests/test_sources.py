@@ -147,6 +147,19 @@ def test_catalogue_and_load_info(spark, tmp_path, answers):
     assert len(info) == 1 and info[0]["row_count"] == 10 and info[0]["column_count"] == 6 and info[0]["missing_count"] == 3
 
 
+def test_catalogue_takes_a_table_of_many_files_as_one(spark, tmp_path):
+    (tmp_path / "one.parquet").write_bytes(b"123")
+    (tmp_path / "note.txt").write_bytes(b"1")
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(10).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(tmp_path / "parted.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "many.parquet").glob("part-*.parquet"))
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        rows = {r["name"]: r["size"] for r in catalogue.list_files(spark, folder, "*.parquet").collect()}
+        assert sorted(rows) == ["many.parquet", "one.parquet", "parted.parquet"]
+        assert rows["many.parquet"] == size and rows["one.parquet"] == 3
+    assert catalogue.list_files(spark, str(tmp_path), "*.csv").collect() == []
+
+
 def write_books(df, folder, **options):
     for r in encode_workbooks(df, **options).collect():
         (folder / r["path"]).write_bytes(r["content"])
