@@ -239,3 +239,35 @@ def test_no_row_is_copied_per_pair(spark, gappy, monkeypatch):
         monkeypatch.setattr(kind, "groupBy", real)
         large = [frame.count() for frame, keys in seen if keys and keys[0] in ("column", "c")]
         assert large and max(large) <= 12 * 700, method
+
+
+def test_cells_of_single_values_are_folded_per_task():
+    """A task gives out each pair of blocks once, not once per batch."""
+    cuts = [np.arange(50.0), np.arange(0.0, 1000.0, 2.0)]
+    cells = rank_correlation._PointCells(cuts)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 50, (4, 30_000)).astype(float), rng.integers(0, 1000, (4, 30_000)).astype(float)
+    y[0, 0] = np.nan
+    for one, other in zip(x, y, strict=True):
+        cells.add([one, other])
+    found = {(c, d): (p, q, w) for c, d, p, q, w in cells.take()}
+    want = pd.Series(1, index=pd.MultiIndex.from_arrays([rank_correlation.block_of(v.ravel(), k) for v, k in zip((x, y), cuts, strict=True)])).groupby(level=[0, 1]).sum()
+    want = want[want.index.get_level_values(1) >= 0]
+    p, q, w = found[0, 1]
+    assert dict(zip(zip(p.tolist(), q.tolist(), strict=True), w.tolist(), strict=True)) == want.to_dict()
+    assert found[1, 0][2].sum() == (y % 2 == 0).sum()
+
+
+def test_columns_of_few_values_do_not_move(spark, monkeypatch):
+    """Each of their values is a cut, so that only columns of many values are dealt to blocks."""
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"a": rng.integers(0, 40, 3000) * 1.0, "b": rng.integers(0, 3000, 3000) * 1.0, "c": rng.integers(0, 3, 3000) * 1.0})
+    seen = []
+    cut = rank_correlation.balanced_cuts
+    monkeypatch.setattr(rank_correlation, "balanced_cuts", lambda df, values, ranges, size: seen.extend(ranges) or cut(df, values, ranges, size))
+    got = correlation.correlation_matrix(spark.createDataFrame(frame), "kendall", one_task=500).collect()
+    assert seen == ["1"]
+    above = {n: np.sign(np.subtract.outer(v, v)) for n, v in zip(frame, frame.to_numpy().T, strict=True)}
+    for r in got:
+        x, y = above[r["col_a"]], above[r["col_b"]]
+        assert abs(r["r"] - (x * y).sum() / np.sqrt((x * x).sum()) / np.sqrt((y * y).sum())) < 1e-12
