@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import col, known
+from tallyframe.plans.storage import checkpointed
 
 
 def apply_rows(
@@ -51,6 +53,9 @@ _HAND_OVER = 100_000
 _MANY_TASKS = 2_000
 _PARTS = 64
 
+#: Rows of a group from which on its states are made where its rows are. The rows of smaller groups are brought together.
+LARGE_GROUP = 50_000
+
 
 def merge_aggregate(
     df: DataFrame,
@@ -66,8 +71,10 @@ def merge_aggregate(
 
     ``partial`` turns some rows of one group into a small state, ``merge``
     turns several states of a group (one per row) into one, and ``finish``
-    turns a frame of merged states into result columns, row by row. The rows
-    themselves never move: each task sends one state per group it met.
+    turns a frame of merged states into result columns, row by row. The rows of
+    a group over ``LARGE_GROUP`` rows never move: each task sends one state per
+    group it met. Smaller groups, of which there may be many, come to one task
+    each, so that ``partial`` runs once per group and not once per group and batch.
     """
     names = known(df, list(keys))
     key_schema = T.StructType([df.schema[k] for k in names])
@@ -101,17 +108,46 @@ def merge_aggregate(
         if waiting:
             yield waiting[0] if len(waiting) == 1 else fold(pd.concat(waiting, ignore_index=True), merge)
 
-    def per_group(frame: pd.DataFrame) -> pd.DataFrame:
-        merged = fold(frame, merge)
+    def finished(merged: pd.DataFrame) -> pd.DataFrame:
         done = finish(merged)
         return pd.concat([merged[names].reset_index(drop=True), done.reset_index(drop=True)], axis=1)[result_columns]
 
+    def per_group(frame: pd.DataFrame) -> pd.DataFrame:
+        return finished(fold(frame, merge))
+
+    def whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by group; the last group of a frame may go on in the next one.
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if frame.empty:
+                continue
+            same = (frame[names] == frame[names].iloc[-1]).all(axis=1).to_numpy()
+            begin = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            goes_on = held and (held[-1][names].iloc[-1] == frame[names].iloc[0]).all()
+            if held and (begin or not goes_on):
+                yield finished(fold(pd.concat([*held, frame.iloc[:begin]], ignore_index=True), partial))
+                held = []
+            elif begin:
+                yield finished(fold(frame.iloc[:begin], partial))
+            held.append(frame.iloc[begin:])
+        if held:
+            yield finished(fold(pd.concat(held, ignore_index=True), partial))
+
     rows = df.dropna(subset=names).select([col(c) for c in dict.fromkeys([*names, *columns])])
+    keyed = [col(k) for k in names]
+    # At most one group per LARGE_GROUP rows. Kept, so that both sides see the same ones.
+    large = checkpointed(rows.groupBy(*keyed).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > LARGE_GROUP).select(*keyed))
+    shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = rows.join(F.broadcast(large), names, "left_anti").select(*[col(c) for c in rows.columns])
+    out = small.repartition(shuffle_parts, *keyed).sortWithinPartitions(*keyed).mapInPandas(whole_groups, results)
+    if large.isEmpty():
+        return out
+    rows = rows.join(F.broadcast(large), names, "left_semi").select(*[col(c) for c in rows.columns])
     sent = rows.mapInPandas(per_task, states)
     if rows.rdd.getNumPartitions() > _MANY_TASKS:
         # A group has a state per task: they are merged in parts first, so that no task gets them all.
         part = F.pmod(F.spark_partition_id(), F.lit(_PARTS)).alias("_part")
         parted = sent.select("*", part)
         merge_part = lambda frame: fold(frame.drop(columns="_part"), merge)
-        sent = parted.groupBy(*[col(k) for k in names], "_part").applyInPandas(merge_part, states)
-    return sent.groupBy(*[col(k) for k in names]).applyInPandas(per_group, results)
+        sent = parted.groupBy(*keyed, "_part").applyInPandas(merge_part, states)
+    return out.unionByName(sent.groupBy(*keyed).applyInPandas(per_group, results))

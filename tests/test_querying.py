@@ -202,3 +202,23 @@ def test_names_with_dots_and_spaces(spark):
     assert filters.filter_by_range(df, "c d", 1, 3).count() == 1
     assert aggregate.group_and_aggregate(df, "a.b", {"c d": ["mean", "median"]}).columns == ["a.b", "c d_mean", "c d_median"]
     assert project.select_columns(df, ["a.b"]).columns == ["a.b"]
+
+
+def test_small_groups_meet_before_they_are_aggregated(spark, monkeypatch):
+    """A group's rows lie in every task; only those of a large one are aggregated where they are."""
+    monkeypatch.setattr(udf, "LARGE_GROUP", 1_000)
+    rows = spark.range(0, 12_000, 1, 8).select(F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("id") % 300).alias("g"), F.col("id").cast("double").alias("v"))
+    out = udf.merge_aggregate(
+        rows,
+        ["g"],
+        ["v"],
+        lambda f: {"pieces": 1, "total": float(f["v"].sum())},
+        "pieces bigint, total double",
+        lambda s: {"pieces": int(s["pieces"].sum()), "total": float(s["total"].sum())},
+        lambda s: s[["pieces", "total"]],
+        "pieces bigint, total double",
+    )
+    got = {r["g"]: (r["pieces"], r["total"]) for r in out.collect()}
+    want = {r["g"]: r["t"] for r in rows.groupBy("g").agg(F.sum("v").alias("t")).collect()}
+    assert {g: t for g, (_, t) in got.items()} == want
+    assert got.pop(-1)[0] == 8 and {n for n, _ in got.values()} == {1}
