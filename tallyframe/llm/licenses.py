@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship
-from .texts import LETTERED, Chunk, Rolling, chunks, inner_windows, keyed, packed, signed, unpacked, words
+from .texts import LETTERED, PACK_LEVEL, Chunk, Rolling, chunks, inner_windows, keyed, signed, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -129,6 +130,34 @@ def diagonal_votes(documents: DataFrame, templates: tuple[Template, ...] = TEMPL
     )
 
 
+def candidate_texts(documents: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """``row_key, doc_id, n_words, packed``: every row with its words counted, its text only where some run of words is a template's.
+
+    A text without such a run has no votes, and needs not move.
+    """
+    ship(documents.sparkSession)
+    known = {k: np.unique(np.concatenate([signed(_hashes(t.text, k)) for t in templates if _gram_length(t) == k])) for k in {_gram_length(t) for t in templates}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
+        for chunk in chunks(batches):
+            found = words(chunk, LETTERED, lower=True)
+            rolling, row_of = Rolling(found.codes), found.row_of()
+            hit = np.zeros(chunk.rows.num_rows, dtype=bool)
+            for k, grams in known.items():
+                starts = inner_windows(found.first, k)
+                hashes = signed(rolling.grams(k, seed=k)[starts])
+                place = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+                hit[row_of[starts[grams[place] == hashes]]] = True
+            texts = [pack(chunk.text(i)) if h else None for i, h in enumerate(hit.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [chunk.rows.column(0), chunk.rows.column(1), pa.array(np.diff(found.first)), pa.array(texts, pa.binary())],
+                names=["row_key", "doc_id", "n_words", "packed"],
+            )
+
+    return keyed(documents).select("row_key", "doc_id", "text").mapInArrow(run, "row_key long, doc_id long, n_words long, packed binary")
+
+
 def _merged(diagonals: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Neighbouring diagonals as (first, last)."""
     first = last = None
@@ -200,7 +229,7 @@ SPAN = "struct<label: string, first_word: int, end_word: int, coverage: double,
 def license_spans(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """``doc_id, n_words, spans``: one row per row of ``documents``, its words counted and its license spans verified.
 
-    Texts move once, compressed, to meet their votes. A null text has no
+    Texts that can have votes move once, compressed, to meet them. A null text has no
     words; repeated rows each get a row; a text without a span has an empty
     list.
     """
@@ -223,7 +252,7 @@ def license_spans(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
             yield pa.RecordBatch.from_arrays(
                 [
                     chunk.rows.column(chunk.rows.schema.get_field_index("doc_id")),
-                    pa.array(np.diff(found.first)),
+                    chunk.rows.column(chunk.rows.schema.get_field_index("n_words")),
                     pa.array([[dict(zip(("label", "first_word", "end_word", "coverage", "base"), s, strict=True)) for s in x] for x in spans], kind),
                 ],
                 names=names,
@@ -235,7 +264,7 @@ def license_spans(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
         text = [data[s - shift : e - shift] for s, e in zip(found.start[a:b].tolist(), found.end[a:b].tolist(), strict=True)]
         return _spans(text, votes, tables)
 
-    joined = packed(documents).join(votes, "row_key", "left").select("doc_id", "packed", "votes")
+    joined = candidate_texts(documents, templates).join(votes, "row_key", "left").select("doc_id", "n_words", "packed", "votes")
     return joined.mapInArrow(run, f"doc_id long, n_words long, spans array<{SPAN}>")
 
 

@@ -215,3 +215,22 @@ def test_tree_fits_its_table():
 
 def test_digest_helper():
     assert brute.sha("x") == hashlib.sha256(b"x").hexdigest()
+
+
+def test_only_texts_with_runs_of_a_license_move(spark):
+    rows = [(1, "all rights reserved here"), (2, "nothing of the kind " * 50), (3, None), (4, "rights all reserved")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.packed is not None) for r in licenses.candidate_texts(documents, licenses.TEMPLATES).collect()}
+    assert got == {1: (4, True), 2: (200, False), 3: (0, False), 4: (3, False)}
+    assert {r.doc_id: r.n_words for r in licenses.license_report(documents).collect()} == {1: 4, 2: 200, 3: 0, 4: 3}
+
+
+def test_unpacked_batches_are_bounded_by_their_texts():
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    given = [b"x" * 600, None, b"y" * 500, b"", b"z" * 5000, b"w" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else pack(t) for t in given], pa.binary())], names=["packed"])
+    parts = [b.column(0).to_pylist() for b in texts.unpacked(iter([batch]), limit=1000)]
+    assert [t for part in parts for t in part] == given
+    assert all(len(part) == 1 or sum(len(t or b"") for t in part) <= 1000 for part in parts)
