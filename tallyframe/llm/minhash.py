@@ -176,6 +176,27 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+#: Longs of a parity map, 64 places each.
+MAP_LONGS = 16
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls on each place.
+
+    Where the maps of two sets differ, one of them has a shingle that the other
+    has not: they differ in no more places than in shingles.
+    """
+    places = (hashes >> np.uint64(24)).astype(np.int64) & (64 * MAP_LONGS - 1)
+    odd = np.bincount(places, minlength=64 * MAP_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _parity_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = np.array([parity_map(_unpack_hashes(data.as_py())) for data in batch.column(1)], dtype=np.int64).reshape(-1, MAP_LONGS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, maps.T)], names=["node", *[f"odd{k}" for k in range(MAP_LONGS)]])
+
+
 def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``u, v`` of different roots that can be alike, by their rarest shingles: a prefix filter on the sets themselves."""
 
@@ -189,6 +210,8 @@ def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> Dat
     posts = _stored(sets.join(nodes.select("node"), "node").select("node", "hashes").mapInArrow(run, "node long, hash long"), "undecided-shingles")
     often = posts.groupBy("hash").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     sizes = posts.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    odd = [f"odd{k}" for k in range(MAP_LONGS)]
+    maps = sets.join(nodes.select("node"), "node").select("node", "hashes").mapInArrow(_parity_maps, ", ".join(["node long", *[f"{o} long" for o in odd]]))
     # Shingles of one set only come first in the order; they take up places of the prefix and are posted nowhere.
     ranked = (
         posts.join(often, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("common")).join(sizes, "node")
@@ -204,10 +227,10 @@ def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> Dat
         .withColumn("last", F.get("prefix", F.size("prefix") - 1))
         .select("node", "n", "shorter", "beyond", "last", F.transform("prefix", lambda s: s["hash"]).alias("prefix"))
         .select("*", F.posexplode("prefix").alias("at", "hash"))
-        .join(nodes, "node")
+        .join(nodes.join(maps, "node"), "node")
     )
     listed = _stored(listed, "undecided-prefixes")
-    own = ("node", "root", "n", "prefix", "beyond", "last")
+    own = ("node", "root", "n", "prefix", "beyond", "last", *odd)
     left, right = (listed.select("hash", "at", "shorter", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "uv")
     right = right.filter("at < shorter")
     larger = F.expr("(u_n > v_n or (u_n = v_n and u_node > v_node)) and u_root <> v_root")
@@ -216,7 +239,11 @@ def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> Dat
     both = F.array_intersect("u_prefix", "v_prefix")
     rest = F.when(F.col("u_last") < F.col("v_last"), F.col("u_beyond")).otherwise(F.col("v_beyond"))
     enough = (F.size(both) + rest) * (100 + percent) >= percent * (F.col("u_n") + F.col("v_n"))
-    pairs = left.drop("at", "shorter").join(right.drop("at", "shorter"), "hash").filter(larger & (F.get(both, 0) == F.col("hash")) & enough)
+    # Members of a large group of near copies share their rare shingles with all of it, and are mostly a little too far
+    # apart: the maps tell, before a pair is made.
+    apart = sum(F.bit_count(F.col(f"u_{o}").bitwiseXOR(F.col(f"v_{o}"))) for o in odd)
+    close = apart * (100 + percent) <= (100 - percent) * (F.col("u_n") + F.col("v_n"))
+    pairs = left.drop("at", "shorter").join(right.drop("at", "shorter"), "hash").filter(larger & close & (F.get(both, 0) == F.col("hash")) & enough)
     return pairs.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
 
 

@@ -121,6 +121,27 @@ def test_large_group_needs_no_pairs(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_pairs_too_far_apart_are_not_made(spark):
+    """Copies that lie just under the limit share rare shingles: their parity maps keep the join from making all pairs."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64) << np.uint64(16))
+    texts = []
+    for _ in range(40):
+        keep = rng.permutation(len(base))[:350]
+        texts.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**47, 50).astype(np.uint64) << np.uint64(16)])))
+    texts.append(np.unique(np.concatenate([texts[0][:-10], base[:3]])))
+    alike = {
+        (i, j) for i in range(41) for j in range(i + 1, 41)
+        if 100 * len(np.intersect1d(texts[i], texts[j])) >= 85 * len(np.union1d(texts[i], texts[j]))
+    }
+    sets = spark.createDataFrame([(i, bytearray(minhash.pack_hashes(t))) for i, t in enumerate(texts)], "node long, hashes binary")
+    found = {(r.u, r.v) for r in minhash._undecided_pairs(sets.selectExpr("node", "node AS root"), sets, 85).distinct().collect()}
+    assert alike <= found and (0, 40) in alike and len(found) <= 80
+    for i, j in ((0, 1), (0, 40), (3, 9)):
+        differing = bin(int.from_bytes((minhash.parity_map(texts[i]) ^ minhash.parity_map(texts[j])).tobytes(), "little")).count("1")
+        assert differing <= len(np.setxor1d(texts[i], texts[j]))
+
+
 def test_chain_is_one_component(spark):
     """Each text is near the next one only."""
     words = [f"w{i}" for i in range(1000)]
