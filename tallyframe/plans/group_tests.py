@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe import limits
 from tallyframe.functions import col, numeric_columns
@@ -21,6 +22,9 @@ from .ranks import join_by_value, rank_values
 from .statistics import base_facts
 from .storage import checkpointed
 
+# Up to so many groups a value's rows are counted per group in one row, and its rank need not look for them again.
+FEW_GROUPS = 24
+
 RESULT = ("column", "test", "groups", "n", "statistic", "df1", "df2", "p_value")
 
 
@@ -40,7 +44,12 @@ def group_tests(df: DataFrame, by: str, columns: Sequence[str] | None = None) ->
     values = {c: as_double(kept, c) for c in names}
     facts = base_facts(kept, names)
     sums = _moment_sums(kept, by, {c: values[c] - F.lit(facts[c].mean).cast("double") for c in names})
-    ranks = _rank_sums(kept, by, values, max(f.count for f in facts.values()))
+    largest = max(f.count for f in facts.values())
+    # Groups of these types come back from the driver as the same values.
+    plain = isinstance(kept.schema[by].dataType, (T.StringType, T.BooleanType, T.IntegralType, T.DateType))
+    found = [r["g"] for r in sums.select("g").distinct().limit(FEW_GROUPS + 1).collect()] if plain else []
+    few = 0 < len(found) <= FEW_GROUPS
+    ranks = _rank_sums_few(kept, by, values, largest, found) if few else _rank_sums(kept, by, values, largest)
     place = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
     out = _anova(sums).unionByName(_welch(sums)).unionByName(_kruskal(ranks))
     statistic, df1 = F.col("statistic"), F.col("df1")
@@ -130,6 +139,24 @@ def _rank_sums(df: DataFrame, by: str, values: dict[str, Column], largest: int)
     return placed.groupBy("column", "g").agg(F.sum("n").alias("n"), F.sum(n * F.col("rank")).alias("r"), F.sum(n * (w * w - 1)).alias("t"))
 
 
+def _rank_sums_few(df: DataFrame, by: str, values: dict[str, Column], largest: int, groups: Sequence) -> DataFrame:
+    """As ``_rank_sums``, with a column of counts per group next to each value."""
+    kind = df.schema[by].dataType
+    counts = (
+        unpivot(df, values, [by])
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("w"), *[F.count(F.when(col(by) == F.lit(g).cast(kind), 1)).alias(f"n{k}") for k, g in enumerate(groups)])
+    )
+    rank, w = F.col("before") + (F.col("w") + 1) / 2, F.col("w").cast("double")
+    each = []
+    for k in range(len(groups)):
+        n = F.col(f"n{k}").cast("double")
+        each += [F.sum(f"n{k}").alias(f"n{k}"), F.sum(n * rank).alias(f"r{k}"), F.sum(n * (w * w - 1)).alias(f"t{k}")]
+    sums = rank_values(counts, ["column"], largest).groupBy("column").agg(*each)
+    rows = [F.struct(F.lit(g).cast(kind).alias("g"), *[F.col(f"{c}{k}").alias(c) for c in "nrt"]) for k, g in enumerate(groups)]
+    return sums.select("column", F.inline(F.array(*rows))).where("n > 0")
+
+
 def _kruskal(ranks: DataFrame) -> DataFrame:
     per = ranks.groupBy("column").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("rr"), F.sum("t").alias("t")

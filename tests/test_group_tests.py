@@ -88,6 +88,23 @@ def test_group_tests(groups, monkeypatch, small):
     assert [got["flat", t]["p_value"] for t in ("anova", "welch", "kruskal")] == [None] * 3
 
 
+@pytest.mark.parametrize("one_task", [1_000_000, 100])
+def test_few_groups_are_counted_beside_their_values(groups, monkeypatch, one_task):
+    """Ranks are made once per value and not joined back; with more groups than that the result is the same."""
+    _, df = groups
+    monkeypatch.setattr("tallyframe.limits.ONE_TASK_ROWS", one_task)
+    joins, real = [], g.join_by_value
+    monkeypatch.setattr(g, "join_by_value", lambda *a: (joins.append(1), real(*a))[1])
+    few = g.group_tests(df, "k").collect()
+    assert not joins
+    monkeypatch.setattr(g, "FEW_GROUPS", 2)
+    many = g.group_tests(df, "k").collect()
+    assert joins
+    for a, b in zip(few, many, strict=True):
+        assert (a["column"], a["test"], a["groups"], a["n"]) == (b["column"], b["test"], b["groups"], b["n"])
+        assert a["statistic"] == (None if b["statistic"] is None else pytest.approx(b["statistic"], rel=1e-12))
+
+
 def test_welch_of_two_groups_is_the_square_of_t(groups):
     pdf, df = groups
     r = next(r for r in g.group_tests(df.where("k in ('a', 'b')"), "k", ["z"]).collect() if r["test"] == "welch")
