@@ -218,6 +218,34 @@ def test_presence_classes(gappy):
     assert len({classes[0], classes[3], classes[6], 0}) == 4
 
 
+def test_no_sketch_and_no_cube_of_columns(spark, gappy, monkeypatch):
+    """Distinct values are counted where they are folded anyway; sums of pairs are products of matrices over rows."""
+    pdf, df = gappy
+    used, real = [], F.approx_count_distinct
+    monkeypatch.setattr(rank_correlation.F, "approx_count_distinct", lambda *a: (used.append(a), real(*a))[1])
+    for method in ("spearman", "kendall"):
+        correlation.correlation_matrix(df, method, one_task=300)
+    assert not used
+    values = {i: F.when(~F.isnan(c), F.col(c)) for i, c in enumerate(pdf)}
+    monkeypatch.setattr(rank_correlation, "FEW_VALUES", 40)
+    few = rank_correlation.few_values(df, values)
+    want = {i: sorted(pdf[c].dropna().unique()) for i, c in enumerate(pdf) if 0 < pdf[c].nunique() <= 40}
+    assert {i: v.tolist() for i, v in few.items()} == want and 0 < len(want) < len(pdf.columns)
+    rng = np.random.default_rng(5)
+    classes = [0, 1, 0, 2, 1]
+    ranks = rng.integers(1, 900, (5000, 5, 3)) / 2
+    for c in (1, 2):
+        ranks[np.ix_(rng.random(5000) < 0.2, [i for i, k in enumerate(classes) if k == c])] = np.nan
+    sums = rank_correlation._PairSums(classes)
+    sums.step = 999
+    sums.add(ranks)
+    for i in range(5):
+        for j in range(5):
+            both = ~np.isnan(ranks[:, i, 0] + ranks[:, j, 0])
+            x, y = ranks[both, i, classes[j]], ranks[both, j, classes[i]]
+            assert (sums.n[i, j], sums.x[i, j], sums.xx[i, j], sums.xy[i, j]) == (both.sum(), x.sum(), (x * x).sum(), (x * y).sum())
+
+
 def test_inversions():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 9, 120):
