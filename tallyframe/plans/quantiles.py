@@ -14,6 +14,7 @@ Whole columns count their bins as vectors, all columns in one pass, see
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -166,36 +167,50 @@ def grouped_quantiles(
         return wide.select(*[col(k) for k in by], F.inline("_all"))
 
     long = unpivot(df, values, by)
-    sizes = long.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    facts = _group_facts(df, values, by)
     # At most (rows / bound) groups can be over the bound.
-    big = sizes.where(F.col("_n") > one_task).select(*[col(k) for k in keys])
-    marked = local_copy(big, limits.BROADCAST_ROWS)
-    hot_keys = F.broadcast(marked) if marked is not None else big
+    over = facts.where(F.col("n") > one_task)
+    marked = local_copy(over, limits.BROADCAST_ROWS)
+    big = over if marked is None else marked
+    all_big = facts.where((F.col("n") > 0) & (F.col("n") <= one_task)).isEmpty()
+    hot_keys = big.select(*[col(k) for k in keys])
+    hot_keys = hot_keys if marked is None else F.broadcast(hot_keys)
     same = [long[k].eqNullSafe(hot_keys[k]) for k in keys]
+    hot = long if all_big else long.join(hot_keys, same, "left_semi")
+    found = large_group_quantiles(hot, keys, probs, one_task, big)
+    arrays = found.groupBy(*[col(k) for k in keys]).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pi", "q"))), lambda s: s["q"]).alias("q")
+    )
+    if all_big:
+        return arrays
     small = (
         long.join(hot_keys, same, "left_anti")
         .groupBy(*[col(k) for k in keys])
         .agg(percentile_of(F.col("value"), probs).alias("q"))
     )
-    hot = long.join(hot_keys, same, "left_semi")
-    found = large_group_quantiles(hot, keys, probs, one_task)
-    arrays = found.groupBy(*[col(k) for k in keys]).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pi", "q"))), lambda s: s["q"]).alias("q")
-    )
     return small.unionByName(arrays)
 
 
+def _group_facts(df: DataFrame, values: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """``by..., column, n, lo, hi`` from the rows as they are: values, the least and the greatest finite one of each group."""
+    parts = []
+    for block in _blocks(list(values)):
+        flat = df.select(*[col(k) for k in by], *[values[c].alias(f"_v{i}") for i, c in enumerate(block)])
+        aggs = []
+        for i, c in enumerate(block):
+            v = F.col(f"_v{i}")
+            finite = F.when(F.abs(v) < F.lit(float("inf")), v)
+            aggs.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi")))
+        wide = flat.groupBy(*[col(k) for k in by]).agg(F.array(*aggs).alias("_all"))
+        parts.append(wide.select(*[col(k) for k in by], F.inline("_all")))
+    return checkpointed(reduce(DataFrame.unionByName, parts))
+
+
 def large_group_quantiles(
-    long: DataFrame, keys: Sequence[str], probs: Sequence[float], one_task: int | None = None
+    long: DataFrame, keys: Sequence[str], probs: Sequence[float], one_task: int, facts: DataFrame
 ) -> DataFrame:
-    """``keys..., pi, q`` for groups of any size; ``long`` has a double column ``value``."""
-    one_task = limits.ONE_TASK_ROWS if one_task is None else one_task
+    """``keys..., pi, q`` for groups of any size; ``long`` has a double column ``value``, ``facts`` its ``keys..., n, lo, hi``."""
     keys = list(keys)
-    finite = F.abs("value") < F.lit(float("inf"))
-    facts = long.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(finite, F.col("value"))).alias("lo"), F.max(F.when(finite, F.col("value"))).alias("hi")
-    )
-    facts = _small(facts)
     every = F.inline(F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
     wanted = facts.select(*[col(k) for k in keys], "n", "lo", "hi", every).withColumn("pos", (F.col("n") - 1) * F.col("p"))
     open_targets = wanted.select(*[col(k) for k in keys], "pi", "pos", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))

@@ -45,6 +45,21 @@ def test_grouped_quantiles(skewed):
             assert got[k, c] == pytest.approx(want.quantile(PROBS).tolist()), (k, c)
 
 
+def test_ranges_of_groups_come_from_rows_as_they_are(skewed, monkeypatch):
+    """Rows are made one per column only to look for quantiles: at most once a round, and not for groups that are not there."""
+    pdf, df = skewed
+    pdf, df = pdf[pdf["k"] == "hot"], df.where("k = 'hot'")
+    seen, kind, real = [], type(df), type(df).groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *k: (seen.append(self), real(self, *k))[1])
+    made = quantiles.grouped_quantiles(df, ["k"], ["v", "u"], PROBS, one_task=700)
+    monkeypatch.setattr(kind, "groupBy", real)
+    long = [d for d in seen if {"column", "value"} <= set(d.columns) and not {"w", "bin"} & set(d.columns)]
+    assert len(long) <= 2 and all("lo" in d.columns for d in long)
+    assert "percentile(" not in made._jdf.queryExecution().toString()
+    for r in made.collect():
+        assert r["q"] == pytest.approx(pdf[r["column"]].quantile(PROBS).tolist()), r["column"]
+
+
 def test_few_bins_take_more_rounds(skewed, monkeypatch):
     """With two bins a round hardly narrows; whatever is left after the last one is ranked, and exact."""
     pdf, df = skewed
