@@ -14,6 +14,8 @@ comparison, so that a large group of near copies costs about its size and not
 its square. What is then still undecided is joined once more, on the rarest
 shingles of the sets themselves: two sets above the limit share one of the
 first ``n - limit n + 1``, and its places bound what they can have in common.
+Long lists of these are compared in blocks that only pass on each set's nearest
+others; the rest of them only meets where those did not connect it.
 Both ways end in the test of the signatures, which overlooks a link at the limit
 with a probability of ``Likeness.miss`` at most.
 """
@@ -178,6 +180,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 #: Longs of a parity map, 64 places each.
 MAP_LONGS = 16
+ODD = [f"odd{k}" for k in range(MAP_LONGS)]
 
 
 def parity_map(hashes: np.ndarray) -> np.ndarray:
@@ -194,11 +197,11 @@ def parity_map(hashes: np.ndarray) -> np.ndarray:
 def _parity_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         maps = np.array([parity_map(_unpack_hashes(data.as_py())) for data in batch.column(1)], dtype=np.int64).reshape(-1, MAP_LONGS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, maps.T)], names=["node", *[f"odd{k}" for k in range(MAP_LONGS)]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, maps.T)], names=["node", *ODD])
 
 
-def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``u, v`` of different roots that can be alike, by their rarest shingles: a prefix filter on the sets themselves."""
+def _prefix_lists(undecided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The undecided nodes under the rarest shingles of their sets: a prefix filter on the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,12 +209,11 @@ def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> Dat
                 hashes = _unpack_hashes(data.as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node)), pa.array(hashes)], names=["node", "hash"])
 
-    nodes = _stored(undecided.select("node", "root").distinct(), "undecided")
-    posts = _stored(sets.join(nodes.select("node"), "node").select("node", "hashes").mapInArrow(run, "node long, hash long"), "undecided-shingles")
+    nodes = _stored(undecided.select("node").distinct(), "undecided")
+    posts = _stored(sets.join(nodes, "node").select("node", "hashes").mapInArrow(run, "node long, hash long"), "undecided-shingles")
     often = posts.groupBy("hash").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     sizes = posts.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    odd = [f"odd{k}" for k in range(MAP_LONGS)]
-    maps = sets.join(nodes.select("node"), "node").select("node", "hashes").mapInArrow(_parity_maps, ", ".join(["node long", *[f"{o} long" for o in odd]]))
+    maps = sets.join(nodes, "node").select("node", "hashes").mapInArrow(_parity_maps, ", ".join(["node long", *[f"{o} long" for o in ODD]]))
     # Shingles of one set only come first in the order; they take up places of the prefix and are posted nowhere.
     ranked = (
         posts.join(often, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("common")).join(sizes, "node")
@@ -227,11 +229,81 @@ def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> Dat
         .withColumn("last", F.get("prefix", F.size("prefix") - 1))
         .select("node", "n", "shorter", "beyond", "last", F.transform("prefix", lambda s: s["hash"]).alias("prefix"))
         .select("*", F.posexplode("prefix").alias("at", "hash"))
-        .join(nodes.join(maps, "node"), "node")
+        .join(maps, "node")
     )
-    listed = _stored(listed, "undecided-prefixes")
-    own = ("node", "root", "n", "prefix", "beyond", "last", *odd)
-    left, right = (listed.select("hash", "at", "shorter", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "uv")
+    return _stored(listed, "undecided-prefixes")
+
+
+#: Nodes under one shingle up to which all their pairs are made; longer lists are compared in blocks of BLOCK nodes.
+SHORT_LIST = 16
+BLOCK = 256
+
+
+def _compared_lists(table: pa.Table, percent: int, most: int) -> pa.Table:
+    """``u, v, apart``: of two blocks of a list (or of one) each node's nearest ``most`` others that it can be alike with, and one more."""
+    column = {name: table.column(name).to_numpy() for name in ("node", "root", "n", "beyond", "side")}
+    node, root, n, beyond, side = column.values()
+    before = table.column("at").to_numpy()
+    short = before < table.column("shorter").to_numpy()
+    maps = np.stack([table.column(o).to_numpy() for o in ODD], axis=1).view(np.uint64)  # bits of signed numbers are counted without the sign
+    ends = table.column("last").combine_chunks()
+    last = np.empty(len(node), dtype=np.int64)
+    last[np.lexsort((np.asarray(ends.field("hash")), np.asarray(ends.field("often"))))] = np.arange(len(node))
+    # Which nodes have a shingle in their prefix, to count what two prefixes share.
+    prefixes = table.column("prefix").combine_chunks()
+    lengths = np.diff(np.asarray(prefixes.offsets))
+    _, shingle = np.unique(np.asarray(prefixes.flatten()), return_inverse=True)
+    holder = np.repeat(np.arange(len(node)), lengths)[np.argsort(shingle, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    begins = np.cumsum(lengths) - lengths
+    blocks = len(np.unique(side))
+
+    def held(shingles: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([holder[:0], *[holder[edges[s] : edges[s + 1]] for s in shingles]]), minlength=len(node))
+
+    out = []
+    for i in range(len(node)):
+        larger = (n > n[i]) | ((n == n[i]) & (node > node[i]))
+        able = (root != root[i]) & np.where(larger, short[i], short)
+        if blocks > 1:
+            able &= side != side[i]
+        at = np.flatnonzero(able)
+        if not len(at):
+            continue
+        # As in short lists, a pair counts at the first shingle that its prefixes share.
+        own = shingle[begins[i] : begins[i] + lengths[i]]
+        at = at[held(own[: before[i]])[at] == 0]
+        total = n[at] + n[i]
+        apart = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        close = apart * (100 + percent) <= (100 - percent) * total
+        at, apart, total = at[close], apart[close], total[close]
+        if not len(at):
+            continue
+        both = held(own[before[i] :])
+        rest = np.where(last[at] < last[i], beyond[at], beyond[i])
+        enough = (both[at] + rest) * (100 + percent) >= percent * total
+        at, apart = at[enough], apart[enough]
+        nearest = np.lexsort((node[at], apart))[: most + 1]
+        out.append(np.stack([np.full(len(nearest), node[i]), node[at[nearest]], apart[nearest]]))
+    found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)
+    return pa.table({"u": found[0], "v": found[1], "apart": found[2]})
+
+
+def _mixed(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``listed`` with each node's ``root`` and its list's number of ``entries``, without lists of one root."""
+    rooted = listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = rooted.groupBy("hash").agg(F.count(F.lit(1)).alias("entries"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rooted.join(lists.filter("low <> high").select("hash", "entries"), "hash")
+
+
+def _nearest(mixed: DataFrame, percent: int, most: int) -> DataFrame:
+    """``u, near``: per node the nearest of those with another root that it can be alike with; over ``most`` if there are more.
+
+    A pair of nodes is only a row in short lists; of the others each block passes on its nodes' nearest.
+    """
+    short, long = mixed.filter(F.col("entries") <= SHORT_LIST).drop("entries"), mixed.filter(F.col("entries") > SHORT_LIST)
+    own = ("node", "root", "n", "prefix", "beyond", "last", *ODD)
+    left, right = (short.select("hash", "at", "shorter", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "uv")
     right = right.filter("at < shorter")
     larger = F.expr("(u_n > v_n or (u_n = v_n and u_node > v_node)) and u_root <> v_root")
     # What the prefixes share is counted, at the first shingle they share. All else that is shared lies beyond the
@@ -241,10 +313,20 @@ def _undecided_pairs(undecided: DataFrame, sets: DataFrame, percent: int) -> Dat
     enough = (F.size(both) + rest) * (100 + percent) >= percent * (F.col("u_n") + F.col("v_n"))
     # Members of a large group of near copies share their rare shingles with all of it, and are mostly a little too far
     # apart: the maps tell, before a pair is made.
-    apart = sum(F.bit_count(F.col(f"u_{o}").bitwiseXOR(F.col(f"v_{o}"))) for o in odd)
+    apart = sum(F.bit_count(F.col(f"u_{o}").bitwiseXOR(F.col(f"v_{o}"))) for o in ODD)
     close = apart * (100 + percent) <= (100 - percent) * (F.col("u_n") + F.col("v_n"))
     pairs = left.drop("at", "shorter").join(right.drop("at", "shorter"), "hash").filter(larger & close & (F.get(both, 0) == F.col("hash")) & enough)
-    return pairs.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
+    pairs = pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), apart.cast("long").alias("apart"))
+    pairs = pairs.select(F.explode(F.array(F.struct("u", "v", "apart"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "apart")))).select("col.*")
+    # A block meets every block of its list, itself included.
+    blocks = F.ceil(F.col("entries") / BLOCK).cast("int")
+    units = (
+        long.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("hash", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "at", "shorter", *own)
+    )
+    blocked = units.groupBy("hash", "a", "b").applyInArrow(lambda table: _compared_lists(table, percent, most), "u long, v long, apart long")
+    return pairs.unionByName(blocked).groupBy("u").agg(F.sort_array(F.collect_set(F.struct("apart", "v"))).alias("near"))
 
 
 def _links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -264,6 +346,31 @@ def _links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, like: Likeness)
     return with_sets.mapInArrow(lambda batches: _confirm(batches, percent), "u long, v long")
 
 
+#: The nearest others that each undecided node is held against first, and how many times more in each further round.
+NEAREST, FURTHER = 4, 8
+
+
+def _undecided_links(listed: DataFrame, roots: DataFrame, shared: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """``node, root`` after joining those of ``roots``, once no two nodes of ``listed`` that can be alike are left apart unseen.
+
+    Each node is held against its nearest first. A pair that is not seen thereby has two nodes with nearer ones left over;
+    most of these have one root by then. Only such nodes go on to the next round, which takes more of the nearest.
+    """
+    most = NEAREST
+    while True:
+        near = _stored(_nearest(_mixed(listed, roots), like.percent, most), "undecided-nearest")
+        pairs = near.select("u", F.explode(F.slice("near", 1, most)).alias("other")).select(
+            F.least("u", "other.v").alias("u"), F.greatest("u", "other.v").alias("v")
+        )
+        found = _stored(_links(pairs.distinct(), shared, sets, like), "links")
+        roots = _stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)), "roots")
+        left = near.filter(F.size("near") > most).select(F.col("u").alias("node"))
+        listed = _stored(_mixed(listed.join(left, "node"), roots).drop("root", "entries"), "undecided-prefixes")
+        if listed.isEmpty():
+            return roots
+        most *= FURTHER
+
+
 #: Rounds of stars before the rest is joined on rare shingles; each round is linear in the postings. A second one
 #: added 182 links to 4,415 on a table of 51,000 documents with a group of 2,300 near copies, for twice the stages.
 STAR_ROUNDS = 1
@@ -294,21 +401,17 @@ def linked_nodes(documents: DataFrame, sketched: DataFrame, like: Likeness) -> D
         exhaustive = turn == STAR_ROUNDS or left[0] <= 2 * left[1] or left[0] == before
         before = left[0]
         if exhaustive:
-            pairs = _undecided_pairs(undecided, sets, like.percent)
-        else:
-            order = F.struct(-F.col("central") if turn == 0 else F.lit(0), F.xxhash64("node", F.lit(turn)), "node", "root", "n_shingles")
-            hubs = undecided.groupBy("key").agg(F.min(order).alias("hub"))
-            sizes = F.least("n_shingles", "hub.n_shingles") * 100 >= F.greatest("n_shingles", "hub.n_shingles") * like.percent
-            pairs = (
-                undecided.join(hubs, "key")
-                .filter(F.expr("root <> hub.root") & sizes)
-                .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
-            )
-        found = _stored(_links(pairs.select("u", "v").distinct(), shared, sets, like), "links")
-        edges = edges.unionByName(found)
+            return _undecided_links(_prefix_lists(undecided, sets, like.percent), roots, shared, sets, like)
+        order = F.struct(-F.col("central") if turn == 0 else F.lit(0), F.xxhash64("node", F.lit(turn)), "node", "root", "n_shingles")
+        hubs = undecided.groupBy("key").agg(F.min(order).alias("hub"))
+        sizes = F.least("n_shingles", "hub.n_shingles") * 100 >= F.greatest("n_shingles", "hub.n_shingles") * like.percent
+        pairs = (
+            undecided.join(hubs, "key")
+            .filter(F.expr("root <> hub.root") & sizes)
+            .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
+        )
+        edges = edges.unionByName(_stored(_links(pairs.distinct(), shared, sets, like), "links"))
         roots = _stored(components(edges), "roots")
-        if exhaustive:
-            break
     return roots
 
 

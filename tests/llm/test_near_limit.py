@@ -33,6 +33,30 @@ def test_links_at_the_limit(spark, changed):
     assert got == _components(sets, 85)
 
 
+def test_blocks_of_long_lists_lose_no_link(spark, monkeypatch):
+    for name, value in (("SHORT_LIST", 3), ("BLOCK", 8), ("NEAREST", 1), ("FURTHER", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = _group(60, (3, 8)) + [(100 + i, t) for i, t in _group(40, (5, 11), seed=4)]
+    sets = {i: brute_shingles(t) for i, t in rows}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicate_report(_table(spark, rows), minhash.Likeness(3, 85)).collect()}
+    assert got == _components(sets, 85)
+
+
+def test_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    links, made = minhash._links, []
+
+    def counted(pairs, *rest):
+        made[-1] += pairs.count()
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_links", counted)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)  # all are left undecided
+    for n in (100, 200):
+        made.append(0)
+        minhash.near_duplicate_report(_table(spark, _group(n, (3, 8))), minhash.Likeness(3, 85)).collect()
+    assert made[1] < 3 * made[0], made
+
+
 def brute_shingles(text):
     words = text.lower().split(" ")
     return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2))
