@@ -325,7 +325,8 @@ def _nearest(mixed: DataFrame, percent: int, most: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("hash", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "at", "shorter", *own)
     )
-    blocked = units.groupBy("hash", "a", "b").applyInArrow(lambda table: _compared_lists(table, percent, most), "u long, v long, apart long")
+    # Dealt by block: being dealt by list already would do for the grouping, and leave a list to one task.
+    blocked = units.repartition("hash", "a", "b").groupBy("hash", "a", "b").applyInArrow(lambda table: _compared_lists(table, percent, most), "u long, v long, apart long")
     return pairs.unionByName(blocked).groupBy("u").agg(F.sort_array(F.collect_set(F.struct("apart", "v"))).alias("near"))
 
 
